@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from filingdelta.functions.text import filled, joined
 from filingdelta.schemas import CONTENT
 
-GROUPS = tuple(T._parse_datatype_string(CONTENT).names)
+# The fact lists of a section, in their order.
+GROUPS = (
+    "financial_data", "accounting_notes", "factual_info", "messages", "kpi_time_series",
+    "logical_relationships", "segment_time_series",
+)
 NO_FACTS = "（抽出された情報なし）"
 
 
@@ -15,16 +19,11 @@ def parse_content(reply: Column) -> Column:
     """Seven fact lists from a JSON reply, missing lists empty; null when it is no JSON object."""
     schema = f"{CONTENT}, _corrupt_record string"
     raw = F.from_json(reply, schema)
-    groups = F.struct(
-        *[F.coalesce(raw[g], F.array().cast(_group_type(g))).alias(g) for g in GROUPS]
-    )
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(CONTENT)}
+    groups = F.struct(*[F.coalesce(raw[g], F.array().cast(types[g])).alias(g) for g in GROUPS])
     return F.when(raw.isNotNull() & raw["_corrupt_record"].isNull(), groups)
 
 
-def _group_type(name: str) -> T.DataType:
-    return T._parse_datatype_string(CONTENT)[name].dataType
-
-
 def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
     return sections.withColumn("extracted_content", parse_content(F.col(reply_col)))
 

@@ -997,7 +997,7 @@ def g3_kept(t: Tables) -> DataFrame:
 def g3_stream(t: Tables) -> DataFrame:
     """Every event creates a document; the newest event is the stream's present."""
     source = t.spark.readStream.schema(t.base("events").schema).parquet(f"{t.sf_dir}/events.parque[t]")
-    created = source.select(F.col("event_id").alias("document_id"), F.col("ts").alias("created_at"))
+    created = source.select(F.col("event_id").alias("document_id"), F.col("ts").cast("timestamp").alias("created_at"))
     out = scratch_path(t.spark, "expiry")
     retention.run_expiry(created, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.schema("document_id long, created_at timestamp").parquet(f"{out}/rows")

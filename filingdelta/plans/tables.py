@@ -51,7 +51,7 @@ SELECT CAST(d.doc_id AS STRING) AS document_id, d.source || '_' || d.lang || '.p
     || ':00' || CASE d.lang WHEN 'es' THEN '+00:00' WHEN 'de' THEN '' ELSE 'Z' END AS created_at
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "status_events": """
-SELECT event_id, CAST(user_id AS STRING) AS document_id, ts,
+SELECT event_id, CAST(user_id AS STRING) AS document_id, CAST(ts AS TIMESTAMP) AS ts,
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'extracting_text'
                   WHEN 'purchase' THEN 'structured' ELSE 'failed' END AS processing_status
 FROM {events}""",
@@ -148,7 +148,7 @@ SELECT d.doc_id, d.source || '.pdf' AS filename, d.text AS text_sample,
        WHEN l.quality = 0 THEN '{{"document_type": "memo", "confidence": 0.9}}'
        WHEN d.lang = 'fr' THEN '{{"document_type": "fr", "confidence": 1.7, "reason": "style"}}'
        WHEN d.lang = 'de' THEN '{{"document_type": "de", "confidence": true}}'
-       ELSE '{{"document_type": "en", "confidence": 0.' || CAST(d.n_chars % 1000 AS STRING) || ', "reason": "words"}}'
+       ELSE '{{"document_type": "en", "confidence": 0.' || CAST(d.n_chars % 100 AS STRING) || ', "reason": "words"}}'
   END AS reply_json
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # Content replies: one section per order, with lists of varying length.

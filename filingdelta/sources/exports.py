@@ -20,13 +20,13 @@ def write_csv(rows: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An export read back; blank fields are empty strings."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .csv(path)
+        .fillna("")
     )
