@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -56,11 +57,18 @@ def joined(parts: Column, sep: str) -> Column:
 
 def ancestors(path: Column, sep: str = " - ") -> Column:
     """All proper prefixes of a section path that end right before a separator."""
+    parts = F.split(path, re.escape(sep))
+    by_part = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)),
+        lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep),
+    )
+    # Separators that share a character are found by position only.
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))),
         lambda i: (F.substr(path, i, F.lit(len(sep))) == sep) & (i > 1),
     )
-    return F.transform(starts, lambda i: F.substr(path, F.lit(1), i - 1))
+    by_position = F.transform(starts, lambda i: F.substr(path, F.lit(1), i - 1))
+    return F.when(F.contains(path, F.lit(sep + sep[1:])), by_position).otherwise(by_part)
 
 
 def any_contains(cols: Sequence[Column], needle: str) -> Column:

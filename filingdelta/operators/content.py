@@ -15,17 +15,19 @@ GROUPS = (
 NO_FACTS = "（抽出された情報なし）"
 
 
-def parse_content(reply: Column) -> Column:
-    """Seven fact lists from a JSON reply, missing lists empty; null when it is no JSON object."""
-    schema = f"{CONTENT}, _corrupt_record string"
-    raw = F.from_json(reply, schema)
+def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
+    """Seven fact lists from each JSON reply, missing lists empty; null when it is no JSON object.
+
+    The parsed reply is a column of its own, so every list reads the same parse.
+    """
+    raw = F.col("_raw")
     types = {f.name: f.dataType for f in T.StructType.fromDDL(CONTENT)}
     groups = F.struct(*[F.coalesce(raw[g], F.array().cast(types[g])).alias(g) for g in GROUPS])
-    return F.when(raw.isNotNull() & raw["_corrupt_record"].isNull(), groups)
-
-
-def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
-    return sections.withColumn("extracted_content", parse_content(F.col(reply_col)))
+    return (
+        sections.withColumn("_raw", F.from_json(F.col(reply_col), f"{CONTENT}, _corrupt_record string"))
+        .withColumn("extracted_content", F.when(raw.isNotNull() & raw["_corrupt_record"].isNull(), groups))
+        .drop("_raw")
+    )
 
 
 def _text(value: Column) -> Column:

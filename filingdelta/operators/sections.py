@@ -101,7 +101,8 @@ def batch_text(pages: DataFrame, size: int = WINDOW_PAGES) -> DataFrame:
 
 def merge_sections(candidates: DataFrame) -> DataFrame:
     """Fold the windows' candidates: widest range, first confidence, last continuation flag."""
-    position = F.struct("batch_index", "ordinal")
+    # One long instead of a struct keeps this a hash aggregation.
+    position = F.col("batch_index").cast("long") * 2**32 + F.col("ordinal")
     merged = candidates.groupBy("document_id", "section_name").agg(
         F.min("start_page").alias("start_page"),
         F.max("end_page").alias("end_page"),
@@ -123,19 +124,21 @@ def section_pages(sections: DataFrame) -> DataFrame:
 
 
 def with_char_count(sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text length over the section's pages; the text itself is never shuffled."""
-    lengths = pages.select("document_id", "page_number", F.length("text").alias("_chars"))
-    sums = (
-        section_pages(sections)
-        .join(lengths, ["document_id", "page_number"])
-        .groupBy("document_id", "section_name")
-        .agg(F.sum("_chars").alias("_sum"))
-    )
+    """Text length over the section's pages; the text itself is never shuffled.
+
+    The section's other columns travel with its first page, so the sections are
+    read once and not joined to themselves.
+    """
+    keys = ["document_id", "section_name"]
+    rest = [c for c in sections.columns if c not in (*keys, "char_count")]
+    lengths = pages.select("document_id", F.col("page_number").alias("_page"), F.length("text").alias("_chars"))
     return (
-        sections.drop("char_count")
-        .join(sums, ["document_id", "section_name"], "left")
-        .withColumn("char_count", F.coalesce("_sum", F.lit(0)).cast("long"))
-        .drop("_sum")
+        sections.select(*keys, F.struct(*rest).alias("_own"), F.posexplode_outer("pages").alias("_pos", "_page"))
+        .withColumn("_own", F.when(F.coalesce(F.col("_pos") == 0, F.lit(True)), F.col("_own")))
+        .join(lengths, ["document_id", "_page"], "left")
+        .groupBy(*keys)
+        .agg(F.first("_own", ignorenulls=True).alias("_own"), F.sum("_chars").alias("_sum"))
+        .select(*keys, "_own.*", F.coalesce("_sum", F.lit(0)).cast("long").alias("char_count"))
     )
 
 
@@ -144,40 +147,48 @@ def rebuild_parents(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
     Pages are the union of the descendants' pages, confidence is their mean.
     A parent that was detected itself also keeps its own pages and char_count.
+
+    One aggregation per section name: every section sends its pages to itself
+    and to its ancestors, and its confidence with its first page only. Page sets
+    are merged on the map side; a page's length travels instead of its text.
     """
     keys = ["document_id", "section_name"]
-    up = sections.select(
-        "document_id", F.explode(ancestors(F.col("section_name"))).alias("section_name"), "pages", "confidence"
-    )
-    mean = up.groupBy(*keys).agg(
-        F.avg(F.coalesce("confidence", F.lit(0.0))).alias("_confidence"),
-        F.max(F.size("pages")).alias("_any"),
-    ).where(F.col("_any") > 0)
-    own = sections.select(*keys, "pages")
-    family = up.select(*keys, F.explode("pages").alias("page")).unionByName(
-        own.join(mean.select(*keys), keys, "left_semi").select(*keys, F.explode("pages").alias("page"))
-    )
-    union = family.groupBy(*keys).agg(F.array_sort(F.collect_set("page")).alias("_pages"))
-    parents = mean.join(union, keys).select(*keys, "_confidence", "_pages")
-    old = sections.withColumn("_known", F.lit(True))
-    merged = old.join(parents, keys, "full_outer")
-    is_parent = F.col("_pages").isNotNull()
-
-    def pick(new: Column, column: str) -> Column:
-        return F.when(is_parent, new).otherwise(F.col(column))
-
-    merged = merged.select(
+    own = F.struct("start_page", "end_page", "pages", "confidence", "is_continuing", "char_count")
+    lengths = pages.select("document_id", F.col("page_number").alias("_page"), F.length("text").alias("_chars"))
+    sent = (
+        sections.select(
+            "document_id", F.col("section_name").alias("_from"), own.alias("_own"),
+            F.concat(F.array("section_name"), ancestors(F.col("section_name"))).alias("_names"),
+            F.posexplode_outer("pages").alias("_pos", "_page"),
+        )
+        .withColumn("_first", F.coalesce(F.col("_pos") == 0, F.lit(True)))
+        .withColumn("_own", F.when(F.col("_first"), F.col("_own")))
+        .join(lengths, ["document_id", "_page"], "left")
+        .withColumn("section_name", F.explode("_names"))
+        .drop("_names")
+    )
+    self_row = F.col("_from") == F.col("section_name")
+    child = F.when(~self_row & F.col("_first"), F.coalesce("_own.confidence", F.lit(0.0)))
+    page = F.when(F.col("_page").isNotNull(), F.struct(F.col("_page").alias("page"), F.col("_chars").alias("chars")))
+    merged = sent.groupBy(*keys).agg(
+        F.first(F.when(self_row & F.col("_first"), F.col("_own")), ignorenulls=True).alias("o"),
+        F.avg(child).alias("_mean"),
+        F.max(F.when(~self_row, F.col("_page"))).alias("_below"),
+        F.array_sort(F.collect_set(page)).alias("_set"),
+    ).where(F.col("o").isNotNull() | F.col("_below").isNotNull())
+    is_parent = F.col("_below").isNotNull()
+    union = F.transform("_set", lambda p: p["page"])
+    chars = F.aggregate("_set", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p["chars"], F.lit(0)))
+
+    def pick(new: Column, old: str) -> Column:
+        return F.when(is_parent, new).otherwise(F.col(f"o.{old}")).alias(old)
+
+    return merged.withColumn("_pages", union).select(
         *keys,
-        pick(F.element_at("_pages", 1), "start_page").alias("start_page"),
-        pick(F.element_at("_pages", -1), "end_page").alias("end_page"),
-        pick(F.col("_pages"), "pages").alias("pages"),
-        pick(F.col("_confidence"), "confidence").alias("confidence"),
-        pick(F.lit(False), "is_continuing").alias("is_continuing"),
-        F.col("char_count"),
-        F.coalesce("_known", F.lit(False)).alias("_known"),
-    )
-    counted = with_char_count(merged.where(~F.col("_known")), pages)
-    return merged.where("_known").unionByName(counted, allowMissingColumns=True).drop("_known")
+        pick(F.get("_pages", F.lit(0)), "start_page"), pick(F.get("_pages", F.size("_pages") - 1), "end_page"),
+        pick(F.col("_pages"), "pages"), pick(F.col("_mean"), "confidence"), pick(F.lit(False), "is_continuing"),
+        F.when(F.col("o").isNull(), chars).otherwise(F.col("o.char_count")).alias("char_count"),
+    )
 
 
 def parent_names(sections: DataFrame) -> DataFrame:

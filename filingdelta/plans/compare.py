@@ -13,6 +13,7 @@ from filingdelta.operators.intake import effective_label, effective_type
 from filingdelta.operators.mapping import SIMILARITY_THRESHOLD, determine_modes, map_sections
 from filingdelta.operators.reviews import assemble_reviews, eligible, reviews_from_replies
 from filingdelta.operators.textdiff import text_diff_chars, text_differences
+from filingdelta.session import materialise
 
 INFO_SAMPLE_CHARS = 5_000
 NOT_TWO = "現在は2つのドキュメント間の比較のみサポートしています"
@@ -66,10 +67,12 @@ def compare(
     ``requests``: (comparison_id, position, document_id); requests of other than
     two documents get an error in ``comparisons`` and no results. ``replies``:
     (pair_id, mapping_index, reply_json). The results are independent lazy tables
-    over one mapping table.
+    over the modes and the mappings, which are computed once and checkpointed.
     """
-    modes = determine_modes(requests, corpus.documents).withColumn(
-        "error", F.coalesce("error", F.when(F.col("n_documents") > 2, NOT_TWO))
+    modes = materialise(
+        determine_modes(requests, corpus.documents).withColumn(
+            "error", F.coalesce("error", F.when(F.col("n_documents") > 2, NOT_TWO))
+        )
     )
     pairs = modes.where(F.col("n_documents") == 2).select(
         F.col("comparison_id").cast("string").alias("pair_id"), "doc1_id", "doc2_id", "mode"
@@ -78,7 +81,7 @@ def compare(
     typed = pairs.join(
         kind.withColumnsRenamed({"document_id": "doc1_id", "document_type": "doc1_type"}), "doc1_id"
     ).join(kind.withColumnsRenamed({"document_id": "doc2_id", "document_type": "doc2_type"}), "doc2_id")
-    mappings = map_sections(typed, corpus.sections, corpus.vectors, threshold, dimension)
+    mappings = materialise(map_sections(typed, corpus.sections, corpus.vectors, threshold, dimension))
     texts = corpus.documents.select("document_id", "text")
     text_pairs = (
         pairs.join(texts.withColumnsRenamed({"document_id": "doc1_id", "text": "text1"}), "doc1_id")

@@ -19,7 +19,7 @@ _TYPED = "COALESCE(NULLIF(COALESCE(NULLIF(manual_type, ''), detected_type), '')
 # Named steps; a statement pulls in the ones it mentions.
 STEPS = {
     name: sql.format(
-        first_line="split_part(text, chr(10), 1)", page_windows="page_windows", **{g: g for g in GIVEN}
+        first_line="split_part(text, chr(10), 1)", **{g: g for g in GIVEN}
     )
     for name, sql in SHARED.items()
 }
@@ -39,6 +39,27 @@ FROM (SELECT document_id, n, unnest(range(CAST(greatest(1, (n + 7) // 9) AS BIGI
     "page_windows": """
 SELECT p.document_id, p.page_number, w.batch_index, w.batch_start, w.batch_end
 FROM doc_pages p JOIN windows w ON p.document_id = w.document_id AND p.page_number BETWEEN w.batch_start AND w.batch_end""",
+    "candidates": """
+SELECT document_id, batch_index, CAST(floor((page_number - 1) / 2) AS INT) AS ordinal,
+  'S' || CAST(CAST(floor((page_number - 1) / 8) AS INT) AS STRING)
+    || ' - T' || CAST(CAST(floor((page_number - 1) / 4) AS INT) AS STRING)
+    || ' - U' || CAST(CAST(floor((page_number - 1) / 2) AS INT) AS STRING) AS section_name,
+  min(page_number) AS start_page, max(page_number) AS end_page,
+  CAST(10 - (max(document_id) + max(batch_index)) % 5 AS DOUBLE) / 10 AS confidence,
+  max(page_number) = max(batch_end) AS is_continuing
+FROM page_windows
+GROUP BY document_id, batch_index, floor((page_number - 1) / 8), floor((page_number - 1) / 4),
+  floor((page_number - 1) / 2)
+UNION ALL
+SELECT document_id, batch_index, -1 AS ordinal,
+  'S' || CAST(CAST(floor((batch_start - 1) / 8) AS INT) AS STRING) AS section_name,
+  batch_start AS start_page, CAST(batch_start + 2 AS INT) AS end_page,
+  CAST(0.5 AS DOUBLE) AS confidence, FALSE AS is_continuing
+FROM page_windows WHERE page_number = batch_start
+UNION ALL
+SELECT document_id, batch_index, -2 AS ordinal, 'Appendix' AS section_name,
+  batch_end AS start_page, batch_end AS end_page, CAST(NULL AS DOUBLE) AS confidence, TRUE AS is_continuing
+FROM page_windows WHERE page_number = batch_end""",
     "merged": """
 SELECT document_id, section_name, min(start_page) AS start_page, max(end_page) AS end_page,
   arg_min(COALESCE(confidence, 0.0), batch_index * 100000 + ordinal) AS confidence,

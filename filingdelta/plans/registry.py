@@ -16,7 +16,7 @@ from filingdelta.operators import (
 from filingdelta.plans.compare import Corpus, compare, pair_inputs
 from filingdelta.plans.structure import detect, extraction_inputs
 from filingdelta.plans.tables import LANGUAGE_LEXICON, Tables
-from filingdelta.session import configure, scratch_path
+from filingdelta.session import configure, materialise, scratch_path
 from filingdelta.sources import exports, records, templates
 from filingdelta.streaming import intake as intake_stream, retention, status
 
@@ -832,7 +832,9 @@ def comparison_results(t: Tables) -> dict[str, DataFrame]:
     docs = t.shared("filings").join(
         t.base("orders").select(F.col("o_orderkey").alias("document_id"), "o_orderdate", "o_custkey"), "document_id"
     )
-    parsed = content.parse_content_reply(t.shared("content_replies")).withColumn("section_name", F.lit("order"))
+    parsed = materialise(
+        content.parse_content_reply(t.shared("content_replies")).withColumn("section_name", F.lit("order"))
+    )
     facts = parsed.where("extracted_content is not null")
     cells = t.base("lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.lit("items").alias("table_id"), F.col("l_linenumber").alias("row"),

@@ -7,7 +7,7 @@ stand in braces; braces that belong to the SQL are doubled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filingdelta.operators.classify import Lexicon
 from filingdelta.operators.sections import page_batches
@@ -55,28 +55,6 @@ SELECT event_id, CAST(user_id AS STRING) AS document_id, CAST(ts AS TIMESTAMP) A
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'extracting_text'
                   WHEN 'purchase' THEN 'structured' ELSE 'failed' END AS processing_status
 FROM {events}""",
-    # Section candidates per page window: three levels, and parents detected on their own.
-    "candidates": """
-SELECT document_id, batch_index, CAST(floor((page_number - 1) / 2) AS INT) AS ordinal,
-  'S' || CAST(CAST(floor((page_number - 1) / 8) AS INT) AS STRING)
-    || ' - T' || CAST(CAST(floor((page_number - 1) / 4) AS INT) AS STRING)
-    || ' - U' || CAST(CAST(floor((page_number - 1) / 2) AS INT) AS STRING) AS section_name,
-  min(page_number) AS start_page, max(page_number) AS end_page,
-  CAST(10 - (max(document_id) + max(batch_index)) % 5 AS DOUBLE) / 10 AS confidence,
-  max(page_number) = max(batch_end) AS is_continuing
-FROM {page_windows}
-GROUP BY document_id, batch_index, floor((page_number - 1) / 8), floor((page_number - 1) / 4),
-  floor((page_number - 1) / 2)
-UNION ALL
-SELECT document_id, batch_index, -1 AS ordinal,
-  'S' || CAST(CAST(floor((batch_start - 1) / 8) AS INT) AS STRING) AS section_name,
-  batch_start AS start_page, CAST(batch_start + 2 AS INT) AS end_page,
-  CAST(0.5 AS DOUBLE) AS confidence, FALSE AS is_continuing
-FROM {page_windows} WHERE page_number = batch_start
-UNION ALL
-SELECT document_id, batch_index, -2 AS ordinal, 'Appendix' AS section_name,
-  batch_end AS start_page, batch_end AS end_page, CAST(NULL AS DOUBLE) AS confidence, TRUE AS is_continuing
-FROM {page_windows} WHERE page_number = batch_end""",
     # Documents with company, type and year: one per order.
     "filings": """
 SELECT o_orderkey AS document_id,
@@ -240,6 +218,11 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A small file arrives as one split: share its rows out before costly work. Big tables keep their splits."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
     def shared(self, name: str, **inputs: DataFrame) -> DataFrame:
         """A SHARED definition; given tables it names are read, others must be passed in."""
         sql = SHARED[name].replace('"row"', "`row`").replace('"col"', "`col`")
@@ -247,6 +230,8 @@ class Tables:
         for table in GIVEN:
             if "{" + table + "}" in sql:
                 inputs.setdefault(table, self.base(table))
+        if name in SPREAD:
+            inputs["orders"] = self.spread(inputs["orders"])
         return self.spark.sql(sql, **inputs)
 
     def pages(self) -> DataFrame:
@@ -258,15 +243,45 @@ class Tables:
             lambda i: F.array_join(F.slice("_lines", i * PAGE_LINES + 1, PAGE_LINES), "\n"),
         )
         return (
-            self.base("documents")
+            self.spread(self.base("documents").select("doc_id", "text"))
             .select(F.col("doc_id").alias("document_id"), lines.alias("_lines"))
             .select("document_id", F.posexplode(cut).alias("_i", "text"))
             .select("document_id", (F.col("_i") + 1).cast("int").alias("page_number"), "text")
         )
 
     def candidates(self) -> DataFrame:
+        """Section candidates per page window: three levels, and parents detected on their own.
+
+        One row per window and two-page stretch; the stretch that opens a window
+        also names the top section, the one that closes it an appendix.
+        """
+        def label(letter: str, page: Column, size: int) -> Column:
+            return F.concat(F.lit(letter), F.floor((page - 1) / size).cast("string"))
+
+        def candidate(ordinal: Column, name: Column, start: Column, end: Column, confidence: Column, goes_on: Column) -> Column:
+            return F.struct(
+                ordinal.cast("int").alias("ordinal"), name.alias("section_name"), start.alias("start_page"),
+                end.cast("int").alias("end_page"), confidence.cast("double").alias("confidence"),
+                goes_on.alias("is_continuing"),
+            )
+
         windows = page_batches(self.pages().select("document_id", "page_number"))
-        return self.shared("candidates", page_windows=windows)
+        stretch = windows.groupBy(
+            "document_id", "batch_index", "batch_start", "batch_end", F.floor((F.col("page_number") - 1) / 2).alias("_u")
+        ).agg(F.min("page_number").alias("_from"), F.max("page_number").alias("_to"))
+        first, last, opens, closes = F.col("_from"), F.col("_to"), F.col("batch_start"), F.col("batch_end")
+        name = F.concat_ws(" - ", label("S", first, 8), label("T", first, 4), label("U", first, 2))
+        share = (10 - (F.col("document_id") + F.col("batch_index")) % 5).cast("double") / 10
+        found = F.array_compact(
+            F.array(
+                candidate(F.col("_u"), name, first, last, share, last == closes),
+                F.when(first == opens, candidate(F.lit(-1), label("S", opens, 8), opens, opens + 2, F.lit(0.5), F.lit(False))),
+                F.when(last == closes, candidate(F.lit(-2), F.lit("Appendix"), closes, closes, F.lit(None), F.lit(True))),
+            )
+        )
+        return stretch.select("document_id", "batch_index", F.explode(found).alias("c")).select(
+            "document_id", "batch_index", "c.*"
+        )
 
     def vectors(self) -> DataFrame:
         """Embeddings as section vectors; the label is the document."""
@@ -285,6 +300,9 @@ class Tables:
         return copies.unionByName(self.shared("turn_pairs"))
 
 
+# Definitions that build long JSON texts, which are then parsed.
+SPREAD = ("content_replies", "review_replies")
+
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
