@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from filingdelta.plans.registry import NOW, THRESHOLD, UPLOAD_LIMIT_MB
+from filingdelta.plans.registry import EXPECTED_SECTIONS, NOW, THRESHOLD, UPLOAD_LIMIT_MB, WARNING_LEVELS
 from filingdelta.plans.tables import GIVEN, LANGUAGE_LEXICON, PAGE_LINES, SHARED
 
 _WORDS = ", ".join(
@@ -609,6 +609,70 @@ SELECT document_id, arg_max(processing_status, row(ts, event_id)) AS processing_
 SELECT event_id AS document_id, ts AS created_at FROM events
 WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 24 HOUR""",
 }
+_EXPECTED = ", ".join(f"'{e}'" for e in EXPECTED_SECTIONS)
+_LEVEL = "greatest(0, " + ", ".join(
+    f"CASE WHEN contains(low, '{p}') THEN {n} ELSE 0 END" for p, n in WARNING_LEVELS.items()
+) + ")"
+STEPS |= {
+    "month_numbers": """
+SELECT p.pair_id, 1 AS side, c.* FROM month_pairs p JOIN cell_value c ON p.doc1_id = c.document_id WHERE c."col" >= 1 AND value IS NOT NULL
+UNION ALL SELECT p.pair_id, 2, c.* FROM month_pairs p JOIN cell_value c ON p.doc2_id = c.document_id WHERE c."col" >= 1 AND value IS NOT NULL""",
+    "side_lines": """
+SELECT pair_id, side, line, lower(line) AS low FROM (
+  SELECT pair_id, 1 AS side, unnest(string_split(text1, chr(10))) AS line FROM text_pairs
+  UNION ALL SELECT pair_id, 2, unnest(string_split(text2, chr(10))) FROM text_pairs)""",
+    "logical_diffs": ORACLE["e17_compare_relations"],
+    "leaf_pages": """
+SELECT m.* FROM merged_pages m ANTI JOIN above a ON m.document_id = a.document_id AND m.section_name = a.section_name""",
+}
+ORACLE |= {
+    "p1_unmatched_sections": """
+SELECT pair_id, side, section_name FROM (
+  SELECT p.pair_id, 1 AS side, s.section_name FROM copy_pairs p JOIN content_sections s ON p.doc1_id = s.document_id
+  UNION ALL SELECT p.pair_id, 2, s.section_name FROM copy_pairs p JOIN content_sections s ON p.doc2_id = s.document_id) o
+ANTI JOIN (SELECT pair_id, section_name FROM common WHERE has_both) c USING (pair_id, section_name)""",
+    "p2_missing_numbers": """
+SELECT pair_id, table_id, "row", "col", max(item_name) AS item_name, max(value) AS value, CAST(3 - max(side) AS INTEGER) AS missing_in
+FROM month_numbers GROUP BY pair_id, table_id, "row", "col" HAVING count(*) = 1""",
+    "p3_text_match": """
+SELECT t.pair_id, CASE WHEN text1 = text2 THEN 'exact' WHEN ratio > 0 THEN 'partial' ELSE 'none' END AS match,
+  CASE WHEN text1 = text2 THEN 1.0 ELSE round(ratio, 6) END AS match_ratio
+FROM text_pairs t JOIN (SELECT pair_id, sum(least(n1, n2)) * CAST(2 AS DOUBLE) / sum(n1 + n2) AS ratio FROM line_counts GROUP BY pair_id) r USING (pair_id)""",
+    "p4_semantic_bands": f"""
+SELECT vec_id, CASE WHEN similarity >= 0.75 THEN 'similar' WHEN similarity < 0.3 THEN 'important_difference' ELSE 'between' END AS band
+FROM ({ORACLE['e7_cosine']})""",
+    "p5_topic_comparison": """
+SELECT pair_id, kind AS topic, chars1, chars2, CASE WHEN chars2 = 0 THEN 'only_first' WHEN chars1 = 0 THEN 'only_second' ELSE 'both' END AS presence,
+  CASE WHEN chars1 > 0 THEN round(chars2 / CAST(chars1 AS DOUBLE), 6) END AS volume_ratio
+FROM (SELECT pair_id, kind, CAST(sum(CASE side WHEN 1 THEN length(line) ELSE 0 END) AS BIGINT) AS chars1, CAST(sum(CASE side WHEN 2 THEN length(line) ELSE 0 END) AS BIGINT) AS chars2
+  FROM side_lines s JOIN (SELECT kind, list(word) AS words FROM lexicon GROUP BY kind) l ON len(list_filter(words, lambda w: contains(low, w))) > 0
+  GROUP BY pair_id, kind)""",
+    "p6_warning_strength": f"""
+SELECT pair_id, level1, level2, CASE WHEN level1 > level2 THEN 1 WHEN level2 > level1 THEN 2 END AS stronger
+FROM (SELECT pair_id, max(CASE side WHEN 1 THEN {_LEVEL} END) AS level1, max(CASE side WHEN 2 THEN {_LEVEL} END) AS level2 FROM side_lines GROUP BY pair_id)""",
+    "p7_priority": """
+SELECT comparison_id, mapping_index, section_name AS section, CASE WHEN section_name IN ('1-URGENT', '2-HIGH') THEN 'high'
+  WHEN o_totalprice / 400000 >= 0.95 THEN 'low' ELSE 'medium' END AS priority FROM reviews""",
+    "p8_undetected_sections": f"""
+SELECT w.document_id, w.section_name FROM (SELECT doc_id AS document_id, unnest([{_EXPECTED}]) AS section_name FROM documents) w
+ANTI JOIN merged m USING (document_id, section_name)""",
+    "p8_extra_sections": f"SELECT document_id, section_name, start_page, end_page FROM merged WHERE section_name NOT IN ({_EXPECTED})",
+    "p8_low_confidence": "SELECT document_id, section_name, confidence FROM merged WHERE confidence < 0.7",
+    "p8_overlapping_pages": """
+SELECT document_id, page_number, count(*) AS n_sections, min(section_name) AS first_section, max(section_name) AS last_section
+FROM leaf_pages GROUP BY document_id, page_number HAVING count(*) > 1""",
+    "p9_series_checks": """
+SELECT o_orderkey, o_orderstatus <> 'P' AS all_numeric, NOT starts_with(o_orderpriority, '1') AS years_in_order,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS n_outliers FROM orders""",
+    "p9_unquoted_relations": "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R')",
+    "p10_difference_counts": """
+SELECT kind, section, count(*) AS n FROM (
+  SELECT 'numeric' AS kind, table_id AS section FROM cell_diffs WHERE table_id = table2
+  UNION ALL SELECT 'relation', change_type FROM logical_diffs) GROUP BY ROLLUP (kind, section)""",
+    "p11_difference_list": """
+SELECT comparison_id, mapping_index, section_name, summary FROM reviews
+WHERE importance = 'high' AND (contains(lower(section_name), 'total 4') OR COALESCE(contains(lower(summary), 'total 4'), FALSE))""",
+}
 ORACLE["g2_latest_status_stream"] = ORACLE["g2_latest_status"]
 
 

@@ -10,7 +10,7 @@ from filingdelta.functions.company import normalise_company, same_company
 from filingdelta.functions.numbers import extract_number_unit, normalise_unit, within_tolerance
 from filingdelta.functions.vectors import cosine
 from filingdelta.operators import (
-    changes, classify, content, differences, grids, intake, mapping, pages, related, report, reviews,
+    changes, checks, classify, content, differences, grids, intake, mapping, pages, related, report, reviews,
     sections, textdiff,
 )
 from filingdelta.plans.compare import Corpus, compare, pair_inputs
@@ -642,14 +642,19 @@ def e10(t: Tables) -> DataFrame:
     )
 
 
+def _month_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    numbers = differences.with_numbers(t.shared("cells"))
+    pairs = t.shared("month_pairs")
+    return (
+        pairs.join(numbers.withColumnRenamed("document_id", "doc1_id"), "doc1_id"),
+        pairs.join(numbers.withColumnRenamed("document_id", "doc2_id"), "doc2_id"),
+    )
+
+
 @register("e11_compare_tables")
 def e11(t: Tables) -> DataFrame:
     """Same-named tables: the table name is a join key, not a product."""
-    numbers = differences.with_numbers(t.shared("cells"))
-    pairs = t.shared("month_pairs")
-    left = pairs.join(numbers.withColumnRenamed("document_id", "doc1_id"), "doc1_id")
-    right = pairs.join(numbers.withColumnRenamed("document_id", "doc2_id"), "doc2_id")
-    found = differences.compare_cells(left, right, ["pair_id", "table_id"])
+    found = differences.compare_cells(*_month_sides(t), ["pair_id", "table_id"])
     return found.select(
         "pair_id", "table_id", "row", "col", "item_name", "value1", "value2", F.round("difference", 4).alias("difference"),
         F.round("difference_pct", 6).alias("difference_pct"), "unit1", "unit2", "normalized_unit",
@@ -1003,3 +1008,114 @@ def g3_stream(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "expiry")
     retention.run_expiry(created, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.schema("document_id long, created_at timestamp").parquet(f"{out}/rows")
+
+
+# Checks and lists
+
+
+@register("p1_unmatched_sections")
+def p1(t: Tables) -> DataFrame:
+    found = _content_sections(t)
+    return checks.unmatched_sections(_copy_pairs(t), found, mapping.map_exact(_copy_pairs(t), found, numbered=False))
+
+
+@register("p2_missing_numbers")
+def p2(t: Tables) -> DataFrame:
+    return checks.missing_numbers(*_month_sides(t), ["pair_id", "table_id"])
+
+
+@register("p3_text_match")
+def p3(t: Tables) -> DataFrame:
+    return _rounded(checks.text_match(t.text_pairs()), "match_ratio")
+
+
+@register("p4_semantic_bands")
+def p4(t: Tables) -> DataFrame:
+    return e7(t).select("vec_id", checks.similarity_band(F.col("similarity")).alias("band"))
+
+
+@register("p5_topic_comparison")
+def p5(t: Tables) -> DataFrame:
+    return _rounded(checks.compare_topics(t.text_pairs(), LANGUAGE_LEXICON), "volume_ratio")
+
+
+WARNING_LEVELS = {"the": 1, "with": 2, "eaux": 2, "that": 3, "und": 1, "keit": 3}
+
+
+@register("p6_warning_strength")
+def p6(t: Tables) -> DataFrame:
+    return checks.compare_warnings(t.text_pairs(), WARNING_LEVELS)
+
+
+@register("p7_priority")
+def p7(t: Tables) -> DataFrame:
+    rows = t.shared("reviews").select(
+        "comparison_id", "mapping_index", F.col("section_name").alias("section"), (F.col("o_totalprice") / 400000).alias("match_ratio")
+    )
+    return checks.with_priority(rows, ["1-URGENT"], ["2-HIGH"]).select("comparison_id", "mapping_index", "section", "priority")
+
+
+EXPECTED_SECTIONS = ["Appendix", "Preface", "S0 - T0 - U0", "S0 - T1 - U2"]
+
+
+@register("p8_undetected_sections")
+def p8(t: Tables) -> DataFrame:
+    docs = t.base("documents").select(F.col("doc_id").alias("document_id"))
+    return checks.undetected_sections(docs, _merged(t), EXPECTED_SECTIONS)
+
+
+@register("p8_extra_sections")
+def p8_extra(t: Tables) -> DataFrame:
+    return checks.extra_sections(_merged(t), EXPECTED_SECTIONS)
+
+
+@register("p8_low_confidence")
+def p8_low(t: Tables) -> DataFrame:
+    return checks.low_confidence(_merged(t)).select("document_id", "section_name", "confidence")
+
+
+@register("p8_overlapping_pages")
+def p8_overlap(t: Tables) -> DataFrame:
+    return checks.overlapping_pages(_merged(t))
+
+
+@register("p9_series_checks")
+def p9(t: Tables) -> DataFrame:
+    """Three points per order: a year back, the year, a year on."""
+    total = F.floor("o_totalprice").cast("long")
+    last = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).when(
+        F.col("o_orderstatus") == "F", (total * 30).cast("string")
+    ).otherwise(total.cast("string"))
+    year = F.year("o_orderdate")
+    turned = F.substring("o_orderpriority", 1, 1) == "1"
+
+    def point(offset: int, value: Column) -> Column:
+        period = F.concat((year + F.when(turned, -offset).otherwise(offset)).cast("string"), F.lit("年3月期"))
+        return F.struct(period.alias("period"), value.alias("value"))
+
+    series = F.array(point(-1, total.cast("string")), point(0, total.cast("string")), point(1, last))
+    return checks.check_series(t.base("orders").select("o_orderkey", series.alias("time_series"))).drop("time_series")
+
+
+@register("p9_unquoted_relations")
+def p9_unquoted(t: Tables) -> DataFrame:
+    rel = F.struct(
+        F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "R", F.lit(None).cast("string"))
+        .otherwise("quoted").alias("original_text")
+    )
+    rows = t.base("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", rel.alias("relation"))
+    return checks.unquoted_relations(rows).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@register("p10_difference_counts")
+def p10(t: Tables) -> DataFrame:
+    numeric = e11(t).select(F.lit("numeric").alias("kind"), F.col("table_id").alias("section"))
+    logical = e17(t).select(F.lit("relation").alias("kind"), F.col("change_type").alias("section"))
+    return checks.difference_counts(numeric.unionByName(logical))
+
+
+@register("p11_difference_list")
+def p11(t: Tables) -> DataFrame:
+    return checks.difference_list(t.shared("reviews"), "high", None, "total 4", "page").select(
+        "comparison_id", "mapping_index", "section_name", "summary"
+    )
