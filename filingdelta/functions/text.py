@@ -55,20 +55,23 @@ def joined(parts: Column, sep: str) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit(""))), sep)
 
 
-def ancestors(path: Column, sep: str = " - ") -> Column:
-    """All proper prefixes of a section path that end right before a separator."""
+def path_prefixes(path: Column, sep: str = " - ") -> Column:
+    """Proper prefixes of a path by its parts, shortest first."""
     parts = F.split(path, re.escape(sep))
-    by_part = F.transform(
+    return F.transform(
         F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)),
         lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep),
     )
-    # Separators that share a character are found by position only.
+
+
+def ancestors(path: Column, sep: str = " - ") -> Column:
+    """All prefixes of a path that a separator follows, also where separators overlap."""
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))),
-        lambda i: (F.substr(path, i, F.lit(len(sep))) == sep) & (i > 1),
+        lambda i: F.substr(path, i, F.lit(len(sep))) == sep,
     )
     by_position = F.transform(starts, lambda i: F.substr(path, F.lit(1), i - 1))
-    return F.when(F.contains(path, F.lit(sep + sep[1:])), by_position).otherwise(by_part)
+    return F.when(F.contains(path, F.lit(sep + sep[1:])), by_position).otherwise(path_prefixes(path, sep))
 
 
 def any_contains(cols: Sequence[Column], needle: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filingdelta.functions.text import ancestors, strip
+from filingdelta.functions.text import ancestors, path_prefixes, strip
 
 # Window shape, text cuts and the path separator.
 WINDOW_PAGES, PAGE_CHARS, WINDOW_CHARS, MIN_SECTION_CHARS = 10, 2_000, 15_000, 100
@@ -158,7 +158,7 @@ def rebuild_parents(sections: DataFrame, pages: DataFrame) -> DataFrame:
     sent = (
         sections.select(
             "document_id", F.col("section_name").alias("_from"), own.alias("_own"),
-            F.concat(F.array("section_name"), ancestors(F.col("section_name"))).alias("_names"),
+            F.concat(F.array("section_name"), path_prefixes(F.col("section_name"))).alias("_names"),
             F.posexplode_outer("pages").alias("_pos", "_page"),
         )
         .withColumn("_first", F.coalesce(F.col("_pos") == 0, F.lit(True)))
