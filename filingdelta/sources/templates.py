@@ -77,7 +77,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.yaml`` of a folder; the document type is the file's stem."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.yaml").text(folder, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.yaml$", 1)
     return parse_templates(files.select(stem.alias("document_type"), F.col("value").alias("body")))
 
