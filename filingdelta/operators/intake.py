@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filingdelta.functions.text import filled, first_filled
 from filingdelta.schemas import UNKNOWN_LABEL, UNKNOWN_TYPE, WORKING_STATES
+from filingdelta.session import broadcast_if_small
 
 # Limits, file signature and messages.
 MAX_FILES, MAX_FILE_MB, BYTES_PER_MB = 5, 50, 1024 * 1024
@@ -94,7 +95,7 @@ def apply_overrides(docs: DataFrame, overrides: DataFrame, supported: DataFrame)
     names = supported.select(
         F.col("document_type").alias("requested_type"), F.col("display_name").alias("_display")
     )
-    asked = overrides.join(names, "requested_type", "left").select(
+    asked = overrides.join(broadcast_if_small(names), "requested_type", "left").select(
         "document_id", "requested_type", "_display", F.lit(True).alias("_asked")
     )
     request = F.col("requested_type")
@@ -120,11 +121,15 @@ def supported_types(types: DataFrame) -> DataFrame:
 
 
 def with_display_name(docs: DataFrame, types: DataFrame) -> DataFrame:
-    """Display name of the effective type, the type itself when the catalogue has none."""
+    """Display name of the effective type, the type itself when the catalogue has none.
+
+    A few types cover all documents, so the catalogue is broadcast and the
+    documents stay where they are.
+    """
     names = types.select("document_type", F.col("display_name").alias("_display"))
     return (
         docs.withColumn("document_type", effective_type())
-        .join(names, "document_type", "left")
+        .join(broadcast_if_small(names), "document_type", "left")
         .withColumn("display_name", F.coalesce("_display", "document_type"))
         .drop("_display")
     )

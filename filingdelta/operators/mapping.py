@@ -110,6 +110,11 @@ def vector_blocks(vectors: DataFrame, block: int) -> DataFrame:
     )
 
 
+def block_numbers(rows: DataFrame, block: int, out: str) -> DataFrame:
+    """Block numbers of each document: one entry per ``block`` rows, without the rows themselves."""
+    return rows.groupBy("document_id").agg(F.collect_set(F.floor(F.col("ordinal") / block)).alias(out))
+
+
 def block_rows(dimension: int) -> int:
     """Rows per block so that a block stays near half a megabyte whatever the vector size."""
     return max(8, BLOCK_VALUES // max(1, dimension))
@@ -177,13 +182,25 @@ def map_semantic(
     many sections becomes many block pairs, spread over tasks. A tie goes to the
     first doc2 section.
     """
-    blocks = vector_blocks(vectors, block_rows(dimension))
-    left = blocks.select(F.col("document_id").alias("doc1_id"), F.col("items").alias("items1"))
-    right = blocks.select(F.col("document_id").alias("doc2_id"), F.col("items").alias("items2"))
+    size = block_rows(dimension)
+    blocks, numbers = vector_blocks(vectors, size), block_numbers(vectors, size, "_blocks")
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumnsRenamed(
+            {"document_id": f"doc{n}_id", "_block": f"_block{n}", "_blocks": f"_blocks{n}", "items": f"items{n}"}
+        )
+
     keyed = pairs.select("pair_id", "doc1_id", "doc2_id").withColumn("pair_id", F.col("pair_id").cast("string"))
+    # Block numbers are paired first and the blocks fetched by number, so the blocks
+    # of one long document go to as many tasks as it has block pairs.
     best = (
-        keyed.join(left, "doc1_id")
-        .join(right, "doc2_id")
+        keyed.join(side(numbers, 1), "doc1_id")
+        .join(side(numbers, 2), "doc2_id")
+        .withColumn("_block1", F.explode("_blocks1"))
+        .withColumn("_block2", F.explode("_blocks2"))
+        .drop("_blocks1", "_blocks2")
+        .join(side(blocks, 1), ["doc1_id", "_block1"])
+        .join(side(blocks, 2), ["doc2_id", "_block2"])
         .select("pair_id", "items1", "items2")
         .mapInArrow(
             _best_in_blocks(threshold),

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filingdelta.operators.mapping import block_rows, similarities, unpack, vector_blocks
+from filingdelta.operators.mapping import block_numbers, block_rows, similarities, unpack, vector_blocks
 
 TOP_K, MAX_ROUNDS = 3, 2
 _HIT = "query_id string, ordinal long, section_name string, similarity double"
@@ -50,12 +50,12 @@ def related_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, dimensi
 
     ``queries``: (query_id, document_id, ordinal, vector, exclude array<string>);
     ``vectors``: sections with content only. Queries and sections meet as
-    blocks; each block pair returns at most k rows per query.
+    blocks, fetched by block number; each block pair returns at most k rows per query.
     """
     rows = block_rows(dimension)
     asked = (
-        queries.withColumn("_qblock", F.floor(F.col("ordinal") / rows))
-        .groupBy("document_id", "_qblock")
+        queries.withColumn("_asked", F.floor(F.col("ordinal") / rows))
+        .groupBy("document_id", "_asked")
         .agg(
             F.collect_list(
                 F.struct(
@@ -66,7 +66,13 @@ def related_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, dimensi
         )
     )
     hits = (
-        asked.join(vector_blocks(vectors, rows), "document_id")
+        block_numbers(queries, rows, "_q")
+        .join(block_numbers(vectors, rows, "_v"), "document_id")
+        .withColumn("_asked", F.explode("_q"))
+        .withColumn("_block", F.explode("_v"))
+        .drop("_q", "_v")
+        .join(asked, ["document_id", "_asked"])
+        .join(vector_blocks(vectors, rows), ["document_id", "_block"])
         .select("queries", "items")
         .mapInArrow(_top_in_block(k), _HIT)
     )

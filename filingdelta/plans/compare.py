@@ -12,7 +12,7 @@ from filingdelta.operators.differences import compare_numbers
 from filingdelta.operators.intake import effective_label, effective_type
 from filingdelta.operators.mapping import SIMILARITY_THRESHOLD, determine_modes, map_sections
 from filingdelta.operators.reviews import assemble_reviews, eligible, reviews_from_replies
-from filingdelta.operators.textdiff import text_diff_chars, text_differences
+from filingdelta.operators.textdiff import COMPARED_CHARS, text_diff_chars, text_differences
 from filingdelta.session import materialise
 
 INFO_SAMPLE_CHARS = 5_000
@@ -82,7 +82,8 @@ def compare(
         kind.withColumnsRenamed({"document_id": "doc1_id", "document_type": "doc1_type"}), "doc1_id"
     ).join(kind.withColumnsRenamed({"document_id": "doc2_id", "document_type": "doc2_type"}), "doc2_id")
     mappings = materialise(map_sections(typed, corpus.sections, corpus.vectors, threshold, dimension))
-    texts = corpus.documents.select("document_id", "text")
+    # Only the compared characters travel through the joins.
+    texts = corpus.documents.select("document_id", F.substring("text", 1, COMPARED_CHARS).alias("text"))
     text_pairs = (
         pairs.join(texts.withColumnsRenamed({"document_id": "doc1_id", "text": "text1"}), "doc1_id")
         .join(texts.withColumnsRenamed({"document_id": "doc2_id", "text": "text2"}), "doc2_id")

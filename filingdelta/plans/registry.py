@@ -686,7 +686,7 @@ def e12(t: Tables) -> DataFrame:
 
 @register("e13_text_match_ratio")
 def e13(t: Tables) -> DataFrame:
-    found = textdiff.text_diff_chars(t.text_pairs())
+    found = textdiff.text_diff_chars(t.text_pairs(textdiff.COMPARED_CHARS))
     return found.select(
         "pair_id", F.round("match_ratio", 6).alias("match_ratio"), F.size("added_text").alias("n_added"),
         F.size("removed_text").alias("n_removed"), F.size("changed_text").alias("n_changed"),

@@ -291,8 +291,10 @@ class Tables:
             F.col("embedding").cast("array<double>").alias("vector"),
         )
 
-    def text_pairs(self) -> DataFrame:
-        texts = self.base("documents").select("doc_id", "text")
+    def text_pairs(self, max_chars: int | None = None) -> DataFrame:
+        """Pairs of whole texts, or of their leading characters for the operator that compares those."""
+        text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
+        texts = self.base("documents").select("doc_id", text.alias("text"))
         pairs = self.shared("copy_pairs")
         one = texts.select(F.col("doc_id").alias("doc1_id"), F.col("text").alias("text1"))
         two = texts.select(F.col("doc_id").alias("doc2_id"), F.col("text").alias("text2"))

@@ -87,9 +87,14 @@ def apply_structured(records: DataFrame, results: DataFrame, now: str) -> DataFr
     )
 
 
+def _by_day(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of a day together, so that a day gets few files; a busy day is split over tasks."""
+    return rows.withColumn("day", F.substring(by, 1, 10)).hint("rebalance", "day")
+
+
 def write_records(records: DataFrame, path: str, by: str = "created_at") -> None:
     """Parquet, one folder per day of the given timestamp text."""
-    records.withColumn("day", F.substring(by, 1, 10)).write.mode("overwrite").partitionBy("day").parquet(path)
+    _by_day(records, by).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def save_comparison(results: DataFrame, path: str) -> None:
@@ -100,7 +105,7 @@ def save_comparison(results: DataFrame, path: str) -> None:
             F.coalesce(F.col("comparison_id"), F.lit("")) == "", F.raise_error(F.lit("comparison_id is required"))
         ).otherwise(F.col("comparison_id")),
     )
-    checked.withColumn("day", F.substring("created_at", 1, 10)).write.mode("append").partitionBy("day").parquet(path)
+    _by_day(checked, "created_at").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
