@@ -13,7 +13,7 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], o
     """1-based row number per key, in the given order, without one task per key.
 
     Rows are range-partitioned on key and order, so a hot key is spread over
-    many partitions, and pinned by a checkpoint. Each partition numbers its own
+    many partitions, and pinned in a table of the shared folder. Each partition numbers its own
     rows; keys that cross a partition border then get an offset. At most one
     key crosses each border, so the offset table has no more rows than twice the
     number of partitions and is safe to broadcast.

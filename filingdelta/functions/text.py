@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-_CODE_POINTS = [chr(c) for c in range(sys.maxunicode + 1)]
+# White space and digits are all assigned below this code point.
+_CODE_POINTS = [chr(c) for c in range(0x20000)]
 
 # Every character that counts as white space, derived from the Unicode database.
 WHITESPACE = "".join(c for c in _CODE_POINTS if c.isspace())

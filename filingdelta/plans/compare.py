@@ -67,7 +67,7 @@ def compare(
     ``requests``: (comparison_id, position, document_id); requests of other than
     two documents get an error in ``comparisons`` and no results. ``replies``:
     (pair_id, mapping_index, reply_json). The results are independent lazy tables
-    over the modes and the mappings, which are computed once and checkpointed.
+    over the modes and the mappings, which are computed once into tables of the shared folder.
     """
     modes = materialise(
         determine_modes(requests, corpus.documents).withColumn(

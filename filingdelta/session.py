@@ -1,4 +1,4 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings and the shared folder for tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -50,12 +50,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"filingdelta-{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows and their partitions stay as they are if executors are lost."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write the rows to a table in the shared folder and read it back.
+
+    This cuts the lineage: the rows are computed once, whatever number of results
+    read them, and stay as they are if executors are lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
