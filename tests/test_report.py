@@ -21,11 +21,13 @@ def test_number_within_hot_key(spark):
     rows = [(("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 30)}"), rng.randint(0, 50), i) for i in range(5000)]
     rows += [(None, 3, 9001), (None, 1, 9002)]
     df = spark.createDataFrame(rows, "k string, o int, i int").repartition(16)
-    got = {r.i: r.n for r in number_within(df, ["k"], [F.col("o"), F.col("i")], "n").collect()}
     groups = {}
     for k, o, i in rows:
         groups.setdefault(k, []).append((o, i))
-    assert got == {i: n for items in groups.values() for n, (_, i) in enumerate(sorted(items), 1)}
+    want = {i: n for items in groups.values() for n, (_, i) in enumerate(sorted(items), 1)}
+    for limit in (1, 100, 10_000):
+        got = {r.i: r.n for r in number_within(df, ["k"], [F.col("o"), F.col("i")], "n", limit).collect()}
+        assert got == want, limit
 
 
 REVIEW = "comparison_id string, mapping_index long, section_name string, doc1_section_name string, doc2_section_name string, doc1_page_range string, doc2_page_range string, importance string, summary string, finished_at int"
