@@ -673,6 +673,28 @@ SELECT kind, section, count(*) AS n FROM (
 SELECT comparison_id, mapping_index, section_name, summary FROM reviews
 WHERE importance = 'high' AND (contains(lower(section_name), 'total 4') OR COALESCE(contains(lower(summary), 'total 4'), FALSE))""",
 }
+STEPS |= {
+    "two_documents": """
+SELECT CAST(comparison_id AS VARCHAR) AS pair_id, a.document_id AS d1, b.document_id AS d2, a.document_type AS t1, b.document_type AS t2
+FROM mode_groups WHERE n = 2""",
+    "mapped_orders": """
+SELECT t.pair_id, t.d1, t.d2, x.reply_json AS r1, y.reply_json AS r2 FROM two_documents t
+JOIN replies x ON t.d1 = x.document_id JOIN replies y ON t.d2 = y.document_id
+WHERE x.reply_json IS NOT NULL AND y.reply_json IS NOT NULL AND (t1 IS NOT DISTINCT FROM t2
+  OR list_cosine_similarity([CAST(1 AS DOUBLE), x.n / CAST(100 AS DOUBLE)], [CAST(1 AS DOUBLE), y.n / CAST(100 AS DOUBLE)]) > 0.7)""",
+    "order_cells": """
+SELECT l_orderkey, l_linenumber, arg_min(CAST(l_quantity AS BIGINT), row(l_partkey, l_extendedprice)) AS q
+FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+}
+ORACLE["e24_compare_documents"] = """
+SELECT CAST(comparison_id AS VARCHAR) AS pair_id, CAST(1 AS BIGINT) AS n_rows, 'comparisons' AS result FROM modes
+UNION ALL SELECT pair_id, 1, unnest(['mappings', 'text_diffs', 'section_reviews']) FROM mapped_orders
+UNION ALL SELECT pair_id, count(*), 'numeric_diffs' FROM mapped_orders m JOIN order_cells a ON m.d1 = a.l_orderkey
+  JOIN order_cells b ON m.d2 = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.q <> b.q GROUP BY pair_id
+UNION ALL SELECT pair_id, 1, 'kpi_changes' FROM mapped_orders
+  WHERE json_extract_string(r1, '$.kpi_time_series[0].stated_metrics.trend_stated') <> json_extract_string(r2, '$.kpi_time_series[0].stated_metrics.trend_stated')
+UNION ALL SELECT pair_id, 1, 'relation_changes' FROM mapped_orders
+  WHERE json_extract_string(r1, '$.logical_relationships[0].original_text') IS DISTINCT FROM json_extract_string(r2, '$.logical_relationships[0].original_text')"""
 ORACLE["g2_latest_status_stream"] = ORACLE["g2_latest_status"]
 
 

@@ -16,8 +16,8 @@ from filingdelta.plans import registry  # noqa: E402
 
 QUERIES = spark_entry.queries()
 ORACLE = spark_entry.oracle_sql()
-# Queries that run jobs of their own while they are built, or read files as bytes.
-WITHOUT_TWIN = {"a2_read_uploads", "e13_text_match_ratio", "e24_compare_documents"}
+# Files read as bytes, and character alignment.
+WITHOUT_TWIN = {"a2_read_uploads", "e13_text_match_ratio"}
 
 
 @pytest.fixture(scope="module")
