@@ -12,7 +12,17 @@ GROUPS = (
     "financial_data", "accounting_notes", "factual_info", "messages", "kpi_time_series",
     "logical_relationships", "segment_time_series",
 )
+# Wording of the embedding text and the digest, and their limits.
+SECTION_LABEL, FINANCE_LABEL, TOPIC_LABEL, FACT_LABEL = "セクション名: ", "財務指標: ", "会計トピック: ", "事実情報: "
+TYPE_LABEL, MESSAGE_LABEL = "メッセージ種類: ", "メッセージ内容: "
+FINANCE_HEAD, NOTES_HEAD, FACTS_HEAD = "【財務指標・数値情報】", "\n【会計処理上のコメント】", "\n【事実情報】"
+MESSAGES_HEAD, SERIES_HEAD = "\n【主張・メッセージ】", "\n【時系列財務データ】"
+RELATIONS_HEAD, SEGMENTS_HEAD = "\n【論理関係】", "\n【セグメント別時系列データ】"
+CONTEXT, TONE, CONFIDENCE, REVENUE = "\n  補足: ", " (トーン: ", " (信頼度: ", " (売上): "
+GROWTH, TREND, TARGET = "\n  CAGR: ", "\n  トレンド: ", "\n  目標: "
 NO_FACTS = "（抽出された情報なし）"
+MAX_ITEMS, MAX_TOPICS, MAX_PREVIEWS, PREVIEW_CHARS = 10, 5, 3, 100
+MAX_PERIODS, MAX_RELATIONS, RELATION_CHARS, MAX_SEGMENTS, SEGMENT_PERIODS = 5, 5, 200, 3, 3
 
 
 def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
@@ -53,15 +63,15 @@ def embedding_text(name: Column, content: Column) -> Column:
 
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("セクション名: "), name),
-        line("財務指標: ", "financial_data", 10, lambda x: x["item"]),
-        line("会計トピック: ", "accounting_notes", 5, lambda x: x["topic"]),
+        F.concat(F.lit(SECTION_LABEL), name),
+        line(FINANCE_LABEL, "financial_data", MAX_ITEMS, lambda x: x["item"]),
+        line(TOPIC_LABEL, "accounting_notes", MAX_TOPICS, lambda x: x["topic"]),
         line(
-            "事実情報: ", "factual_info", 10,
+            FACT_LABEL, "factual_info", MAX_ITEMS,
             lambda x: F.concat(_text(x["category"]), F.lit(": "), _text(x["item"])),
         ),
-        line("メッセージ種類: ", "messages", 10, lambda x: x["type"]),
-        line("メッセージ内容: ", "messages", 3, lambda x: F.substring(x["content"], 1, 100), " | "),
+        line(TYPE_LABEL, "messages", MAX_ITEMS, lambda x: x["type"]),
+        line(MESSAGE_LABEL, "messages", MAX_PREVIEWS, lambda x: F.substring(x["content"], 1, PREVIEW_CHARS), " | "),
     )
 
 
@@ -90,46 +100,46 @@ def content_digest(content: Column) -> Column:
     def kpi(k: Column) -> Column:
         return F.concat(
             cat("- ", k["indicator"], " (", k["unit"], "): "),
-            F.coalesce(series(k["time_series"], 5, k["unit"]), F.lit("")),
-            optional("\n  CAGR: ", k["stated_metrics"]["cagr_stated"]),
-            optional("\n  トレンド: ", k["stated_metrics"]["trend_stated"]),
-            optional("\n  目標: ", k["target_stated"]["target_description"]),
+            F.coalesce(series(k["time_series"], MAX_PERIODS, k["unit"]), F.lit("")),
+            optional(GROWTH, k["stated_metrics"]["cagr_stated"]),
+            optional(TREND, k["stated_metrics"]["trend_stated"]),
+            optional(TARGET, k["target_stated"]["target_description"]),
         )
 
     text = F.concat_ws(
         "\n",
         block(
-            "【財務指標・数値情報】", "financial_data",
+            FINANCE_HEAD, "financial_data",
             lambda x: F.concat(
                 cat("- ", x["item"], ": ", x["value"], " ", x["unit"], " (", x["period"], ")"),
-                optional("\n  補足: ", x["context"]),
+                optional(CONTEXT, x["context"]),
             ),
         ),
         block(
-            "\n【会計処理上のコメント】", "accounting_notes",
+            NOTES_HEAD, "accounting_notes",
             lambda x: cat("- ", x["topic"], " (", x["type"], ")\n  ", x["content"]),
         ),
         block(
-            "\n【事実情報】", "factual_info",
+            FACTS_HEAD, "factual_info",
             lambda x: cat("- ", x["category"], " - ", x["item"], ": ", x["value"]),
         ),
         block(
-            "\n【主張・メッセージ】", "messages",
-            lambda x: cat("- ", x["type"], " (トーン: ", x["tone"], ")\n  ", x["content"]),
+            MESSAGES_HEAD, "messages",
+            lambda x: cat("- ", x["type"], TONE, x["tone"], ")\n  ", x["content"]),
         ),
-        block("\n【時系列財務データ】", "kpi_time_series", kpi),
+        block(SERIES_HEAD, "kpi_time_series", kpi),
         block(
-            "\n【論理関係】", "logical_relationships",
+            RELATIONS_HEAD, "logical_relationships",
             lambda x: cat(
-                "- ", x["relationship_type"], " (信頼度: ", F.coalesce(x["confidence"], F.lit("medium")),
-                ")\n  ", F.substring(x["original_text"], 1, 200),
+                "- ", x["relationship_type"], CONFIDENCE, F.coalesce(x["confidence"], F.lit("medium")),
+                ")\n  ", F.substring(x["original_text"], 1, RELATION_CHARS),
             ),
-            5,
+            MAX_RELATIONS,
         ),
         block(
-            "\n【セグメント別時系列データ】", "segment_time_series",
-            lambda x: cat("- ", x["segment_name"], " (売上): ", series(x["revenue_time_series"], 3)),
-            3,
+            SEGMENTS_HEAD, "segment_time_series",
+            lambda x: cat("- ", x["segment_name"], REVENUE, series(x["revenue_time_series"], SEGMENT_PERIODS)),
+            MAX_SEGMENTS,
         ),
     )
     return F.coalesce(filled(text), F.lit(NO_FACTS))

@@ -8,7 +8,9 @@ from filingdelta.functions.text import has_digit, joined, strip
 
 NUMERIC_SHARE = 0.3
 # Wording of a table preview.
-NO_TABLES = "テーブルなし"
+NO_TABLES, TITLE = "テーブルなし", "テーブル%d (ページ%d): %d行 x %d列\n"
+MORE_ROWS, MORE_TABLES, DOTS = "  ... 他 %d 行", "... 他 %d 個のテーブル", "\n..."
+EXTRA_COLUMN = "column_"
 
 
 def normalise_tables(raw: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def normalise_tables(raw: DataFrame) -> DataFrame:
     def record(row: Column) -> Column:
         names = F.transform(
             row,
-            lambda _, i: F.coalesce(F.get("header", i), F.concat(F.lit("column_"), i.cast("string"))),
+            lambda _, i: F.coalesce(F.get("header", i), F.concat(F.lit(EXTRA_COLUMN), i.cast("string"))),
         )
         return F.map_from_arrays(names, row)
 
@@ -82,13 +84,13 @@ def table_preview(
     )
     first = small.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_tables)
     title = F.format_string(
-        "テーブル%d (ページ%d): %d行 x %d列\n", "position", "page_number", "n_rows", "n_cols"
+        TITLE, "position", "page_number", "n_rows", "n_cols"
     )
     rest = F.when(
-        F.col("n_rows") > max_rows, F.format_string("  ... 他 %d 行", F.col("n_rows") - max_rows)
+        F.col("n_rows") > max_rows, F.format_string(MORE_ROWS, F.col("n_rows") - max_rows)
     )
     lines = (
-        F.array(F.concat(title, "head", F.lit("\n...")))
+        F.array(F.concat(title, "head", F.lit(DOTS)))
         if trailing_dots
         else F.array_compact(F.array(F.concat(title, "head"), rest))
     )
@@ -100,7 +102,7 @@ def table_preview(
     lead = "" if trailing_dots else "\n"
     more = F.when(
         F.col("_n") > max_tables,
-        F.array(F.format_string(lead + "... 他 %d 個のテーブル", F.col("_n") - max_tables)),
+        F.array(F.format_string(lead + MORE_TABLES, F.col("_n") - max_tables)),
     ).otherwise(F.array().cast("array<string>"))
     return (
         sections.select(*keys)

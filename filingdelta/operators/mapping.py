@@ -17,7 +17,7 @@ from filingdelta.schemas import BY_COMPANY, BY_YEAR, CONSISTENCY, MULTI
 SIMILARITY_THRESHOLD = 0.7
 EXACT, SEMANTIC = "exact", "semantic_embedding"
 TOO_FEW_DOCUMENTS = "比較には最低2つのドキュメントが必要です"
-BLOCK_VALUES = 65_536
+BLOCK_VALUES, BLOCK_ROWS = 262_144, 1_024
 
 
 def mode_of(n: Column, one: Column, two: Column) -> Column:
@@ -111,13 +111,13 @@ def vector_blocks(vectors: DataFrame, block: int) -> DataFrame:
 
 
 def block_numbers(rows: DataFrame, block: int, out: str) -> DataFrame:
-    """Block numbers of each document: one entry per ``block`` rows, without the rows themselves."""
-    return rows.groupBy("document_id").agg(F.collect_set(F.floor(F.col("ordinal") / block)).alias(out))
+    """The blocks each document has, without their rows."""
+    return rows.select("document_id", F.floor(F.col("ordinal") / block).alias(out)).distinct()
 
 
 def block_rows(dimension: int) -> int:
-    """Rows per block so that a block stays near half a megabyte whatever the vector size."""
-    return max(8, BLOCK_VALUES // max(1, dimension))
+    """Rows per block: two megabytes of vectors at most, and a product of two blocks that fits a task."""
+    return min(BLOCK_ROWS, max(8, BLOCK_VALUES // max(1, dimension)))
 
 
 def unpack(items: pa.StructScalar | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -183,11 +183,11 @@ def map_semantic(
     first doc2 section.
     """
     size = block_rows(dimension)
-    blocks, numbers = vector_blocks(vectors, size), block_numbers(vectors, size, "_blocks")
+    blocks, numbers = vector_blocks(vectors, size), block_numbers(vectors, size, "_block")
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.withColumnsRenamed(
-            {"document_id": f"doc{n}_id", "_block": f"_block{n}", "_blocks": f"_blocks{n}", "items": f"items{n}"}
+            {"document_id": f"doc{n}_id", "_block": f"_block{n}", "items": f"items{n}"}
         )
 
     keyed = pairs.select("pair_id", "doc1_id", "doc2_id").withColumn("pair_id", F.col("pair_id").cast("string"))
@@ -196,9 +196,6 @@ def map_semantic(
     best = (
         keyed.join(side(numbers, 1), "doc1_id")
         .join(side(numbers, 2), "doc2_id")
-        .withColumn("_block1", F.explode("_blocks1"))
-        .withColumn("_block2", F.explode("_blocks2"))
-        .drop("_blocks1", "_blocks2")
         .join(side(blocks, 1), ["doc1_id", "_block1"])
         .join(side(blocks, 2), ["doc2_id", "_block2"])
         .select("pair_id", "items1", "items2")

@@ -66,11 +66,8 @@ def related_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, dimensi
         )
     )
     hits = (
-        block_numbers(queries, rows, "_q")
-        .join(block_numbers(vectors, rows, "_v"), "document_id")
-        .withColumn("_asked", F.explode("_q"))
-        .withColumn("_block", F.explode("_v"))
-        .drop("_q", "_v")
+        block_numbers(queries, rows, "_asked")
+        .join(block_numbers(vectors, rows, "_block"), "document_id")
         .join(asked, ["document_id", "_asked"])
         .join(vector_blocks(vectors, rows), ["document_id", "_block"])
         .select("queries", "items")

@@ -9,6 +9,7 @@ from filingdelta.functions.text import ancestors, path_prefixes, strip
 # Window shape, text cuts and the path separator.
 WINDOW_PAGES, PAGE_CHARS, WINDOW_CHARS, MIN_SECTION_CHARS = 10, 2_000, 15_000, 100
 SEP = " - "
+PAGE_HEAD, PAGE_TAIL = "=== ページ ", " ===\n"
 
 
 def template_paths(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -82,7 +83,7 @@ def batch_text(pages: DataFrame, size: int = WINDOW_PAGES) -> DataFrame:
     """
     member = _windows_of(F.col("page_number"), size - 1)
     piece = F.concat(
-        F.lit("=== ページ "), F.col("page_number").cast("string"), F.lit(" ===\n"),
+        F.lit(PAGE_HEAD), F.col("page_number").cast("string"), F.lit(PAGE_TAIL),
         F.coalesce(F.substring("text", 1, PAGE_CHARS), F.lit("")), F.lit("\n"),
     )
     ordered = F.transform(
