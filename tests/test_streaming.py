@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from filingdelta.operators.classify import Lexicon
 from filingdelta.streaming import intake, retention, status
