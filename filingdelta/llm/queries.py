@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filingdelta.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, urls
-from filingdelta.llm.common import prepare, table
+from filingdelta.llm import bpe, chat, decontaminate, pii, quality, secret_scan, simhash, substring, tokenfile, urls
+from filingdelta.llm.common import prepare, shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 ASKED = "</s>[INST] ok [/INST]"
 
 
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(prepare(spark))}/llm-tokens-{uuid.uuid4().hex}"
+    tokenfile.write_ids(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    # A segment is some megabytes: few of them are held at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    return tokenfile.read_ids(spark, path)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -23,9 +33,9 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(prepare(spark), sf_dir, "documents"))
+    found = secret_scan.find_secrets(table(prepare(spark), sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, secrets.BASE), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+    return found.select("doc_id", *map(n, secret_scan.BASE), F.sha2(secret_scan.span_text("base"), 256).alias("base_sha256"), secret_scan.span_text("spans").alias("spans"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +63,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.by_document(substring.repeated_passages(table(prepare(spark), sf_dir, "documents")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = decontaminate.find_windows(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,7 +79,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(prepare(spark), sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, pii.BASE), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+    return found.select("doc_id", *map(n, pii.BASE), F.sha2(secret_scan.span_text("base"), 256).alias("base_sha256"), secret_scan.span_text("spans").alias("spans"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filters, op3_secret_scans, op4_quality_rules, op5_simhash_dedup, op6_bpe_transducer,
-              op7_chat_windows, op9_decontamination, op10_personal_data, pipeline)
+    for f in (op1_token_file, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_simhash_dedup, op6_bpe_transducer,
+              op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_personal_data, pipeline)
 }
 ORACLE: dict[str, str] = {}
