@@ -6,6 +6,7 @@ import codecs
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -70,18 +71,6 @@ def sufficient_lookahead(vocabulary: Vocabulary) -> int:
     return max((len(vocabulary.bytes_of[new]) for _, new in vocabulary.merges.values()), default=1)
 
 
-def merge_all(ids: list[int], merges: dict) -> list[int]:
-    """Apply the merges to a short sequence, lowest rank first, leftmost first."""
-    while len(ids) > 1:
-        _, at, new = min(
-            ((merges[p][0], k, merges[p][1]) for k, p in enumerate(zip(ids, ids[1:])) if p in merges), default=(0, -1, 0)
-        )
-        if at < 0:
-            break
-        ids = ids[:at] + [new] + ids[at + 2:]
-    return ids
-
-
 class Transducer:
     """Encodes a piece byte by byte and emits a token as soon as no later byte can change it.
 
@@ -91,65 +80,91 @@ class Transducer:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.beside = vocabulary, {}
+        self.vocabulary, self.beside, self.edges = vocabulary, {}, {}
         self.longest = vocabulary.lookahead
+        self.sizes = [len(t) for t in vocabulary.bytes_of]
+        # Finds all tokens that end at a byte; bytes stand as the letters of the same number.
+        self.ending = ahocorasick.Automaton()
+        for token, i in vocabulary.ids.items():
+            self.ending.add_word(token.decode("latin-1"), i)
+        self.ending.make_automaton()
+
+    def _edges(self, token: int) -> tuple[list, list] | None:
+        """First and last parts of the token's bytes while they are merged, each with the rank that ends it; None if they do not become the token."""
+        if token in self.edges:
+            return self.edges[token]
+        v = self.vocabulary
+        ids, first, last = [v.ids[bytes([b])] for b in v.bytes_of[token]], [], []
+        while len(ids) > 1:
+            rank, at, new = min(((v.merges[p][0], k, v.merges[p][1]) for k, p in enumerate(zip(ids, ids[1:])) if p in v.merges), default=(0, -1, 0))
+            if at < 0:
+                break
+            if at == 0:
+                first.append((ids[0], rank))
+            if at == len(ids) - 2:
+                last.append((ids[-1], rank))
+            ids[at:at + 2] = [new]
+        end = len(v.merges)
+        whole = ids == [token]
+        self.edges[token] = ([*first, (token, end)], [*last, (token, end)]) if whole else None
+        return self.edges[token]
 
     def _fits(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the boundary: none joins a last part of the left token and a first part of the right one before either ends."""
         found = self.beside.get((left, right))
         if found is None:
             if len(self.beside) > 2 * CACHED_PIECES:
                 self.beside.clear()
-            v = self.vocabulary
-            single = [v.ids[bytes([b])] for b in v.bytes_of[left] + v.bytes_of[right]]
-            found = self.beside[left, right] = merge_all(single, v.merges) == [left, right]
-        return found
-
-    def encode(self, piece: bytes) -> Iterator[int]:
-        ids, longest = self.vocabulary.ids, self.longest
-        # Per position after `base`: the last token of the encoding up to there.
-        last: dict[int, int] = {0: -1}
-        base, n, check = 0, len(piece), 4 * longest
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(base, end - longest) - 1, -1):
-                token = ids.get(piece[start:end])
-                if token is None or start not in last:
-                    continue
-                before = last[start]
-                if self._single(token) and (before < 0 or self._fits(before, token)):
-                    last[end] = token
-                    break
-            if end - base >= check and end < n:
-                stable = self._shared(last, base, end)
-                if stable > base:
-                    yield from self._chain(last, base, stable)
-                    for k in range(base, stable):
-                        last.pop(k, None)
-                    base, last[stable] = stable, last[stable]
-                    check = 4 * longest
-                else:
-                    check *= 2
-        yield from self._chain(last, base, n)
-
-    def _single(self, token: int) -> bool:
-        """Whether the merges turn the token's own bytes into it."""
-        found = self.beside.get(token)
-        if found is None:
-            v = self.vocabulary
-            found = self.beside[token] = merge_all([v.ids[bytes([b])] for b in v.bytes_of[token]], v.merges) == [token]
+            merges, found = self.vocabulary.merges, True
+            for x, x_end in self._edges(left)[1]:
+                for y, y_end in self._edges(right)[0]:
+                    met = merges.get((x, y))
+                    # Equal ranks are merged from the left.
+                    if met is not None and met[0] < x_end and met[0] <= y_end:
+                        found = False
+            self.beside[left, right] = found
         return found
 
-    def _shared(self, last: dict[int, int], base: int, end: int) -> int:
+    def encode(self, piece: bytes) -> list[int]:
+        """All tokens of a piece, as ``stream`` emits them."""
+        return [token for part in self.stream(piece) for token in part]
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        fits, edges, sizes, beside = self._fits, self._edges, self.sizes, self.beside
+        # Per position from `base` on: the last token of the encoding up to there.
+        last, base, check = [-1], 0, 4 * self.longest
+        for at, token in self.ending.iter(piece.decode("latin-1")):
+            end = at + 1 - base
+            start = end - sizes[token]
+            if end < len(last) or start < 0:
+                continue
+            before = last[start]
+            near = beside.get((before, token))
+            if near is None:
+                near = edges(token) is not None and (before < 0 or fits(before, token))
+            if not near:
+                continue
+            last.append(token)
+            if end >= check and at + 1 < len(piece):
+                stable = self._shared(last)
+                check = 4 * self.longest if stable else 2 * check
+                yield self._chain(last, stable)
+                base += stable
+                del last[:stable]
+        yield self._chain(last, len(last) - 1)
+
+    def _shared(self, last: list[int]) -> int:
         """The last boundary that the chains of all live positions go through."""
-        live = {k for k in range(end - self.longest + 1, end + 1) if k in last}
+        live = set(range(max(0, len(last) - self.longest), len(last)))
         while len(live) > 1:
             top = max(live)
             live.remove(top)
-            live.add(max(base, top - len(self.vocabulary.bytes_of[last[top]])) if top > base else base)
+            live.add(top - len(self.vocabulary.bytes_of[last[top]]))
         return live.pop()
 
-    def _chain(self, last: dict[int, int], base: int, end: int) -> list[int]:
+    def _chain(self, last: list[int], end: int) -> list[int]:
         out = []
-        while end > base:
+        while end > 0:
             out.append(last[end])
             end -= len(self.vocabulary.bytes_of[last[end]])
         return out[::-1]
@@ -190,7 +205,7 @@ class Encoder:
                     if coded is None:
                         if len(pieces) > CACHED_PIECES:
                             pieces.clear()
-                        coded = np.fromiter(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
+                        coded = np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
                         if len(piece) <= 64:
                             pieces[piece] = coded
                     out.append(coded)
