@@ -17,7 +17,7 @@ from filingdelta.llm.common import arrow_map
 # Fixed values of the vocabulary's word splitter.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_CHARS = 1 << 16
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 MAX_VOCABULARY_BYTES = 64 << 20
 DECODE_IDS = 1 << 15
 
@@ -113,7 +113,7 @@ class Transducer:
         """Whether no merge crosses the boundary: none joins a last part of the left token and a first part of the right one before either ends."""
         found = self.beside.get((left, right))
         if found is None:
-            if len(self.beside) > 2 * CACHED_PIECES:
+            if len(self.beside) > CACHED_PIECES:
                 self.beside.clear()
             merges, found = self.vocabulary.merges, True
             for x, x_end in self._edges(left)[1]:
