@@ -32,9 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.distinct(), "edges")
     while True:
         edges = written(_small_star(written(_large_star(edges).distinct(), "star")).distinct(), "star")
-        counts = edges.agg(F.count("u"), F.count_distinct("u")).first()
-        inner = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
-        if counts[0] == counts[1] and inner.isEmpty():
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # Done when every node points to one root and no root points further.
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -14,17 +14,18 @@ from filingdelta.llm.components import connected_components
 from filingdelta.llm.wordscan import Scanner, mix
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
-# A paragraph begins where a 3-word hash is the least of its neighbours so many words to either side.
-RADIUS, GRAM = 5, 3
+# A paragraph begins where a 3-word hash is the least of its neighbours so many words to either side; a part of one
+# likewise with a smaller radius, so that a passage of some fifty words holds whole parts wherever it stands.
+RADIUS, PART_RADIUS, GRAM = 24, 5, 3
 # Words that a stretch of repeated paragraphs needs to be reported: shorter ones are turns of phrase.
 MIN_WORDS = 15
 BLANK_BYTES = (9, 10, 11, 12, 13, 32)
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 8) -> tuple[int, int]:
-    """Bands and rows: fewest bands that reach the recall at the similarity with two rows or more, then most rows."""
+def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 4, most_rows: int = 8) -> tuple[int, int]:
+    """Bands and rows: fewest bands that reach the recall at the similarity with ``least_rows`` or more, then most rows."""
     for bands in range(1, 65):
-        fitting = [rows for rows in range(2, most_rows + 1) if 1 - (1 - similarity**rows) ** bands >= recall]
+        fitting = [rows for rows in range(least_rows, most_rows + 1) if 1 - (1 - similarity**rows) ** bands >= recall]
         if fitting:
             return bands, max(fitting)
     raise ValueError("no banding reaches the recall")
@@ -34,7 +35,7 @@ def _odd(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
 
 
-def cut(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def cut(hashes: np.ndarray, firsts: np.ndarray, radius: int) -> np.ndarray:
     """First words of all paragraphs: text starts and local minima, which depend on the words nearby only."""
     n = len(hashes)
     text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
@@ -43,7 +44,7 @@ def cut(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         gram[:n - j] += hashes[j:] * _odd(j)
     gram = mix(gram)
     least = np.ones(n, dtype=bool)
-    for k in range(1, RADIUS + 1):
+    for k in range(1, min(radius, n - 1) + 1):
         same = text[k:] == text[:-k]
         least[k:] &= ~same | (gram[k:] < gram[:-k])
         least[:-k] &= ~same | (gram[:-k] <= gram[k:])
@@ -72,8 +73,11 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) ->
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(row, doc_id, no, start, stop, n_words, h, bands, text)`` per paragraph of ``docs(doc_id, text)``, places in code points."""
-    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()),
+    """``(row, doc_id, level, no, start, stop, n_words, h, bands, text)`` of ``docs(doc_id, text)``, places in code points.
+
+    Level 1 has the paragraphs with their band keys and texts, level 0 their parts, which are only compared as a whole.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("level", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()),
                         ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -85,31 +89,32 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             base, seen = seen, seen + len(firsts) - 1
             if not len(hashes):
                 continue
-            begins = cut(hashes, firsts)
-            whole, keys = signatures(hashes, begins, bands, rows)
-            ends = np.append(begins[1:], len(hashes)) - 1
-            text = np.searchsorted(firsts, begins, side="right") - 1
-            # The last text that starts at a word owns it; empty texts before it own none.
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             lengths = np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)
             offset = points[np.concatenate([[0], np.cumsum(lengths)[:-1]])]
-            raw = data.tobytes()
-            slices = [raw[a:b].decode() for a, b in zip(starts[begins].tolist(), stops[ends].tolist())]
-            first = np.concatenate([[True], text[1:] != text[:-1]])
-            place = np.arange(len(text))
-            yield {
-                "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32),
-                "no": (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.int32),
-                "start": (points[starts[begins]] - offset[text]).astype(np.int32), "stop": (points[stops[ends]] - offset[text]).astype(np.int32),
-                "n_words": (ends - begins + 1).astype(np.int32), "h": whole.view(np.int64),
-                "bands": pa.ListArray.from_arrays(np.arange(0, len(whole) * bands + 1, bands, dtype=np.int32), np.ascontiguousarray(keys.T).reshape(-1).view(np.int64)), "text": slices,
-            }
-
-    sql = "doc_id long, nth int, no int, start int, stop int, n_words int, h long, bands array<long>, text string"
+            for level, radius in ((0, PART_RADIUS), (1, RADIUS)):
+                begins = cut(hashes, firsts, radius)
+                whole, keys = signatures(hashes, begins, bands * level, rows)
+                ends = np.append(begins[1:], len(hashes)) - 1
+                # The last text that starts at a word owns it; empty texts before it own none.
+                text = np.searchsorted(firsts, begins, side="right") - 1
+                first = np.concatenate([[True], text[1:] != text[:-1]])
+                place, n = np.arange(len(text)), bands * level
+                raw = data.tobytes() if level else b""
+                yield {
+                    "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32), "level": np.full(len(text), level, dtype=np.int32),
+                    "no": (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.int32),
+                    "start": (points[starts[begins]] - offset[text]).astype(np.int32), "stop": (points[stops[ends]] - offset[text]).astype(np.int32),
+                    "n_words": (ends - begins + 1).astype(np.int32), "h": mix(whole + np.uint64(level)).view(np.int64),
+                    "bands": pa.ListArray.from_arrays((np.arange(len(whole) + 1) * n).astype(np.int32), np.ascontiguousarray(keys.T).reshape(-1).view(np.int64)),
+                    "text": [raw[a:b].decode() for a, b in zip(starts[begins].tolist(), stops[ends].tolist())] if level else pa.nulls(len(text), pa.string()),
+                }
+
+    sql = "doc_id long, nth int, level int, no int, start int, stop int, n_words int, h long, bands array<long>, text string"
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     found = arrow_map(source, run, schema, sql)
     # A row of `docs` is its task and its place in it; both are fixed once the paragraphs are written.
-    return found.withColumn("row", F.struct(F.spark_partition_id().alias("task"), "nth")).drop("nth")
+    return found.withColumn("row", F.shiftleft(F.spark_partition_id().cast("long"), 32).bitwiseOR(F.col("nth").cast("long"))).drop("nth")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,46 +139,51 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar(units: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between hashes of different paragraphs that collide in a band and are alike.
+    """Edges ``(a, b)`` between hashes of different paragraphs that join all that collide in a band and are alike.
 
-    A bucket's members are first held against its least one. Only those that are not alike to it are held against
-    all the others too, so a large group of copies costs one comparison per member and no link between two
-    members of a bucket is lost: of two that are both alike to the least one, the component holds both.
+    A bucket's members are first held against its least one, which joins nearly all of a group of copies at one
+    comparison per member. Members that this leaves outside the least one's component are then held against all
+    members of the bucket in other components. Pairs inside a component need no test, so no link that would join two
+    components is lost.
     """
-    keyed = units.select("h", F.explode("bands").alias("key"))
+    keyed = units.where("level = 1").select("h", F.explode("bands").alias("key"))
     buckets = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a"), "buckets")
     members = written(keyed.join(buckets, "key").where("h <> a").distinct(), "members")
     wanted = members.select("h").union(members.select("a")).distinct()
-    normal = F.array_join(F.split(F.lower(F.trim("text")), r"[\x20\x09-\x0D]+"), " ")
-    texts = written(units.join(wanted, "h", "left_semi").groupBy("h").agg(F.first(normal).alias("text")), "texts")
-    first = written(verified(members.select("a", F.col("h").alias("b")).distinct(), texts), "verified")
-    failed = members.join(first.where("NOT alike").select("a", F.col("b").alias("h")), ["a", "h"], "left_semi").select("key", F.col("h").alias("f"))
-    rest = failed.join(members, "key").where("f <> h").select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b")).distinct()
-    return first.where("alike").select("a", "b").unionByName(verified(rest, texts).where("alike").select("a", "b"))
+    normal = F.array_join(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), " ")
+    texts = written(units.where("level = 1").join(wanted, "h", "left_semi").groupBy("h").agg(F.first(normal).alias("text")), "texts")
+    first = written(verified(members.select("a", F.col("h").alias("b")).distinct(), texts).where("alike").select("a", "b"), "alike")
+    placed = connected_components(first)
+    root = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    held = members.join(root("h"), "h", "left").join(root("a"), "a", "left").select("key", "a", "h", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("h_root", "h").alias("h_root"))
+    held = written(held, "held")
+    outside = held.where("h_root <> a_root").select("key", F.col("h").alias("f"), F.col("h_root").alias("f_root"))
+    rest = outside.join(held.select("key", "h", "h_root"), "key").where("f_root <> h_root").select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b")).distinct()
+    return first.unionByName(verified(rest, texts).where("alike").select("a", "b"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Stretches of ``docs(doc_id, text)`` that repeat across or inside documents: one row per stretch.
 
-    Columns: row, doc_id, start, stop (code points), n_words, class_id (the least class of its paragraphs), removed
-    (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs are equal, or similar by
-    at least ``SIMILARITY`` on five-word shingles, directly or over others; the first of a class, by doc_id and
-    place, stays. Stretches of fewer than ``MIN_WORDS`` words are left out. Null or empty texts have none; repeated
+    Columns: row, doc_id, level, start, stop (code points), n_words, class_id (the least class of its paragraphs), removed
+    (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs (level 1) are equal, or
+    similar by at least ``SIMILARITY`` on five-word shingles, directly or over others; parts of paragraphs (level 0) are equal.
+    The first of a class, by doc_id and place, stays. Stretches of fewer than ``MIN_WORDS`` words are left out. Null or empty texts have none; repeated
     rows repeat each other; a null doc_id comes first. Other columns are not read.
     """
     bands, rows = tune_bands()
     units = written(paragraphs(docs, bands, rows), "paragraphs")
     classes = connected_components(similar(units))
-    slim = units.select("row", "doc_id", "no", "start", "stop", "n_words", "h")
+    slim = units.select("row", "doc_id", "level", "no", "start", "stop", "n_words", "h")
     classed = slim.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root", "h")
     many = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_doc")).where("n > 1").drop("n")
     held = written(classed.join(many, "class"), "repeats")
     # Among the paragraphs of a class's first document, the first by row and number stays.
     own = held.where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_doc")).groupBy("class").agg(F.min(F.struct("row", "no")).alias("first"))
     held = held.join(own, "class").withColumn("removed", (F.struct("row", "no") != F.col("first")).cast("int"))
-    by_row = Window.partitionBy("row").orderBy("no")
+    by_row = Window.partitionBy("row", "level").orderBy("no")
     held = held.withColumn("stretch", F.col("no") - F.row_number().over(by_row))
-    runs = held.groupBy("row", "stretch").agg(
+    runs = held.groupBy("row", "level", "stretch").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("long").alias("n_words"),
         F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
     return runs.where(F.col("n_words") >= MIN_WORDS).drop("stretch")
@@ -182,7 +192,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def by_document(passages: DataFrame) -> DataFrame:
     """``(doc_id, n_passages, n_removed, class_id, passages)``: one row per document that has repeated passages.
 
-    ``passages`` lists ``start:stop`` in order; ``class_id`` is the least class of its passages, in hexadecimal.
+    ``passages`` lists ``start:stop`` in order, paragraphs and parts of them; ``class_id`` is the least class of its passages, in hexadecimal.
     """
     found = passages.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.count("*").alias("n_passages"), F.sum("removed").alias("n_removed"), F.min("class_id").alias("class_id"),
