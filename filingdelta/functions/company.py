@@ -14,7 +14,6 @@ LEGAL_FORMS = (
     "株式会社", "有限会社", "合同会社", r"Corporation", r"Corp\.", r"Inc\.", r"Ltd\.",
     "Limited", "Holdings", "ホールディングス", "holding",
 )
-DROPPED_MARKS = "-.,ー、。"
 KATAKANA_FIRST, KATAKANA_LAST, KANA_SHIFT = "ァ", "ヴ", 96
 MIN_NAME_LENGTH = 3
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,13 +35,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is named (tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one in the warehouse, which is shared as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    made = tempfile.mkdtemp(prefix="filingdelta-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
