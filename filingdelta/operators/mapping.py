@@ -17,6 +17,7 @@ from filingdelta.schemas import BY_COMPANY, BY_YEAR, CONSISTENCY, MULTI
 SIMILARITY_THRESHOLD = 0.7
 EXACT, SEMANTIC = "exact", "semantic_embedding"
 TOO_FEW_DOCUMENTS = "比較には最低2つのドキュメントが必要です"
+UNKNOWN_BEFORE, UNKNOWN_AFTER = "ドキュメント ", " が見つかりません"
 BLOCK_VALUES, BLOCK_ROWS = 262_144, 1_024
 
 
@@ -40,23 +41,27 @@ def determine_modes(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``requests``: (comparison_id, position, document_id). Only the first and the
     last document of a request and its size matter, so one aggregation with
-    map-side combine serves requests of any size.
+    map-side combine serves requests of any size. All requested documents are
+    counted; a request with one that ``docs`` does not have gets an error that
+    names the first such id, and no mode.
     """
     info = docs.select(
         "document_id", "company_name", "document_type", "fiscal_year",
-        normalise_company(F.col("company_name")).alias("norm"),
+        normalise_company(F.col("company_name")).alias("norm"), F.lit(True).alias("known"),
     )
     doc = F.struct("document_id", "company_name", "document_type", "fiscal_year", "norm")
-    grouped = requests.join(info, "document_id").groupBy("comparison_id").agg(
+    grouped = requests.join(info, "document_id", "left").groupBy("comparison_id").agg(
         F.count(F.lit(1)).alias("n_documents"),
+        F.min(F.when(F.col("known").isNull(), F.col("document_id").cast("string"))).alias("unknown"),
         F.min_by(doc, F.col("position")).alias("one"),
         F.max_by(doc, F.col("position")).alias("two"),
     )
     return grouped.select(
         "comparison_id", "n_documents",
         F.col("one.document_id").alias("doc1_id"), F.col("two.document_id").alias("doc2_id"),
-        mode_of(F.col("n_documents"), F.col("one"), F.col("two")).alias("mode"),
-        F.when(F.col("n_documents") < 2, TOO_FEW_DOCUMENTS).alias("error"),
+        F.when(F.col("unknown").isNull(), mode_of(F.col("n_documents"), F.col("one"), F.col("two"))).alias("mode"),
+        F.when(F.col("n_documents") < 2, TOO_FEW_DOCUMENTS)
+        .when(F.col("unknown").isNotNull(), F.concat(F.lit(UNKNOWN_BEFORE), "unknown", F.lit(UNKNOWN_AFTER))).alias("error"),
     )
 
 

@@ -65,7 +65,7 @@ def compare(
     """All result tables of the requested comparisons.
 
     ``requests``: (comparison_id, position, document_id); requests of other than
-    two documents get an error in ``comparisons`` and no results. ``replies``:
+    two documents, or with an unknown one, get an error in ``comparisons`` and no results. ``replies``:
     (pair_id, mapping_index, reply_json). The results are independent lazy tables
     over the modes and the mappings, which are computed once into tables of the shared folder.
     """
@@ -74,7 +74,7 @@ def compare(
             "error", F.coalesce("error", F.when(F.col("n_documents") > 2, NOT_TWO))
         )
     )
-    pairs = modes.where(F.col("n_documents") == 2).select(
+    pairs = modes.where(F.col("error").isNull()).select(
         F.col("comparison_id").cast("string").alias("pair_id"), "doc1_id", "doc2_id", "mode"
     )
     kind = corpus.documents.select("document_id", "document_type")

@@ -55,3 +55,14 @@ def test_modes(spark):
         spark.createDataFrame(docs, "document_id string, company_name string, document_type string, fiscal_year int"),
     ).collect()
     assert {r.comparison_id: (r.mode, r.error) for r in got} == want
+
+
+def test_unknown_documents_fail_the_request(spark):
+    docs = spark.createDataFrame([("a", "A", "t", 2023), ("b", "B", "t", 2024)], "document_id string, company_name string, document_type string, fiscal_year int")
+    requests = [(1, 0, "a"), (1, 1, "zz"), (2, 0, "x"), (2, 1, "y"), (3, 0, "a"), (3, 1, "b"), (3, 2, "q"), (4, 0, "a"), (4, 1, "b")]
+    rows = determine_modes(spark.createDataFrame(requests, "comparison_id int, position int, document_id string"), docs).collect()
+    got = {r.comparison_id: (r.n_documents, r.mode is None, r.error) for r in rows}
+    assert got == {
+        1: (2, True, "ドキュメント zz が見つかりません"), 2: (2, True, "ドキュメント x が見つかりません"),
+        3: (3, True, "ドキュメント q が見つかりません"), 4: (2, False, None),
+    }
