@@ -23,6 +23,14 @@ def is_object(doc: Column) -> Column:
     return F.coalesce(F.startswith(kind(doc), F.lit("OBJECT")), F.lit(False))
 
 
+def is_reply(text: Column, corrupt: Column) -> Column:
+    """Whether the text is a JSON object, also one with members of another shape than asked for.
+
+    ``corrupt``: the column that ``from_json`` fills for such a text; members of the right shape are read all the same.
+    """
+    return corrupt.isNull() | is_object(parsed(text))
+
+
 def text_member(doc: Column, name: str) -> Column:
     """The member when it is a string, null otherwise."""
     value = member(doc, name)

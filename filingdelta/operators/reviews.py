@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filingdelta.functions.json import is_reply
 from filingdelta.functions.text import filled
 from filingdelta.schemas import CONSISTENCY, REVIEW_REPLY
 
@@ -36,7 +37,8 @@ def reviews_from_replies(replies: DataFrame, reply_col: str = "reply_json", sear
 
     Lists and maps keep their members as JSON text. A contradiction forces high
     importance, except with ``search`` (the path that may search further).
-    Unreadable replies give a low-importance review that says so.
+    Members are read one by one: one of another shape counts as missing, a number or flag may be written as text.
+    Unreadable and missing replies give a low-importance review that says so.
     """
     text = F.col(reply_col)
     r = F.col("_r")
@@ -48,7 +50,7 @@ def reviews_from_replies(replies: DataFrame, reply_col: str = "reply_json", sear
         )]),
         F.array(
             _json_list(r["contradictions"]), _json_list(r["normal_differences"]), _json_list(r["complementary_info"]),
-            F.coalesce(r["consistency_score"], F.lit(0.0)).cast("string"),
+            F.coalesce(r["consistency_score"].try_cast("double"), F.lit(0.0)).cast("string"),
             F.coalesce(r["consistency_reason"], F.lit("")),
         ),
     )
@@ -79,7 +81,7 @@ def reviews_from_replies(replies: DataFrame, reply_col: str = "reply_json", sear
     ask = r["additional_search"]
     return (
         replies.withColumn("_r", F.from_json(text, REVIEW_REPLY))
-        .withColumn("_ok", r.isNotNull() & r["_corrupt_record"].isNull())
+        .withColumn("_ok", r.isNotNull() & is_reply(text, r["_corrupt_record"]))
         .withColumn("contradiction_count", F.when(ok, n).otherwise(0))
         .withColumn("text_changes", F.when(ok, changes).otherwise(no_map))
         .withColumn("numerical_changes", F.when(ok, F.coalesce(r["numerical_changes"], no_list)).otherwise(no_list))
@@ -87,7 +89,7 @@ def reviews_from_replies(replies: DataFrame, reply_col: str = "reply_json", sear
         .withColumn("importance", F.when(ok, importance).otherwise("low"))
         .withColumn("importance_reason", F.when(ok, reason).otherwise(failure))
         .withColumn("summary", F.when(ok, F.coalesce(r["summary"], F.lit(""))).otherwise(failure_text))
-        .withColumn("search_needed", ok & F.coalesce(ask["needed"], F.lit(False)))
+        .withColumn("search_needed", ok & F.coalesce(ask["needed"].try_cast("boolean"), F.lit(False)))
         .withColumn("search_phrases", F.when(ok, F.coalesce(ask["search_phrases"], no_list)).otherwise(no_list))
         .drop("_r", "_ok")
     )

@@ -57,9 +57,9 @@ def page_batches(pages: DataFrame, size: int = WINDOW_PAGES, overlap: int = 1) -
     """Assign each page to its one or two overlapping windows.
 
     Window membership is page arithmetic, so no page is joined to a page count.
-    Only the last page can open a window of its own that should not exist; such
-    a window starts with overlap pages alone and is dropped. All windows stay
-    within ``size`` rows, however long a document is.
+    A window that holds its border page alone is dropped: the window before has
+    that page too. Missing page rows count as empty pages, so a window ends at
+    its highest page. All windows stay within ``size`` pages, however long a document is.
     """
     if overlap != 1:
         raise ValueError("windows share exactly one page")
@@ -67,11 +67,9 @@ def page_batches(pages: DataFrame, size: int = WINDOW_PAGES, overlap: int = 1) -
     w = Window.partitionBy("document_id", "batch_index")
     return (
         pages.withColumn("batch_index", F.explode(_windows_of(F.col("page_number"), step)))
-        .withColumn("_n", F.count(F.lit(1)).over(w))
-        .where((F.col("batch_index") == 0) | (F.col("_n") > 1))
         .withColumn("batch_start", (F.col("batch_index") * step + 1).cast("int"))
-        .withColumn("batch_end", (F.col("batch_start") + F.col("_n") - 1).cast("int"))
-        .drop("_n")
+        .withColumn("batch_end", F.max(F.col("page_number").cast("int")).over(w))
+        .where((F.col("batch_index") == 0) | (F.col("batch_end") > F.col("batch_start")))
     )
 
 
@@ -93,10 +91,11 @@ def batch_text(pages: DataFrame, size: int = WINDOW_PAGES) -> DataFrame:
         pages.select("document_id", "page_number", piece.alias("piece"), F.explode(member).alias("batch_index"))
         .groupBy("document_id", "batch_index")
         .agg(
-            F.count(F.lit(1)).alias("n_pages"),
+            F.count(F.lit(1)).alias("n_pages"), F.max("page_number").alias("_last"),
             F.substring(F.array_join(ordered, "\n"), 1, WINDOW_CHARS).alias("batch_text"),
         )
-        .where((F.col("batch_index") == 0) | (F.col("n_pages") > 1))
+        .where((F.col("batch_index") == 0) | (F.col("_last") > F.col("batch_index") * (size - 1) + 1))
+        .drop("_last")
     )
 
 

@@ -66,7 +66,7 @@ def compare(
 
     ``requests``: (comparison_id, position, document_id); requests of other than
     two documents, or with an unknown one, get an error in ``comparisons`` and no results. ``replies``:
-    (pair_id, mapping_index, reply_json). The results are independent lazy tables
+    (pair_id, mapping_index, reply_json); a mapping without one gets a failure review. The results are independent lazy tables
     over the modes and the mappings, which are computed once into tables of the shared folder.
     """
     modes = materialise(
@@ -89,7 +89,7 @@ def compare(
         .join(texts.withColumnsRenamed({"document_id": "doc2_id", "text": "text2"}), "doc2_id")
     )
     ready = eligible(mappings, corpus.sections)
-    answered = ready.select("pair_id", "mapping_index").join(replies, ["pair_id", "mapping_index"]).join(
+    answered = ready.select("pair_id", "mapping_index").join(replies, ["pair_id", "mapping_index"], "left").join(
         pairs.select("pair_id", "mode"), "pair_id"
     )
     return {

@@ -35,8 +35,8 @@ REVIEW_REPLY = """
 text_changes map<string,string>, numerical_changes array<string>, tone_analysis map<string,string>,
 importance string, importance_reason string, summary string,
 contradictions array<string>, normal_differences array<string>, complementary_info array<string>,
-consistency_score double, consistency_reason string,
-additional_search struct<needed:boolean,reason:string,search_phrases:array<string>,expected_findings:string>,
+consistency_score string, consistency_reason string,
+additional_search struct<needed:string,reason:string,search_phrases:array<string>,expected_findings:string>,
 _corrupt_record string
 """
 

@@ -98,18 +98,22 @@ def write_records(records: DataFrame, path: str, by: str = "created_at") -> None
 
 
 def save_comparison(results: DataFrame, path: str) -> None:
-    """Append results; each needs an id."""
+    """Append results; each needs an id. Saving an id again replaces it: readers take the latest save."""
     checked = results.withColumn(
         "comparison_id",
         F.when(
             F.coalesce(F.col("comparison_id"), F.lit("")) == "", F.raise_error(F.lit("comparison_id is required"))
         ).otherwise(F.col("comparison_id")),
     )
-    _by_day(checked, "created_at").write.mode("append").partitionBy("day").parquet(path)
+    _by_day(checked.withColumn("saved_at", F.current_timestamp()), "created_at").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    """The latest save of each id. A filter on the id reaches the file scan, as it is the grouping key."""
+    rows = spark.read.parquet(path).drop("day")
+    kept = [name for name in rows.columns if name not in ("comparison_id", "saved_at")]
+    latest = rows.groupBy("comparison_id").agg(F.max_by(F.struct(*kept), F.col("saved_at")).alias("r"))
+    return latest.select("comparison_id", "r.*")
 
 
 def load_comparison(spark: SparkSession, path: str, comparison_id: str) -> DataFrame:

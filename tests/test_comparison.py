@@ -261,6 +261,13 @@ def test_reviews_from_replies(spark):
     assert (got["inner"].importance, got["inner"].importance_reason) == ("high", "矛盾が1件検出されました")
     for k in ("bad", "empty", "null", "none"):
         assert (got[k].importance, got[k].importance_reason) == ("low", "分析失敗"), k
+    odd = spark.createDataFrame([
+        ("score", "consistency_check", json.dumps({"contradictions": ["x"], "consistency_score": "8", "tone_analysis": "calm", "summary": "s"})),
+        ("needed", "diff_analysis_year", json.dumps({"importance": "low", "numerical_changes": {"a": 1}, "additional_search": {"needed": "true", "search_phrases": ["p"]}})),
+    ], REPLY)
+    read = {r.k: r for r in reviews.reviews_from_replies(odd).collect()}
+    assert (read["score"].importance, read["score"].summary, read["score"].text_changes["consistency_score"]) == ("high", "s", "8.0")
+    assert (read["needed"].importance, read["needed"].search_needed, read["needed"].search_phrases) == ("low", True, ["p"])
     again = {r.k: r for r in reviews.reviews_from_replies(df, search=True).collect()}
     assert again["contra"].importance == "low" and again["inner"].importance == "medium"
     assert again["empty"].importance_reason == again["none"].importance_reason == "LLMレスポンスが空"

@@ -127,3 +127,15 @@ def test_content_digest(spark):
     assert lines[at:at + 5] == ["  CAGR: 3%", "  トレンド: up", "  目標: goal", "- x (): ", ""]
     assert lines.count("- causality (信頼度: high)") == 5 and "  " + "q" * 200 in lines
     assert lines[-3:] == ["- s0 (売上): 0: 0, 1: 1, 2: 2", "- s1 (売上): 0: 0, 1: 1, 2: 2", "- s2 (売上): 0: 0, 1: 1, 2: 2"]
+
+
+def test_members_of_another_shape(spark):
+    """One odd member leaves the rest of the reply as it is."""
+    good = [{"item": "a", "value": 1}]
+    got = {r.section_name: r.extracted_content for r in parse(spark, {
+        "strings": json.dumps({"financial_data": good, "messages": ["hello", {"type": "t"}]}),
+        "object": json.dumps({"financial_data": good, "factual_info": {"category": "c"}}),
+        "inner": json.dumps({"financial_data": good, "kpi_time_series": [{"indicator": "i", "stated_metrics": "none", "unit": "u"}]})}).collect()}
+    assert all(c.financial_data[0].item == "a" and c.financial_data[0].value == "1" for c in got.values())
+    assert got["object"].factual_info == [] and got["inner"].kpi_time_series[0].unit == "u"
+    assert [m.type for m in got["strings"].messages] in ([], ["t"])

@@ -106,6 +106,9 @@ def test_comparison_store(spark, tmp_path):
     schema = "comparison_id string, created_at string, mode string"
     records.save_comparison(spark.createDataFrame([("x", "2024-01-01T0", "m"), ("y", "2024-01-02T0", "m")], schema), path)
     assert records.load_comparison(spark, path, "y").first().mode == "m"
+    records.save_comparison(spark.createDataFrame([("y", "2024-01-03T0", "again")], schema), path)
+    assert [tuple(r) for r in records.load_comparison(spark, path, "y").collect()] == [("y", "2024-01-03T0", "again")]
+    assert records.read_comparisons(spark, path).count() == 2
     with pytest.raises(FileNotFoundError):
         records.load_comparison(spark, path, "z")
     with pytest.raises(Exception, match="comparison_id is required"):

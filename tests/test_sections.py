@@ -35,6 +35,15 @@ def test_page_batches(spark):
         assert len(mine) == len(want)
 
 
+def test_page_batches_with_gaps(spark):
+    """No page is lost when page rows are missing; a border page alone stays in the window before only."""
+    page = spark.createDataFrame([("d", p, "t") for p in [*range(1, 10), 12]] + [("e", p, "t") for p in (1, 10)], PAGE)
+    rows = {(r.document_id, r.batch_index, r.batch_start, r.batch_end, r.page_number) for r in S.page_batches(page).collect()}
+    assert rows == {("d", 0, 1, 9, p) for p in range(1, 10)} | {("d", 1, 10, 12, 12)} | {("e", 0, 1, 10, p) for p in (1, 10)}
+    texts = {(r.document_id, r.batch_index): r.n_pages for r in S.batch_text(page).collect()}
+    assert texts == {("d", 0): 9, ("d", 1): 1, ("e", 0): 2}
+
+
 def test_batch_text(spark):
     page = spark.createDataFrame([("d", p, str(p) * 3000) for p in range(1, 12)], PAGE)
     got = {r.batch_index: r.batch_text for r in S.batch_text(page).collect()}
