@@ -29,7 +29,7 @@ MAX_PERIODS, MAX_RELATIONS, RELATION_CHARS, MAX_SEGMENTS, SEGMENT_PERIODS = 5, 5
 def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
     """Seven fact lists from each JSON reply, missing lists empty; null when it is no JSON object.
 
-    Each list is read on its own: one of another shape is empty, an entry that is no object is left out, a member of
+    Each list is read on its own: one of another shape, or with an entry that is no object, is empty; a member of
     another shape is null, and all else of the reply is kept.
 
     The parsed reply is a column of its own, so every list reads the same parse.
