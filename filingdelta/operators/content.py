@@ -29,16 +29,21 @@ MAX_PERIODS, MAX_RELATIONS, RELATION_CHARS, MAX_SEGMENTS, SEGMENT_PERIODS = 5, 5
 def parse_content_reply(sections: DataFrame, reply_col: str = "reply_json") -> DataFrame:
     """Seven fact lists from each JSON reply, missing lists empty; null when it is no JSON object.
 
-    Each list is read on its own: one of another shape, or with an entry that is no object, is empty; a member of
+    Each list is read on its own: one of another shape is empty, an entry that is no object is left out, a member of
     another shape is null, and all else of the reply is kept.
 
     The parsed reply is a column of its own, so every list reads the same parse.
     """
     raw = F.col("_raw")
     types = {f.name: f.dataType for f in T.StructType.fromDDL(CONTENT)}
-    groups = F.struct(*[F.coalesce(F.filter(raw[g], lambda x: x.isNotNull()), F.array().cast(types[g])).alias(g) for g in GROUPS])
+
+    def entries(group: str) -> Column:
+        objects = F.filter(raw[group], lambda x: F.startswith(x, F.lit("{")))
+        return F.transform(objects, lambda x: F.from_json(x, types[group].elementType))
+
+    groups = F.struct(*[F.coalesce(entries(g), F.array().cast(types[g])).alias(g) for g in GROUPS])
     return (
-        sections.withColumn("_raw", F.from_json(F.col(reply_col), f"{CONTENT}, _corrupt_record string"))
+        sections.withColumn("_raw", F.from_json(F.col(reply_col), ", ".join(f"{g} array<string>" for g in GROUPS) + ", _corrupt_record string"))
         .withColumn("extracted_content", F.when(raw.isNotNull() & is_reply(F.col(reply_col), raw["_corrupt_record"]), groups))
         .drop("_raw")
     )

@@ -138,4 +138,4 @@ def test_members_of_another_shape(spark):
         "inner": json.dumps({"financial_data": good, "kpi_time_series": [{"indicator": "i", "stated_metrics": "none", "unit": "u"}]})}).collect()}
     assert all(c.financial_data[0].item == "a" and c.financial_data[0].value == "1" for c in got.values())
     assert got["object"].factual_info == [] and got["inner"].kpi_time_series[0].unit == "u"
-    assert [m.type for m in got["strings"].messages] == []
+    assert [m.type for m in got["strings"].messages] == ["t"]
