@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filingdelta.llm import bpe, chat, decontaminate, pii, quality, secret_scan, simhash, substring, tokenfile, urls
 from filingdelta.llm.common import prepare, shared_dir, table
+from filingdelta.llm.oracle import ORACLE  # noqa: F401
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -93,4 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_file, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_simhash_dedup, op6_bpe_transducer,
               op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_personal_data, pipeline)
 }
-ORACLE: dict[str, str] = {}
