@@ -12,32 +12,26 @@ SEP = " - "
 PAGE_HEAD, PAGE_TAIL = "=== ページ ", " ===\n"
 
 
-def template_paths(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Full path of every named template node.
+# The tree is walked from its roots, level by level, until a level is empty.
+TEMPLATE_PATHS = """
+WITH RECURSIVE found AS (
+  SELECT document_type, node_id, name AS path, required, array(ordinal) AS position, 1 AS depth FROM {named} WHERE parent_id IS NULL
+  UNION ALL
+  SELECT c.document_type, c.node_id, concat(p.path, ' - ', c.name), c.required, concat(p.position, array(c.ordinal)), p.depth + 1
+  FROM found p JOIN {named} c ON p.document_type = c.document_type AND p.node_id = c.parent_id
+)
+SELECT * FROM found
+"""
+
+
+def template_paths(nodes: DataFrame) -> DataFrame:
+    """Full path of every named template node, at any depth.
 
     ``nodes``: (document_type, node_id, parent_id, ordinal, name, required).
-    Paths are built one level at a time; nodes below an unnamed one are left out.
+    Nodes below an unnamed one are left out.
     """
     named = nodes.where(F.col("name").isNotNull() & (F.col("name") != ""))
-    child = named.select(
-        "document_type", F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"),
-        F.col("ordinal").alias("_ordinal"), F.col("name").alias("_name"), F.col("required").alias("_required"),
-    )
-    level = named.where(F.col("parent_id").isNull()).select(
-        "document_type", "node_id", F.col("name").alias("path"), "required",
-        F.array("ordinal").alias("position"), F.lit(1).alias("depth"),
-    )
-    out = level
-    for depth in range(2, max_depth + 1):
-        level = level.join(
-            child, (level["document_type"] == child["document_type"]) & (level["node_id"] == child["_up"])
-        ).select(
-            level["document_type"], F.col("_id").alias("node_id"),
-            F.concat("path", F.lit(SEP), "_name").alias("path"), F.col("_required").alias("required"),
-            F.concat("position", F.array("_ordinal")).alias("position"), F.lit(depth).alias("depth"),
-        )
-        out = out.unionByName(level)
-    return out
+    return nodes.sparkSession.sql(TEMPLATE_PATHS, named=named)
 
 
 def leaves(paths: DataFrame) -> DataFrame:

@@ -404,12 +404,12 @@ def d1(t: Tables) -> DataFrame:
 
 @register("d2_flatten_template")
 def d2(t: Tables) -> DataFrame:
-    return sections.template_paths(t.shared("nodes"), 3).select("node_id", "path", "depth", "required")
+    return sections.template_paths(t.shared("nodes")).select("node_id", "path", "depth", "required")
 
 
 @register("d3_template_leaves")
 def d3(t: Tables) -> DataFrame:
-    return sections.leaves(sections.template_paths(t.shared("nodes"), 3)).select("node_id", "path")
+    return sections.leaves(sections.template_paths(t.shared("nodes"))).select("node_id", "path")
 
 
 @register("d5_overlapping_page_batches")
@@ -1007,7 +1007,7 @@ def g3_stream(t: Tables) -> DataFrame:
     created = source.select(F.col("event_id").alias("document_id"), F.col("ts").cast("timestamp").alias("created_at"))
     out = scratch_path(t.spark, "expiry")
     retention.run_expiry(created, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return t.spark.read.schema("document_id long, created_at timestamp").parquet(f"{out}/rows")
+    return t.spark.read.parquet(f"{out}/rows").select("document_id", "created_at")
 
 
 # Checks and lists

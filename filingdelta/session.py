@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A repeated header name in a table record keeps the last cell.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Trees are walked to their leaves, whatever their depth and size.
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

@@ -26,24 +26,26 @@ def kept(records: DataFrame, now: str, hours: int = RETENTION_HOURS) -> DataFram
     return records.where(F.coalesce(created_time(F.col("created_at")) >= cutoff, F.lit(True)))
 
 
-def expiry_stream(created: DataFrame, hours: int = RETENTION_HOURS) -> DataFrame:
-    """Documents whose age passes the retention while the stream's time goes on.
+def run_expiry(created: DataFrame, out: str, checkpoint: str, hours: int = RETENTION_HOURS) -> StreamingQuery:
+    """Documents whose age passes the retention while the stream's time goes on, written to ``out`` by micro-batch.
 
-    ``created``: streaming (document_id, created_at timestamp), one creation per
-    document. A session that ends just after the retention is closed, and its
-    state dropped, by the watermark, so state holds young documents only.
+    ``created``: streaming (document_id, created_at timestamp), one creation per document; the newest one seen is the
+    present. Documents still young are a table beside the checkpoint, one of two folders in turn, so a repeated
+    micro-batch finds what it read before and overwrites what it wrote. No watermark drops a late record: one that is too
+    old on arrival is reported at once. A null time never expires.
     """
-    gap = F.lit(f"{int(hours)} hours 1 microsecond")
-    return (
-        created.withWatermark("created_at", "0 seconds")
-        .groupBy("document_id", F.session_window("created_at", gap).alias("life"))
-        .agg(F.min("created_at").alias("created_at"))
-        .select("document_id", "created_at")
-    )
-
-
-def run_expiry(created: DataFrame, out: str, checkpoint: str, hours: int = RETENTION_HOURS) -> StreamingQuery:
-    return (
-        expiry_stream(created, hours).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
+    schema = created.select("document_id", "created_at").schema
+
+    def sweep(batch: DataFrame, number: int) -> None:
+        known = batch.select("document_id", "created_at").where(F.col("created_at").isNotNull())
+        if number > 0:
+            known = known.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{checkpoint}/young/{(number - 1) % 2}"))
+        known = known.groupBy("document_id").agg(F.min("created_at").alias("created_at")).persist()
+        # Of all rows, one number comes to the driver.
+        present = known.agg(F.max(F.unix_micros("created_at"))).first()[0]
+        due = F.col("created_at") < F.timestamp_micros(F.lit((present or 0) - hours * 3_600_000_000))
+        known.where(due).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        known.where(~due).write.mode("overwrite").parquet(f"{checkpoint}/young/{number % 2}")
+        known.unpersist()
+
+    return created.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

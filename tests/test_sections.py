@@ -169,6 +169,18 @@ def test_template_paths_and_leaves(spark):
          ("t", "5", "4", 0, "D", False), ("u", "1", None, 0, "A", True)],
         "document_type string, node_id string, parent_id string, ordinal int, name string, required boolean",
     )
-    paths = S.template_paths(nodes, 4)
+    paths = S.template_paths(nodes)
     assert {(r.document_type, r.path) for r in paths.collect()} == {("t", "A"), ("t", "A - B"), ("t", "A - B - C"), ("u", "A")}
     assert {(r.document_type, r.path) for r in S.leaves(paths).collect()} == {("t", "A - B - C"), ("u", "A")}
+
+
+def test_template_paths_of_any_depth(spark):
+    """A chain of twelve nodes has twelve paths; what hangs below an unnamed node has none."""
+    rows = [("t", k, k - 1 if k else None, 0, f"n{k}", True) for k in range(12)]
+    rows += [("t", 50, 0, 1, "", True), ("t", 51, 50, 0, "lost", True), ("u", 0, None, 0, "root", False)]
+    nodes = spark.createDataFrame(rows, "document_type string, node_id long, parent_id long, ordinal int, name string, required boolean")
+    found = {(r.document_type, r.node_id): (r.path, r.depth, list(r.position)) for r in S.template_paths(nodes).collect()}
+    wanted = {("t", k): (" - ".join(f"n{i}" for i in range(k + 1)), k + 1, [0] * (k + 1)) for k in range(12)}
+    assert found == wanted | {("u", 0): ("root", 1, [0])}
+    deepest = {(r.document_type, r.node_id) for r in S.leaves(S.template_paths(nodes)).collect()}
+    assert deepest == {("t", 11), ("u", 0)}

@@ -68,3 +68,15 @@ def test_expiry_stream(spark, tmp_path):
     retention.run_expiry(stream, out, os.path.join(tmp_path, "mark")).awaitTermination()
     got = sorted(int(r.document_id) for r in spark.read.parquet(out).collect())
     assert got == [i for i in range(60) if i < 59 - 24]
+
+
+def test_expiry_of_late_records(spark, tmp_path):
+    """A record that is too old when a later batch brings it is reported as well."""
+    now, source = dt.datetime(2024, 1, 10), os.path.join(tmp_path, "created")
+    old, young = now - dt.timedelta(hours=30), now - dt.timedelta(hours=2)
+    for rows in ([("1", old), ("2", old), ("new", now)], [("3", old), ("4", young), ("none", None)], [("5", old)]):
+        spark.createDataFrame(rows, "document_id string, created_at timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("document_id string, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = os.path.join(tmp_path, "out")
+    retention.run_expiry(stream, out, os.path.join(tmp_path, "mark")).awaitTermination()
+    assert sorted(r.document_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "5"]
