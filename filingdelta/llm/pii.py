@@ -27,8 +27,11 @@ GENERATORS = {
     "number": r"(?<![0-9A-Za-z+.-])[(0-9][0-9 ().-]{7,20}[0-9](?![0-9A-Za-z])",
     "address": rf"(?<![{LOCAL}])[{LOCAL}]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?)[A-Za-z]++",
 }
-FEATURES = ("kind_rank", "length", "digits", "separators", "groups", "distinct_digits", "dots", "plus", "brackets", "letters", "cue", "after_letter", "before_letter", "gap")
-CUES = r"(?i)(tel|phone|call|fax|mobil|mail|contact|card|visa|konto|ip|address|host)[^A-Za-z]{0,6}$"
+FEATURES = ("length", "digits", "separators", "groups", "first_group", "last_group", "distinct_digits", "dots", "plus", "brackets", "letters", "sentence", "after_letter", "before_letter", "gap")
+# Words before a span that speak for or against it; they label candidates and are no features.
+CUES = r"(?i)(tel|telephone|phone|call|fax|mobile?|mail|contact|whatsapp)[^A-Za-z0-9]{0,6}$"
+OTHER_CUES = r"(?i)(order|invoice|isbn|issn|version|date|page|pages|serial|ticket|case|patent|article|doi)[^A-Za-z0-9]{0,6}$"
+DATE = r"^(?:(?:19|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:19|20)[0-9]{2})(?![0-9-])"
 
 
 def prepared(kind: str, text: Column) -> Column:
@@ -84,9 +87,9 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """All proposals of ``docs(doc_id, text)`` with their place and features; a row without any has one with a null kind.
+    """All proposals of ``docs(doc_id, text)`` with their place; a row without any has one with a null kind.
 
-    Columns: row, doc_id, key, kind, start, stop, base, and the features. Places are running sums over the gaps and
+    Columns: row, doc_id, key, kind, start, stop, base, match, gap, before, after. Places are running sums over the gaps and
     matches of one row and kind; no text is shuffled, only matches and a few characters around them.
     """
     text = F.coalesce("text", F.lit(""))
@@ -97,40 +100,113 @@ def candidates(docs: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("row", "kind").orderBy("k")
     length = F.length("match")
     rows = rows.withColumn("stop", F.sum(F.col("gap") + length).over(so_far).cast("int")).withColumn("start", F.col("stop") - length)
-    digits = F.regexp_replace("match", "[^0-9]", "")
-    number = lambda c: c.cast("double")
-    count = lambda marks: number(length - F.length(F.translate("match", marks, "")))
+    return rows.select("row", "doc_id", "key", "kind", "start", "stop", valid(F.col("kind"), F.col("match")).alias("base"), "match", "gap", "before", "after")
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """Adds the vector ``features`` to rows with match, before, after and gap; neither kind nor cue is in it."""
+    match, length = F.col("match"), F.length("match")
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    count = lambda marks: number(length - F.length(F.translate(match, marks, "")))
     features = {
-        "kind_rank": number(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))), "length": number(length), "digits": number(F.length(digits)),
-        "separators": count(" -"), "groups": number(F.regexp_count("match", F.lit("[0-9]++"))), "distinct_digits": number(F.size(F.array_distinct(F.split(F.left(digits, F.lit(40)), "")))),
-        "dots": count("."), "plus": count("+"), "brackets": count("()[]"), "letters": number(F.regexp_count("match", F.lit("[A-Za-z]"))),
-        "cue": number(F.col("before").rlike(CUES)), "after_letter": number(F.col("after").rlike(r"\p{L}")), "before_letter": number(F.col("before").rlike(r"\p{L}.?$")), "gap": number(F.least("gap", F.lit(100))),
+        "length": number(length), "digits": number(F.length(digits)), "separators": count(" -"), "groups": number(F.regexp_count(match, F.lit("[0-9]++"))),
+        "first_group": number(F.length(F.regexp_extract(match, "[0-9]++", 0))), "last_group": number(F.length(F.regexp_extract(match, "([0-9]*+)[^0-9]*$", 1))),
+        "distinct_digits": number(F.size(F.array_distinct(F.split(F.left(digits, F.lit(40)), "")))), "dots": count("."), "plus": count("+"), "brackets": count("()[]"),
+        "letters": number(F.regexp_count(match, F.lit("[A-Za-z]"))), "sentence": number(match.rlike(r"[A-Za-z]\. ")), "after_letter": number(F.col("after").rlike(r"\p{L}")),
+        "before_letter": number(F.col("before").rlike(r"\p{L}.?$")), "gap": number(F.least("gap", F.lit(100))),
     }
-    return rows.select("row", "doc_id", "key", "kind", "start", "stop", valid(F.col("kind"), F.col("match")).alias("base"), *(c.alias(n) for n, c in features.items()))
+    named = rows.withColumns({f"_{n}": features[n] for n in FEATURES})
+    return VectorAssembler(inputCols=[f"_{n}" for n in FEATURES], outputCol="features").transform(named).drop(*(f"_{n}" for n in FEATURES))
+
+
+def identity(kind: Column, match: Column) -> Column:
+    """What a span says whatever its form: the digits of a number without leading zeros, a plain lower-case address."""
+    plain = F.regexp_replace(F.regexp_replace(match, r" ?[(\[]at[)\]] ?", "@"), r" ?(?:[(\[]dot[)\]]|\.) ?", ".")
+    return F.when(kind.isin("email", "address"), F.lower(plain)).otherwise(F.ltrim(F.regexp_replace(match, "[^0-9]", ""), F.lit("0")))
+
+
+def variants(certain: DataFrame) -> DataFrame:
+    """Other forms of certain emails and phones: ``(kind, match, before, after, gap, said)``, ``said`` being the label.
+
+    An email is told as an obfuscated address (1) and as a sentence with the same words (0), a phone as a number
+    without its country code (1) and as a date of its last digits (0). Forms are dealt by hash.
+    """
+    match, at = F.col("match"), F.pmod(F.xxhash64("match"), F.lit(6))
+    pick = lambda *forms: F.element_at(F.array(*map(F.lit, forms)), (at + 1).cast("int"))
+    local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    host, top = F.regexp_replace(domain, r"^.*\.(?=[^.]+\.[^.]+$)|\.[^.]+$", ""), F.substring_index(domain, ".", -1)
+    address = F.concat(local, pick(" (at) ", " [at] ", "(at)", "[at]", " (at) ", "(at)"), host, pick(" (dot) ", " [dot] ", "(dot)", "[dot]", ".", "."), top)
+    sentence = F.concat(local, pick(" (at) ", " [at] ", " (at) ", " [at] ", " (at) ", " (at) "), host, F.lit(". "), F.initcap(top))
+    number = F.regexp_replace(F.regexp_replace(match, r"^\+[0-9]{1,3}[ .-]*", ""), F.lit(r"(?<=[0-9])[ .-]+(?=[0-9])"), pick("-", "-", " ", ".", "-", " "))
+    number = F.when(at < 3, number).otherwise(F.regexp_replace(number, r"[()]+ ?", ""))
+    last = F.right(F.regexp_replace(match, "[^0-9]", ""), F.lit(6))
+    mark = pick("-", "-", ".", " ", "-", ".")
+    date = F.concat(F.lit("20"), F.left(last, F.lit(2)), mark, F.lit("0"), F.substring(last, 3, 1), mark, F.lit("1"), F.right(last, F.lit(1)))
+    form = lambda kind, told, said: F.struct(F.lit(kind).alias("kind"), told.alias("match"), F.lit(said).alias("said"))
+    told = F.when(F.col("kind") == "email", F.array(form("address", address, 1.0), form("address", sentence, 0.0))).when(
+        F.col("kind") == "phone", F.array(form("number", number, 1.0), form("number", date, 0.0)))
+    out = certain.where(F.col("kind").isin("email", "phone")).select(F.explode(told).alias("v"), "before", "after", "gap").select("v.*", "before", "after", "gap")
+    fits = F.when(F.col("kind") == "address", F.col("match").rlike(f"^{GENERATORS['address']}$")).otherwise(F.col("match").rlike(f"^{GENERATORS['number']}$"))
+    return out.where(fits)
+
+
+def evidence(kind: Column, match: Column, before: Column) -> Column:
+    """What speaks for (1) or against (0) a proposal that is not certain by its format, from outside the features; else null."""
+    n = F.length(F.regexp_replace(match, "[^0-9]", ""))
+    # A number that is a certain card or IP, or a date, is no phone number; neither is one of more digits than any has.
+    other = valid(F.lit("card"), match) | match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") | match.rlike(DATE) | (n > 15) | (n < 7)
+    number = F.when(other | before.rlike(OTHER_CUES), 0.0).when(before.rlike(CUES), 1.0)
+    return F.when(kind.isin("number", "phone"), number).when(kind == "address", F.when(match.rlike(r"[A-Za-z]\. [A-Z]"), 0.0).when(before.rlike(CUES), 1.0)).otherwise(0.0)
+
+
+def labelled(proposed: DataFrame) -> DataFrame:
+    """``(kind, who, label, features)`` of candidates with evidence, one for each kind, identity and label.
+
+    A proposal that is not certain is told by a certain span elsewhere that says the same, else by ``evidence``; other forms of certain
+    spans join them. A certain span is no example of itself, and proposals without evidence are none either.
+    """
+    context = ("kind", "match", "before", "after", "gap")
+    certain, open_ = proposed.where("base"), proposed.where("NOT base AND kind IS NOT NULL")
+    who = identity(F.col("kind"), F.col("match"))
+    digits = F.regexp_replace("match", "[^0-9]", "")
+    # A phone may stand elsewhere without the one to three digits of its country.
+    known = F.when(F.col("kind") == "phone", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.ltrim(F.substring(digits, k, F.length(digits)), F.lit("0")))).otherwise(F.array(who))
+    known = certain.where(F.col("kind").isin("email", "phone")).select(F.explode(known).alias("who")).where(F.length("who") >= 7).distinct().withColumn("met", F.lit(1.0))
+    one = lambda df: df.groupBy("kind", "who", "said").agg(F.first(F.struct(*context[1:])).alias("c")).select("kind", "who", "said", "c.*")
+    # Candidates are made one of a kind before the join, so no span that is met often is a hot key.
+    seen = one(open_.select(*context, who.alias("who"), evidence(F.col("kind"), F.col("match"), F.col("before")).alias("said")))
+    told = seen.join(known, "who", "left").withColumn("said", F.when(F.col("kind").isin("number", "address"), F.coalesce("met", "said")).otherwise(F.col("said"))).drop("met")
+    other = one(variants(certain).withColumn("who", who))
+    return featured(told.where("said IS NOT NULL").unionByName(other)).select("kind", "who", F.col("said").alias("label"), "features")
 
 
-def fit(proposed: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel, float] | None:
-    """Boosted trees and the threshold above which held-out precision is at least ``MIN_PRECISION``.
+def fit(proposed: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+    """Boosted trees and for each kind the threshold above which held-out precision is at least ``MIN_PRECISION``.
 
-    Labels are the formats' own tests, which the trees do not see: they learn from length, digits, marks and context. At most
-    ``training_rows`` candidates are used, a fifth of them held out. None if only one class is met.
+    Labels come from ``labelled``, not from the formats' tests. A fifth of what the candidates say (all forms of one number or
+    address together) is held out whole; of the rest ``training_rows`` candidates, taken by hash, are fitted on. None if
+    only one class is met.
     """
-    labelled = proposed.where("kind IS NOT NULL").limit(training_rows).select(F.col("base").cast("double").alias("label"), *FEATURES)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(labelled.fillna(0.0))
-    sample = written(vectors.select("label", "features", F.rand(SEED).alias("fold")), "training")
-    if sample.where("fold >= 0.2").select("label").distinct().count() < 2:
+    sample = written(labelled(proposed).withColumn("fold", F.pmod(F.xxhash64("who", F.lit(SEED)), F.lit(5 * 1_000_000))), "training")
+    training = sample.where("fold >= 1000000")
+    counted = training.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes")).first()
+    if counted["classes"] < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS).fit(sample.where("fold >= 0.2"))
-    scored = model.transform(sample.where("fold < 0.2")).select("label", F.floor(vector_to_array("probability")[1] * BINS).alias("bin"))
-    counts = sorted(((r["bin"], r["n"], r["good"]) for r in scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()), reverse=True)
-    threshold, n, good = 2.0, 0, 0.0
-    for at, m, g in counts:
-        n, good = n + m, good + g
-        # One failure more than seen, so that a few lucky rows do not open the gate.
-        if good / (n + 1) < MIN_PRECISION:
-            break
-        threshold = at / BINS
-    return model, threshold
+    share = min(1.0, training_rows / counted["n"])
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS).fit(training.where(F.col("fold") < 1_000_000 + int(4_000_000 * share)))
+    scored = model.transform(sample.where("fold < 1000000")).select("kind", "label", F.floor(vector_to_array("probability")[1] * BINS).alias("bin"))
+    # At most BINS + 1 rows of each kind.
+    counts = scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    thresholds = {}
+    for kind in KINDS:
+        n, good = 0, 0.0
+        for at, m, g in sorted(((r["bin"], r["n"], r["good"]) for r in counts if r["kind"] == kind), reverse=True):
+            n, good = n + m, good + g
+            # One failure more than seen, so that a few lucky rows do not open the gate.
+            if good / (n + 1) >= MIN_PRECISION:
+                thresholds[kind] = at / BINS
+    return model, thresholds
 
 
 def find_personal_data(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -145,9 +221,11 @@ def find_personal_data(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> D
     if fitted is None:
         scored = proposed.withColumn("chosen", F.col("base"))
     else:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(proposed.fillna(0.0, subset=list(FEATURES)))
-        score = vector_to_array("probability")[1]
-        scored = fitted[0].transform(vectors).withColumn("chosen", F.col("base") | (score >= fitted[1]))
+        model, thresholds = fitted
+        least = F.lit(2.0)
+        for kind, threshold in thresholds.items():
+            least = F.when(F.col("kind") == kind, threshold).otherwise(least)
+        scored = model.transform(featured(proposed)).withColumn("chosen", F.col("base") | (vector_to_array("probability")[1] >= least))
     place = Window.partitionBy("row").orderBy("start", "stop")
     held = F.col("base")
     ends = F.max(F.when(held, F.col("stop"))).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -152,6 +152,18 @@ def test_personal_data(spark, docs):
     assert got == sorted(((i, base_pii(t or "")) for i, t in [*TEXTS, *extra]), key=key)
 
 
+def test_personal_data_adds_to_the_formats(spark):
+    rng, rows = random.Random(5), []
+    for i in range(900):
+        n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        word = "".join(rng.choice("aeioulmnrst") for _ in range(6))
+        rows.append((i, f"{word} wrote to {word}.{n(2)}@{word}.example.com or +{rng.choice([1, 44, 49])} ({n(3)}) {n(3)}-{n(4)} from {rng.randrange(256)}.{n(1)}.{n(1)}.{n(2)} with {n(16)} there"))
+    rows += [(1000, "we asked john (at) example (dot) com then"), (1001, "we asked (743) 555-3824 then"), (1002, "we met on 2024-01-15 then"), (1003, "we meet anna (at) noon. Then we go")]
+    found = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(1000, 1004)] == [[("address", False)], [("number", False)], [], []]
+    assert not any(k == "number" for i in range(900) for k, _ in found[i])
+
+
 def test_redaction_keeps_rows(docs):
     rows = pii.redact(docs).collect()
     assert len(rows) == len(TEXTS) and rows[0].asDict().keys() == docs.first().asDict().keys()
