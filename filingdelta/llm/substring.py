@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filingdelta.llm.common import arrow_map, written
 from filingdelta.llm.components import connected_components
@@ -19,6 +21,10 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 RADIUS, PART_RADIUS, GRAM = 24, 5, 3
 # Words that a stretch of repeated paragraphs needs to be reported: shorter ones are turns of phrase.
 MIN_WORDS = 15
+# Of every ANCHOR-word gram window in PASSAGE words the least one is an anchor: a run of PASSAGE words holds one, in every copy
+# the same, and no more than REACH words of the run lie before or behind it that another anchor of the run does not reach.
+PASSAGE, ANCHOR = 51, 15
+REACH = PASSAGE - ANCHOR
 BLANK_BYTES = (9, 10, 11, 12, 13, 32)
 
 
@@ -52,6 +58,25 @@ def cut(hashes: np.ndarray, firsts: np.ndarray, radius: int) -> np.ndarray:
     return np.flatnonzero(least)
 
 
+def anchors(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all anchors, and their hashes; texts of fewer than ``PASSAGE`` words have none."""
+    n = len(hashes) - PASSAGE + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    gram = np.zeros(len(hashes) - ANCHOR + 1, dtype=np.uint64)
+    for j in range(ANCHOR):
+        gram += hashes[j:j + len(gram)] * _odd(j + 211)
+    gram = mix(gram)
+    least, at = gram[:n].copy(), np.arange(n)
+    for j in range(1, REACH + 1):
+        lower = gram[j:j + n] <= least
+        least[lower] = gram[j:j + n][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    at = np.unique(at[text[:n] == text[PASSAGE - 1:]])
+    return at, gram[at]
+
+
 def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every paragraph's words in order, and its band keys."""
     n, sizes = len(hashes), np.diff(np.append(begins, len(hashes)))
@@ -75,7 +100,8 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) ->
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``(row, doc_id, level, no, start, stop, n_words, h, bands, text)`` of ``docs(doc_id, text)``, places in code points.
 
-    Level 1 has the paragraphs with their band keys and texts, level 0 their parts, which are only compared as a whole.
+    Level 1 has the paragraphs with their band keys and texts, level 0 their parts, which are only compared as a whole, level 2
+    the anchors, whose ``no`` is the number of their first word.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("level", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()),
                         ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
@@ -109,6 +135,13 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     "bands": pa.ListArray.from_arrays((np.arange(len(whole) + 1) * n).astype(np.int32), np.ascontiguousarray(keys.T).reshape(-1).view(np.int64)),
                     "text": [raw[a:b].decode() for a, b in zip(starts[begins].tolist(), stops[ends].tolist())] if level else pa.nulls(len(text), pa.string()),
                 }
+            at, h = anchors(hashes, firsts)
+            text = np.searchsorted(firsts, at, side="right") - 1
+            yield {
+                "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32), "level": np.full(len(at), 2, dtype=np.int32), "no": (at - firsts[text]).astype(np.int32),
+                "start": (points[starts[at]] - offset[text]).astype(np.int32), "stop": (points[stops[at + ANCHOR - 1]] - offset[text]).astype(np.int32), "n_words": np.full(len(at), ANCHOR, dtype=np.int32),
+                "h": mix(h + np.uint64(2)).view(np.int64), "bands": pa.nulls(len(at), pa.list_(pa.int64())), "text": pa.nulls(len(at), pa.string()),
+            }
 
     sql = "doc_id long, nth int, level int, no int, start int, stop int, n_words int, h long, bands array<long>, text string"
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -162,12 +195,65 @@ def similar(units: DataFrame) -> DataFrame:
     return first.unionByName(verified(rest, texts).where("alike").select("a", "b"))
 
 
+def surroundings(held: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds to repeated anchors the hashes of up to ``REACH`` words before (nearest first) and behind, and where these start and stop."""
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("class", pa.int64()), ("removed", pa.int32()), ("left", longs), ("right", longs), ("starts", ints), ("stops", ints)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row, doc_id, found, parts in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found", "parts"))):
+                spans = [(p["start"] + m.start(), p["start"] + m.end(), m[0]) for p in parts for m in words.finditer(p["text"])]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w) for *_, w in spans), dtype=np.uint64, count=len(spans)).view(np.int64)
+                starts, stops = (np.array([s[k] for s in spans], dtype=np.int32) for k in (0, 1))
+                for a in range(0, len(found), 10_000):
+                    some = found[a:a + 10_000]
+                    places = [(max(0, f["no"] - REACH), f["no"], f["no"] + ANCHOR) for f in some]
+                    yield {
+                        "row": [row] * len(some), "doc_id": [doc_id] * len(some), "no": [f["no"] for f in some], "class": [f["class"] for f in some], "removed": [f["removed"] for f in some],
+                        "left": [hashes[low:at][::-1] for low, at, _ in places], "right": [hashes[end:end + REACH] for *_, end in places],
+                        "starts": [starts[low:at + 1][::-1] for low, at, _ in places], "stops": [stops[end - 1:end + REACH] for *_, end in places],
+                    }
+
+    found = held.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("no", "class", "removed")).alias("found"))
+    parts = units.where("level = 1").join(held.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "start", "text"))).alias("parts"))
+    sql = "row long, doc_id long, no int, class long, removed int, left array<long>, right array<long>, starts array<int>, stops array<int>"
+    return arrow_map(found.join(parts, "row").select("row", "doc_id", "found", "parts"), run, schema, sql)
+
+
+def exact_stretches(held: DataFrame, units: DataFrame) -> DataFrame:
+    """Repeated anchors ``held`` extended word by word as far as another of their class goes along; the long ones, overlaps as one.
+
+    In the order of the words on one side, the member that goes along furthest stands next to it, so no pairs are formed.
+    """
+    def shared(words: str, other: Column) -> Column:
+        at = F.array_position(F.zip_with(words, other, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        return F.when(other.isNull(), 0).when(at == 0, F.size(words)).otherwise(at - 1).cast("int")
+
+    def furthest(words: str) -> Column:
+        order = Window.partitionBy("class").orderBy(words)
+        return F.greatest(shared(words, F.lag(words).over(order)), shared(words, F.lead(words).over(order)))
+
+    found = surroundings(held, units).withColumn("to_left", furthest("left")).withColumn("to_right", furthest("right"))
+    found = found.select("row", "doc_id", "class", "removed", (F.col("no") - F.col("to_left")).alias("first"), (F.col("no") + ANCHOR + F.col("to_right")).alias("end"),
+                         F.get("starts", F.col("to_left")).alias("start"), F.get("stops", F.col("to_right")).alias("stop")).where(F.col("end") - F.col("first") >= PASSAGE)
+    by_row = Window.partitionBy("row").orderBy("first", "end")
+    reached = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))
+    found = found.withColumn("stretch", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.groupBy("row", F.lit(2).alias("level"), "stretch").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("first")).cast("long").alias("n_words"),
+        F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Stretches of ``docs(doc_id, text)`` that repeat across or inside documents: one row per stretch.
 
     Columns: row, doc_id, level, start, stop (code points), n_words, class_id (the least class of its paragraphs), removed
     (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs (level 1) are equal, or
     similar by at least ``SIMILARITY`` on five-word shingles, directly or over others; parts of paragraphs (level 0) are equal.
+    Level 2 has every run of at least ``PASSAGE`` equal words, wherever it stands, to the word; runs that overlap or touch are one stretch.
     The first of a class, by doc_id and place, stays. Stretches of fewer than ``MIN_WORDS`` words are left out. Null or empty texts have none; repeated
     rows repeat each other; a null doc_id comes first. Other columns are not read.
     """
@@ -181,12 +267,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Among the paragraphs of a class's first document, the first by row and number stays.
     own = held.where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_doc")).groupBy("class").agg(F.min(F.struct("row", "no")).alias("first"))
     held = held.join(own, "class").withColumn("removed", (F.struct("row", "no") != F.col("first")).cast("int"))
+    held = written(held, "held-repeats")
     by_row = Window.partitionBy("row", "level").orderBy("no")
-    held = held.withColumn("stretch", F.col("no") - F.row_number().over(by_row))
-    runs = held.groupBy("row", "level", "stretch").agg(
+    tiles = held.where("level < 2").withColumn("stretch", F.col("no") - F.row_number().over(by_row))
+    runs = tiles.groupBy("row", "level", "stretch").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("long").alias("n_words"),
         F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
-    return runs.where(F.col("n_words") >= MIN_WORDS).drop("stretch")
+    exact = exact_stretches(held.where("level = 2"), units)
+    return runs.where(F.col("n_words") >= MIN_WORDS).unionByName(exact).drop("stretch")
 
 
 def by_document(passages: DataFrame) -> DataFrame:

@@ -301,6 +301,27 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_passages_are_found_to_the_word(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    passages, docs, wanted = [words(51 + k % 10) for k in range(3000)], [[] for _ in range(200)], set()
+    for turn in range(2):
+        order = rng.sample(range(3000), 3000)
+        for i in range(200):
+            for k in order[15 * i:15 * i + 15]:
+                docs[i] += words(rng.randrange(2, 12))
+                at = len(" ".join(docs[i])) + 1
+                docs[i] += passages[k]
+                wanted.add((i, at, at + len(" ".join(passages[k])), len(passages[k])))
+    # Fifty words are not reported; a text of one repeated word is.
+    fifty = words(50)
+    docs += [words(30) + fifty + words(30), words(30) + fifty, ["x"] * 60]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("level = 2").collect()
+    assert {(r.doc_id, r.start, r.stop, r.n_words) for r in found if r.doc_id < 200} == wanted
+    assert [(r.doc_id, r.start, r.stop) for r in found if r.doc_id >= 200] == [(202, 0, 119)]
+
+
 def test_bands_reach_the_recall():
     bands, rows = substring.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= substring.RECALL
