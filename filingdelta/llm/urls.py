@@ -15,7 +15,6 @@ FORMS = (
     (r"^[0-9a-fA-F]{8,}$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "{hex}"),
     (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}"),
 )
-TREE_LEVELS = 4
 VARIABLE_CHILDREN, VARIABLE_SHARE = 20, 0.5
 SIMILAR_Z, PRIOR_WEIGHT, REJECT_ABOVE = 2.0, 10.0, 0.5
 
@@ -47,10 +46,8 @@ def _form(segment: Column) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """A path's first segments by form; deeper ones stand together as ``**``, so every url keeps a place in the tree."""
-    parts = F.split(F.ltrim(path, F.lit("/")), "/")
-    top = F.transform(F.slice(parts, 1, TREE_LEVELS), _form)
-    return F.when(F.size(parts) > TREE_LEVELS, F.concat(top, F.array(F.lit("**")))).otherwise(top)
+    """A path's segments by form, however many there are."""
+    return F.transform(F.split(F.ltrim(path, F.lit("/")), "/"), _form)
 
 
 def templates(shapes: DataFrame) -> DataFrame:
@@ -58,10 +55,11 @@ def templates(shapes: DataFrame) -> DataFrame:
 
     Level by level under the template so far: all children become a wildcard where most are met about once;
     otherwise a child joins the wildcard if its share of bad labels does not differ from its siblings' (z below
-    ``SIMILAR_Z`` standard errors), so only branches that stand out keep their name.
+    ``SIMILAR_Z`` standard errors), so only branches that stand out keep their name. The walk ends where no shape
+    has a further segment; shapes that have ended take no part in deeper levels.
     """
     tree = shapes.withColumn("template", F.lit("").cast("string"))
-    for level in range(TREE_LEVELS):
+    for level in range(shapes.agg(F.max(F.size("shape"))).first()[0] or 0):
         segment = F.get("shape", F.lit(level))
         child = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(
             F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -82,8 +80,7 @@ def templates(shapes: DataFrame) -> DataFrame:
             F.concat("template", F.when(F.col("name").isNull(), "").otherwise(F.concat(F.lit("/"), "name"))).alias("template"),
         )
         tree = written(tree, "tree")
-    deep = F.when(F.size("shape") > TREE_LEVELS, "/**").otherwise("")
-    return tree.withColumn("template", F.concat("template", deep))
+    return tree
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

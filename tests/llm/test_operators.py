@@ -272,6 +272,15 @@ def test_bad_template_is_blocked(spark):
     assert {(r.template, r.verdict) for r in found} == {("/spam/{n}", "block"), ("/good/{n}", "allow")}
 
 
+@pytest.mark.parametrize("depth", [5, 8, 12])
+def test_deep_paths_have_templates_of_their_own(spark, depth):
+    top = "/".join("abcdefghijkl"[:depth - 2])
+    pages = [(k, f"http://h.org/{top}/{'spam' if k < 60 else 'docs'}/{k}") for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "page_id long, bad int")
+    found = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()
+    assert {(r.template, r.verdict) for r in found} == {(f"/{top}/spam/{{n}}", "block"), (f"/{top}/docs/{{n}}", "allow")}
+
+
 def test_chat_reads_back(spark):
     rows = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "system", "sys \\ <a [b"),
             *[(1, k, "assistant" if k % 2 else "user", "<\\x[y\\\\ " * (k * 7 % 90)) for k in range(1, 300)], (2, 0, None, None), (2, None, "assistant", ""), (2, 0, None, None),
