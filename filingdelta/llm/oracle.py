@@ -161,9 +161,75 @@ FROM shaped JOIN leaves USING (host, shape) JOIN purity USING (host, template)
 """
 URLS = URL_HEAD + "".join(URL_LEVEL.format(level, level + 1) for level in range(4)) + URL_TAIL
 
+LINES = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
+), lines AS (
+  SELECT rid, doc_id, unnest(held) AS line, generate_subscripts(held, 1) AS place FROM texts
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3
+), judged AS (
+  SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.keeper AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid, doc_id
+"""
+
+MANIFEST = r"""
+WITH RECURSIVE sealed AS (
+  SELECT row_number() OVER () AS rid, coalesce('=' || lang, '') AS grp, *,
+    concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END,
+           CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END, CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+      list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS flipped
+  FROM documents
+), leaves AS (
+  SELECT rid, grp, doc_id, sha256(concat(head, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END, tail)) AS leaf,
+    CASE WHEN xor(flipped, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(concat(head, strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), tail)) END AS changed
+  FROM sealed
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), trees(grp, depth, i, n, node) AS (
+  SELECT grp, 0, i, n, leaf FROM numbered
+  UNION ALL
+  SELECT grp, depth + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY grp, depth, i // 2, n
+), subroots AS (
+  SELECT grp, depth AS height, node, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM trees WHERE n = 1
+), tops(depth, i, n, node) AS (
+  SELECT 0, i, n, node FROM subroots
+  UNION ALL
+  SELECT depth + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY depth, i // 2, n
+), root AS (
+  SELECT node, depth AS height FROM tops WHERE n = 1
+), steps AS (
+  SELECT l.rid, d.depth AS step, ((l.i >> d.depth) & 1)::INT AS side, t.node
+  FROM numbered l JOIN subroots s ON l.grp = s.grp JOIN (SELECT DISTINCT grp, depth FROM trees) d ON d.grp = l.grp AND d.depth < s.height
+  LEFT JOIN trees t ON t.grp = l.grp AND t.depth = d.depth AND t.i = xor(l.i >> d.depth, 1)
+  UNION ALL
+  SELECT l.rid, 1000 + d.depth, ((s.i >> d.depth) & 1)::INT, t.node
+  FROM numbered l JOIN subroots s ON l.grp = s.grp JOIN (SELECT DISTINCT depth FROM tops) d ON d.depth < (SELECT height FROM root)
+  LEFT JOIN tops t ON t.depth = d.depth AND t.i = xor(s.i >> d.depth, 1)
+), paths AS (
+  SELECT rid, sha256(coalesce(string_agg(node, '' ORDER BY step), '')) AS proof_sha256, list(CASE WHEN node IS NULL THEN '' WHEN side = 1 THEN node || '<' ELSE '>' || node END ORDER BY step) AS path
+  FROM steps GROUP BY rid
+), told AS (
+  SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(l.changed, l.leaf), coalesce(p.path, []::VARCHAR[])), lambda node, step:
+      CASE WHEN step = '' THEN sha256(node) WHEN step[1] = '>' THEN sha256(node || step[2:]) ELSE sha256(step[:-2] || node) END) AS folded_root
+  FROM numbered l JOIN subroots s ON l.grp = s.grp CROSS JOIN root r LEFT JOIN paths p ON p.rid = l.rid
+)
+SELECT *, folded_root = root AS verified FROM told
+"""
+
 ORACLE: dict[str, str] = {
     "op2_url_filters": URLS,
     "op4_quality_rules": QUALITY,
     "op7_chat_windows": CHAT,
     "op9_decontamination": DECONTAMINATION,
+    "op11_merkle_manifest": MANIFEST,
+    "op12_line_dedup": LINES,
 }

@@ -5,15 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filingdelta.llm import bpe, chat, decontaminate, pii, quality, secret_scan, simhash, substring, tokenfile, urls
+from filingdelta.llm import align, bpe, chat, decontaminate, linededup, merkle, pii, quality, secret_scan, simhash, substring, tokenfile, urls
 from filingdelta.llm.common import prepare, shared_dir, table
 from filingdelta.llm.oracle import ORACLE  # noqa: F401
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 ASKED = "</s>[INST] ok [/INST]"
 
@@ -83,6 +82,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, pii.BASE), F.sha2(secret_scan.span_text("base"), 256).alias("base_sha256"), secret_scan.span_text("spans").alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = merkle.document_leaves(table(prepare(spark), sf_dir, "documents"), tampered)
+    return merkle.verify(merkle.make_manifest(leaves), claim="present")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_repeated_lines(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(prepare(spark), table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,5 +106,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_file, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_simhash_dedup, op6_bpe_transducer,
-              op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_personal_data, pipeline)
+              op7_chat_windows, op8_substring_dedup, op9_decontamination, op10_personal_data, op11_merkle_manifest, op12_line_dedup,
+              op13_cross_tokenizer, pipeline)
 }
