@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filingdelta.functions.numbers import TOLERANCE_PCT, normalise_unit, within_tolerance
 from filingdelta.functions.text import any_contains, filled
 from filingdelta.operators.classify import Lexicon
+from filingdelta.operators.containment import with_needles
 from filingdelta.operators.report import leading_page
 from filingdelta.operators.sections import parent_names, section_pages
 from filingdelta.operators.textdiff import text_diff_lines
+from filingdelta.session import materialise
 
 # Similarity bands and the confidence below which a section is flagged.
 SIMILAR_FROM, DIFFERENT_BELOW, LOW_CONFIDENCE = 0.75, 0.3, 0.7
@@ -48,6 +52,37 @@ def missing_numbers(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     )
 
 
+def missing_values(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance_pct: float = TOLERANCE_PCT) -> DataFrame:
+    """Numbers of one side that the other lacks wherever it stands, units unified and rounding allowed.
+
+    Values fall into cells of half the tolerance on a logarithmic scale, by unit and sign; zero has a cell of its own. A cell
+    is known by its least and greatest value, so a value meets a few rows whatever the other side repeats, and the nearest
+    values around it are among them: the test against these is exact.
+    """
+    step = -math.log1p(-tolerance_pct / 100) / 2
+    on = [*keys, "unit", "_sign", "_cell"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        number = normalise_unit(F.col("value"), F.col("unit"))
+        rows = df.withColumn("_n", number).withColumn("unit", F.col("_n.unit")).withColumn("_base", F.col("_n.value"))
+        cell = F.when(F.col("_base") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("_base")) / step)).cast("long")
+        return rows.withColumn("_sign", F.signum("_base").cast("int")).withColumn("_cell", cell).drop("_n")
+
+    def lacking(own: DataFrame, other: DataFrame, side: int) -> DataFrame:
+        cells = other.groupBy(*on).agg(F.min("_base").alias("_low"), F.max("_base").alias("_high"))
+        near = F.explode(F.array(*[F.col("_cell") + k for k in range(-3, 4)]))
+        asked = own.select(*on, "_base").distinct().withColumn("_cell", near)
+        met = asked.join(cells, on).where(within_tolerance(F.col("_base"), F.col("_low"), tolerance_pct) | within_tolerance(F.col("_base"), F.col("_high"), tolerance_pct))
+        known = [*keys, "unit", "_base"]
+        return own.join(met.select(*known).distinct(), known, "left_anti").select(
+            *keys, "row", "col", "item_name", "value", "unit", F.lit(side).alias("missing_in")
+        )
+
+    # Each side is read three times.
+    one, two = materialise(placed(left), "numbers"), materialise(placed(right), "numbers")
+    return lacking(one, two, 2).unionByName(lacking(two, one, 1))
+
+
 def text_match(pairs: DataFrame) -> DataFrame:
     """Exact or partial match of each text pair, with the ratio of common lines."""
     same = pairs.select("pair_id", (F.col("text1") == F.col("text2")).alias("_same"))
@@ -81,13 +116,9 @@ def _lines(pairs: DataFrame) -> DataFrame:
 
 def compare_topics(pairs: DataFrame, topics: Lexicon) -> DataFrame:
     """Characters of the paragraphs on each topic, per side, and the ratio of side 2 to side 1."""
-    hits = F.array_compact(
-        F.array(*[
-            F.when(F.size(topics.matched(F.col("_low"), t)) > 0, F.lit(t)) for t in topics.types() if topics.words(t)
-        ])
-    )
-    size = F.length("line")
-    volume = _lines(pairs).select("pair_id", "side", size.alias("n"), F.explode(hits).alias("topic")).groupBy(
+    on = topics.matched(_lines(pairs), F.col("_low"))
+    hits = F.array_distinct(F.transform("_hits", lambda h: h["kind"]))
+    volume = on.select("pair_id", "side", F.length("line").alias("n"), F.explode(hits).alias("topic")).groupBy(
         "pair_id", "topic"
     ).agg(
         F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("chars1"),
@@ -99,12 +130,12 @@ def compare_topics(pairs: DataFrame, topics: Lexicon) -> DataFrame:
     ).withColumn("volume_ratio", F.try_divide(F.col("chars2"), F.col("chars1")))
 
 
-def compare_warnings(pairs: DataFrame, levels: Mapping[str, int]) -> DataFrame:
-    """Strongest warning phrase of each side, and the side that warns more strongly."""
-    level = F.greatest(
-        F.lit(0), *[F.when(F.contains(F.col("_low"), F.lit(p.lower())), n).otherwise(0) for p, n in levels.items()]
-    )
-    found = _lines(pairs).groupBy("pair_id").agg(
+def compare_warnings(pairs: DataFrame, levels: DataFrame) -> DataFrame:
+    """Strongest warning phrase of each side, and the side that warns more strongly; ``levels``: (phrase, level)."""
+    phrases = levels.select(F.lower("phrase").alias("needle"), "level")
+    on = with_needles(_lines(pairs), F.col("_low"), phrases, "_hits")
+    level = F.greatest(F.lit(0), F.coalesce(F.array_max(F.transform("_hits", lambda h: h["level"])), F.lit(0)))
+    found = on.groupBy("pair_id").agg(
         F.max(F.when(F.col("side") == 1, level)).alias("level1"), F.max(F.when(F.col("side") == 2, level)).alias("level2")
     )
     return found.withColumn(

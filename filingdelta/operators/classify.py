@@ -3,58 +3,90 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filingdelta.functions import json as J
 from filingdelta.functions.numbers import round_half_even
+from filingdelta.operators.containment import with_needles
 from filingdelta.schemas import UNKNOWN_LABEL, UNKNOWN_TYPE
 
 DEFAULT_CONFIDENCE = 0.5
-MAX_KEYWORDS = 10_000
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Detection keywords and display names per type, in catalogue order.
+    """A catalogue as tables: detection keywords ``(kind, ordinal, keyword)`` and every type once, ``(kind, label)``.
 
-    It comes from a handful of catalogue files, so it travels as literals in the
-    plan and classification is one projection: no join and no shuffle.
+    Types stand in the order of their names, keywords in that of their ordinals; neither has a greatest number.
     """
 
-    keywords: Mapping[str, Sequence[str]]
-    labels: Mapping[str, str] = field(default_factory=dict)
+    keywords: DataFrame
+    labels: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, keywords: Mapping[str, Sequence[str]], labels: Mapping[str, str] | None = None) -> Lexicon:
+        words = [(kind, i, word) for kind, listed in keywords.items() for i, word in enumerate(listed)]
+        names = {kind: kind for kind in keywords} | dict(labels or {})
+        return cls(
+            spark.createDataFrame(words, "kind string, ordinal int, keyword string"),
+            spark.createDataFrame(list(names.items()), "kind string, label string"),
+        )
+
+    def needles(self) -> DataFrame:
+        """The keywords in lower case, each with its type's label and number of keywords."""
+        totals = self.keywords.groupBy("kind").agg(F.count("*").cast("int").alias("total"))
+        words = self.keywords.join(totals, "kind").join(self.labels, "kind", "left")
+        return words.select("kind", "ordinal", F.lower("keyword").alias("needle"), "total", F.coalesce("label", "kind").alias("label"))
+
+    def matched(self, df: DataFrame, text: Column, out: str = "_hits") -> DataFrame:
+        """``df`` with the keywords in ``text``, ordered by type and ordinal."""
+        return with_needles(df, text, self.needles(), out).withColumn(out, F.array_sort(out))
+
+    def labelled(self, df: DataFrame, kind_col: str, out: str, known: str | None = None) -> DataFrame:
+        """``df`` with the label of a type, the type itself where it has none, and whether the catalogue knows it."""
+        names = self.labels.select(F.col("kind").alias("_kind"), F.col("label").alias("_label"))
+        kind = F.col(kind_col)
+        label = F.coalesce("_label", F.when(kind == UNKNOWN_TYPE, F.lit(UNKNOWN_LABEL)), kind)
+        joined = df.join(names, kind == F.col("_kind"), "left").withColumn(out, label)
+        if known:
+            joined = joined.withColumn(known, F.coalesce(F.col("_kind").isNotNull() | (kind == UNKNOWN_TYPE), F.lit(False)))
+        return joined.drop("_kind", "_label")
 
-    def __post_init__(self) -> None:
-        total = sum(len(v) for v in self.keywords.values())
-        if total > MAX_KEYWORDS:
-            raise ValueError(f"{total} detection keywords; the catalogue holds at most {MAX_KEYWORDS}")
 
-    def words(self, kind: str) -> list[str]:
-        return [w.lower() for w in self.keywords.get(kind, ())]
+def haystack(filename: Column, sample: Column) -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce(filename, F.lit("")), F.coalesce(sample, F.lit(""))))
 
-    def types(self) -> list[str]:
-        return sorted(self.keywords)
 
-    def label(self, kind: str) -> str:
-        return self.labels.get(kind, UNKNOWN_LABEL if kind == UNKNOWN_TYPE else kind)
+def _document_text() -> Column:
+    return haystack(F.col("filename"), F.col("text_sample"))
 
-    def matched(self, haystack: Column, kind: str) -> Column:
-        words = [w for w in self.words(kind) if w]
-        if not words:
-            return F.array().cast("array<string>")
-        return F.array_compact(F.array(*[F.when(F.contains(haystack, F.lit(w)), F.lit(w)) for w in words]))
 
-    def label_column(self, kind: Column) -> Column:
-        out = F.when(kind == UNKNOWN_TYPE, F.lit(self.label(UNKNOWN_TYPE)))
-        for name in self.types():
-            out = out.when(kind == name, F.lit(self.label(name)))
-        return out.otherwise(kind)
+def _of_kind(hits: Column, kind: Column) -> Column:
+    return F.filter(hits, lambda h: h["kind"] == kind)
 
 
-def haystack(filename: Column, sample: Column) -> Column:
-    return F.lower(F.concat_ws(" ", F.coalesce(filename, F.lit("")), F.coalesce(sample, F.lit(""))))
+def _words(hits: Column) -> Column:
+    return F.transform(hits, lambda h: h["needle"])
+
+
+def _best_kind(df: DataFrame) -> DataFrame:
+    """The type with the most of the row's ``_hits``; the first one in catalogue order wins a tie."""
+    hits = F.filter("_hits", lambda h: h["kind"] != UNKNOWN_TYPE)
+    by_kind = F.transform(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["kind"]))), lambda k: _of_kind(F.col("_hits"), k))
+    best = F.aggregate(by_kind, F.filter("_hits", lambda h: F.lit(False)), lambda acc, h: F.when(F.size(h) > F.size(acc), h).otherwise(acc))
+    found = F.size("_best") > 0
+    first = F.get("_best", F.lit(0))
+    ratio = F.least(F.lit(1.0), F.size("_best") / first["total"])
+    return (
+        df.withColumn("_best", best)
+        .withColumn("detected_type", F.when(found, first["kind"]))
+        .withColumn("detected_type_label", F.when(found, first["label"]))
+        .withColumn("detection_confidence", F.when(found, round_half_even(ratio, 2)))
+        .withColumn("matched_keywords", F.when(found, _words(F.col("_best"))))
+        .drop("_best")
+    )
 
 
 def classify(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -63,73 +95,40 @@ def classify(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Adds detected_type, detected_type_label, detection_confidence and
     matched_keywords, all null when no keyword matches.
     """
-    kinds = [k for k in lexicon.types() if k != UNKNOWN_TYPE and lexicon.words(k)]
-    text = haystack(F.col("filename"), F.col("text_sample"))
-    scored = docs.withColumn("_text", text).withColumn(
-        "_hits",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(kind).alias("kind"),
-                    lexicon.matched(F.col("_text"), kind).alias("words"),
-                    F.lit(len(lexicon.words(kind))).alias("total"),
-                )
-                for kind in kinds
-            ]
-        ),
-    )
-    best = F.aggregate(
-        "_hits",
-        F.element_at("_hits", 1),
-        lambda acc, h: F.when(F.size(h["words"]) > F.size(acc["words"]), h).otherwise(acc),
-    )
-    found = F.size("_best.words") > 0
-    ratio = F.least(F.lit(1.0), F.size("_best.words") / F.col("_best.total"))
-    return (
-        scored.withColumn("_best", best)
-        .withColumn("detected_type", F.when(found, F.col("_best.kind")))
-        .withColumn("detected_type_label", lexicon.label_column(F.col("detected_type")))
-        .withColumn("detection_confidence", F.when(found, round_half_even(ratio, 2)))
-        .withColumn("matched_keywords", F.when(found, F.col("_best.words")))
-        .drop("_text", "_hits", "_best")
-    )
+    return _best_kind(lexicon.matched(docs, _document_text())).drop("_hits")
 
 
 def matched_keywords(docs: DataFrame, lexicon: Lexicon, type_col: str = "document_type") -> DataFrame:
     """Keywords of the given type found in the text, in catalogue order."""
-    text = haystack(F.col("filename"), F.col("text_sample"))
-    out = docs.withColumn("_text", text)
-    words = F.array().cast("array<string>")
-    chain = None
-    for kind in lexicon.types():
-        hit, value = F.col(type_col) == kind, lexicon.matched(F.col("_text"), kind)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return out.withColumn("matched_keywords", words if chain is None else chain.otherwise(words)).drop("_text")
+    out = lexicon.matched(docs, _document_text())
+    return out.withColumn("matched_keywords", _words(_of_kind(F.col("_hits"), F.col(type_col)))).drop("_hits")
 
 
-def parse_type_reply(docs: DataFrame, lexicon: Lexicon, reply_col: str = "reply_json") -> DataFrame:
-    """Read a classification reply; reply_type is null when the reply is not usable."""
-    doc = docs.withColumn("_doc", J.parsed(F.col(reply_col)))
-    named = J.text_member(F.col("_doc"), "document_type")
-    known = [*lexicon.types(), UNKNOWN_TYPE]
+def _read_reply(docs: DataFrame, lexicon: Lexicon, reply_col: str) -> DataFrame:
+    """Columns of a reply, from a row that has its ``_hits``."""
+    doc = docs.withColumn("_doc", J.parsed(F.col(reply_col))).withColumn("_named", J.text_member(F.col("_doc"), "document_type"))
+    known = lexicon.labelled(doc, "_named", "reply_label", known="_known")
     confidence = F.coalesce(J.number_member(F.col("_doc"), "confidence"), F.lit(DEFAULT_CONFIDENCE))
     clamped = F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0)))
-    out = (
-        doc.withColumn("reply_type", F.when(J.is_object(F.col("_doc")) & named.isin(*known), named))
-        .withColumn("_usable", F.col("reply_type").isNotNull())
-        .withColumn("reply_confidence", F.when(F.col("_usable"), round_half_even(clamped, 2)))
-        .withColumn("reply_reason", F.when(F.col("_usable"), J.text_member(F.col("_doc"), "reason")))
-    )
-    out = matched_keywords(out, lexicon, "reply_type")
-    return out.withColumn("reply_keywords", F.when(F.col("_usable"), F.col("matched_keywords"))).drop(
-        "_doc", "_usable", "matched_keywords"
+    usable = F.col("reply_type").isNotNull()
+    return (
+        known.withColumn("reply_type", F.when(J.is_object(F.col("_doc")) & F.col("_known"), F.col("_named")))
+        .withColumn("reply_label", F.when(usable, F.col("reply_label")))
+        .withColumn("reply_confidence", F.when(usable, round_half_even(clamped, 2)))
+        .withColumn("reply_reason", F.when(usable, J.text_member(F.col("_doc"), "reason")))
+        .withColumn("reply_keywords", F.when(usable, _words(_of_kind(F.col("_hits"), F.col("reply_type")))))
+        .drop("_doc", "_named", "_known")
     )
 
 
+def parse_type_reply(docs: DataFrame, lexicon: Lexicon, reply_col: str = "reply_json") -> DataFrame:
+    """Read a classification reply; reply_type is null when the reply is not usable."""
+    return _read_reply(lexicon.matched(docs, _document_text()), lexicon, reply_col).drop("_hits", "reply_label")
+
+
 def classify_final(docs: DataFrame, lexicon: Lexicon, reply_col: str = "reply_json") -> DataFrame:
-    """The reply's result when it is usable, the keyword result otherwise."""
-    keyword = classify(docs, lexicon).withColumnRenamed("matched_keywords", "_keyword_words")
-    both = parse_type_reply(keyword, lexicon, reply_col)
+    """The reply's result when it is usable, the keyword result otherwise; the text is searched once for both."""
+    both = _read_reply(_best_kind(lexicon.matched(docs, _document_text())), lexicon, reply_col)
     usable = F.col("reply_type").isNotNull()
 
     def pick(reply: str, other: str) -> Column:
@@ -137,10 +136,10 @@ def classify_final(docs: DataFrame, lexicon: Lexicon, reply_col: str = "reply_js
 
     return (
         both.withColumn("classified_by", F.when(usable, "reply").when(F.col("detected_type").isNotNull(), "keywords"))
-        .withColumn("matched_keywords", pick("reply_keywords", "_keyword_words"))
+        .withColumn("matched_keywords", pick("reply_keywords", "matched_keywords"))
         .withColumn("detection_confidence", pick("reply_confidence", "detection_confidence"))
         .withColumn("detection_reason", F.col("reply_reason"))
+        .withColumn("detected_type_label", pick("reply_label", "detected_type_label"))
         .withColumn("detected_type", pick("reply_type", "detected_type"))
-        .withColumn("detected_type_label", lexicon.label_column(F.col("detected_type")))
-        .drop("_keyword_words", "reply_type", "reply_confidence", "reply_reason", "reply_keywords")
+        .drop("_hits", "reply_type", "reply_label", "reply_confidence", "reply_reason", "reply_keywords")
     )

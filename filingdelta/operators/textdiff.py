@@ -58,13 +58,6 @@ def text_diff_chars(pairs: DataFrame, max_chars: int | None = COMPARED_CHARS, li
     return ready.repartition("pair_id").mapInPandas(_align(listed), _DIFF)
 
 
-def text_differences(mappings: DataFrame, diffs: DataFrame) -> DataFrame:
-    """One row per mapping with the alignment of its pair."""
-    return mappings.select("pair_id", "mapping_index", F.col("doc1_section").alias("section")).join(
-        diffs, "pair_id"
-    ).withColumn("semantic_similarity", F.lit(None).cast("double"))
-
-
 def _line_counts(pairs: DataFrame, ignore_punctuation: bool) -> DataFrame:
     def side(text: str, flag1: int, flag2: int) -> DataFrame:
         source = F.col(text)

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from filingdelta.functions.text import first_filled
+from filingdelta.operators.alignment import text_alignment
 from filingdelta.operators.changes import compare_kpis, compare_relations
 from filingdelta.operators.differences import compare_numbers
 from filingdelta.operators.intake import effective_label, effective_type
 from filingdelta.operators.mapping import SIMILARITY_THRESHOLD, determine_modes, map_sections
 from filingdelta.operators.reviews import assemble_reviews, eligible, reviews_from_replies
-from filingdelta.operators.textdiff import COMPARED_CHARS, text_diff_chars, text_differences
 from filingdelta.session import materialise
 
 INFO_SAMPLE_CHARS = 5_000
@@ -25,6 +25,7 @@ class Corpus:
 
     documents: document_id, document_type, company_name, fiscal_year, text
     sections: document_id, section_name, start_page, end_page, has_content
+    section_texts: document_id, section_name, text; whole texts
     vectors: document_id, ordinal, section_name, vector
     cells: document_id, table_id, row, col, item_name, text
     table_sections: document_id, section_name, table_id
@@ -33,6 +34,7 @@ class Corpus:
 
     documents: DataFrame
     sections: DataFrame
+    section_texts: DataFrame
     vectors: DataFrame
     cells: DataFrame
     table_sections: DataFrame
@@ -58,6 +60,19 @@ def pair_inputs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def section_text_differences(mappings: DataFrame, section_texts: DataFrame) -> DataFrame:
+    """One row per mapping whose sections both have a text: the ordered alignment of the two whole texts."""
+    pairs = mappings.select("pair_id", "mapping_index", "doc1_id", "doc2_id", "doc1_section", "doc2_section")
+    for n in (1, 2):
+        side = section_texts.select(
+            F.col("document_id").alias(f"doc{n}_id"), F.col("section_name").alias(f"doc{n}_section"), F.col("text").alias(f"text{n}")
+        )
+        pairs = pairs.join(side, [f"doc{n}_id", f"doc{n}_section"])
+    key = ["pair_id", "mapping_index"]
+    labels = mappings.select(*key, F.col("doc1_section").alias("section"))
+    return labels.join(text_alignment(pairs, key), key).withColumn("semantic_similarity", F.lit(None).cast("double"))
+
+
 def compare(
     requests: DataFrame, corpus: Corpus, replies: DataFrame,
     threshold: float = SIMILARITY_THRESHOLD, dimension: int = 1536, scope: str = "section", search: bool = False,
@@ -82,12 +97,6 @@ def compare(
         kind.withColumnsRenamed({"document_id": "doc1_id", "document_type": "doc1_type"}), "doc1_id"
     ).join(kind.withColumnsRenamed({"document_id": "doc2_id", "document_type": "doc2_type"}), "doc2_id")
     mappings = materialise(map_sections(typed, corpus.sections, corpus.vectors, threshold, dimension))
-    # Only the compared characters travel through the joins.
-    texts = corpus.documents.select("document_id", F.substring("text", 1, COMPARED_CHARS).alias("text"))
-    text_pairs = (
-        pairs.join(texts.withColumnsRenamed({"document_id": "doc1_id", "text": "text1"}), "doc1_id")
-        .join(texts.withColumnsRenamed({"document_id": "doc2_id", "text": "text2"}), "doc2_id")
-    )
     ready = eligible(mappings, corpus.sections)
     answered = ready.select("pair_id", "mapping_index").join(replies, ["pair_id", "mapping_index"], "left").join(
         pairs.select("pair_id", "mode"), "pair_id"
@@ -96,7 +105,7 @@ def compare(
         "comparisons": modes,
         "mappings": mappings,
         "numeric_diffs": compare_numbers(mappings, corpus.cells, corpus.table_sections, scope),
-        "text_diffs": text_differences(mappings, text_diff_chars(text_pairs)),
+        "text_diffs": section_text_differences(mappings, corpus.section_texts),
         "section_reviews": assemble_reviews(
             ready, reviews_from_replies(answered, search=search), corpus.sections
         ),

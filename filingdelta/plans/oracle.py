@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 from filingdelta.plans.registry import EXPECTED_SECTIONS, NOW, THRESHOLD, UPLOAD_LIMIT_MB, WARNING_LEVELS
-from filingdelta.plans.tables import GIVEN, LANGUAGE_LEXICON, PAGE_LINES, SHARED
+from filingdelta.plans.tables import GIVEN, LANGUAGE_KEYWORDS, PAGE_LINES, SHARED
 
 _WORDS = ", ".join(
     f"('{kind}', {i}, '{word}')"
-    for kind in LANGUAGE_LEXICON.types()
-    for i, word in enumerate(LANGUAGE_LEXICON.words(kind))
+    for kind, words in LANGUAGE_KEYWORDS.items()
+    for i, word in enumerate(words)
 )
 _LABEL = "CASE {0} WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'unknown' THEN '未判定' ELSE {0} END"
 _NUMBER = "-?[0-9]+(\\.[0-9]+)?"
@@ -125,6 +125,24 @@ SELECT document_id, section_name, CASE WHEN json_valid(reply_json) THEN reply_js
 SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(company_name, '\\([^)]*\\)', '', 'g'),
   'Corporation|Corp\\.|Inc\\.|Ltd\\.|Limited|Holdings|holding', '', 'gi'), '[\\s\\-\\.,]', '', 'g'))) AS norm
 FROM filings""",
+    "company_folds": """
+SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\\([^)]*\\)', '', 'g'),
+  'Corporation|Corp\\.|Inc\\.|Ltd\\.|Limited|Holdings|holding', '', 'gi'), '[\\s\\-\\.,]', '', 'g'))) AS company
+FROM company_names""",
+    "company_sizes": "SELECT company, count(*) AS n FROM company_folds GROUP BY company",
+    "company_links": """
+SELECT s.company AS short, l.company AS long, s.n AS n_short, l.n AS n_long FROM company_sizes s
+JOIN company_sizes l ON length(s.company) < length(l.company) AND contains(l.company, s.company)""",
+    "catalogue_keywords": """
+SELECT item_id, ordinal - 1 AS ordinal, lower(word) AS word FROM (
+  SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS ordinal
+  FROM (SELECT item_id, regexp_split_to_array(text, '\\.\\s*') AS words FROM catalogue_words))""",
+    "catalogue_totals": "SELECT item_id, count(*) AS total FROM catalogue_keywords GROUP BY item_id",
+    "catalogue_best": """
+SELECT doc_id, item_id, m FROM (
+  SELECT d.doc_id, k.item_id, count(*) AS m, row_number() OVER (PARTITION BY d.doc_id ORDER BY count(*) DESC, k.item_id) AS rn
+  FROM documents d JOIN catalogue_keywords k ON k.word <> '' AND contains(lower(d.source || ' ' || d.text), k.word) GROUP BY d.doc_id, k.item_id)
+WHERE rn = 1""",
     "mode_groups": """
 SELECT comparison_id, count(*) AS n, arg_min(f, position) AS a, arg_max(f, position) AS b
 FROM requests r JOIN folded f ON r.document_id = f.document_id GROUP BY comparison_id""",
@@ -282,6 +300,18 @@ FROM reply_parts p LEFT JOIN reply_words w ON p.doc_id = w.doc_id""",
     "upload_best": _classified("upload_text", "id"),
 }
 
+
+
+def _lacking(own: int, other: int) -> str:
+    """Numbers of one side of the month pairs that the other side's table has nowhere."""
+    return f"""
+SELECT p.pair_id, a.table_id, a."row", a."col", a.item_name, a.value, a.base_unit AS unit, {other} AS missing_in
+FROM month_pairs p JOIN cell_base a ON p.doc{own}_id = a.document_id AND a."col" >= 1 AND a.value IS NOT NULL
+WHERE NOT EXISTS (SELECT 1 FROM cell_base b WHERE b.document_id = p.doc{other}_id AND b.table_id = a.table_id AND b."col" >= 1 AND b.value IS NOT NULL
+  AND b.base_unit = a.base_unit AND CASE WHEN a.base = 0 AND b.base = 0 THEN TRUE WHEN a.base = 0 OR b.base = 0 THEN FALSE
+    ELSE abs(a.base - b.base) / greatest(abs(a.base), abs(b.base)) * 100 <= 0.01 END)"""
+
+
 _PRICE2 = "l_extendedprice * (1 - l_discount / CAST(500 AS DOUBLE))"
 
 ORACLE = {
@@ -389,6 +419,12 @@ SELECT comparison_id, count(*) AS n FROM reviews WHERE importance = 'medium'
     "c1_classify_by_keywords": f"""
 SELECT s.document_id, b.kind AS detected_type, {_LABEL.format('b.kind')} AS detected_type_label, round(b.share, 2) AS detection_confidence,
   b.words AS matched_keywords FROM samples s LEFT JOIN sample_best b ON s.document_id = b.document_id""",
+    "c1_catalogue_keywords": """
+SELECT d.doc_id AS document_id, 'item' || lpad(CAST(b.item_id AS VARCHAR), 9, '0') AS detected_type,
+  CASE WHEN b.item_id IS NOT NULL THEN COALESCE(w.label, 'item' || lpad(CAST(b.item_id AS VARCHAR), 9, '0')) END AS detected_type_label,
+  round(CAST(b.m AS DOUBLE) / t.total, 2) AS detection_confidence, CAST(b.m AS INTEGER) AS n_matched
+FROM documents d LEFT JOIN catalogue_best b ON d.doc_id = b.doc_id
+LEFT JOIN catalogue_words w ON w.item_id = b.item_id LEFT JOIN catalogue_totals t ON t.item_id = b.item_id""",
     "c2_collect_keywords": """
 SELECT d.doc_id AS document_id, COALESCE(string_agg(l.word, ',' ORDER BY l.ordinal), '') AS matched_keywords
 FROM documents d LEFT JOIN lexicon l ON l.kind = d.lang AND contains(lower(d.source || ' ' || d.text), l.word) GROUP BY d.doc_id""",
@@ -492,6 +528,10 @@ JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (has_content) AS done F
 SELECT a.document_id AS doc1_id, COALESCE(trim(a.company_name) = trim(b.company_name) OR (length(a.norm) >= 3 AND length(b.norm) >= 3
   AND (contains(a.norm, b.norm) OR contains(b.norm, a.norm))), FALSE) AS same_company
 FROM folded a JOIN folded b ON b.document_id = a.document_id + 1""",
+    "e2_company_links": "SELECT * FROM company_links",
+    "e2_company_members": """
+SELECT f.name_id, f.company, CAST(COALESCE(l.n, 0) AS BIGINT) AS n_links FROM company_folds f LEFT JOIN (
+  SELECT company, count(*) AS n FROM (SELECT short AS company FROM company_links UNION ALL SELECT long FROM company_links) GROUP BY company) l ON f.company = l.company""",
     "e3_determine_mode": """
 SELECT comparison_id, n AS n_documents, CASE WHEN n < 2 THEN NULL WHEN n >= 3 THEN 'multi_document' WHEN company AND NOT kind THEN 'consistency_check'
   WHEN NOT company AND kind THEN 'diff_analysis_company' WHEN company AND kind AND NOT same_year THEN 'diff_analysis_year' ELSE 'diff_analysis_company' END AS mode,
@@ -634,6 +674,7 @@ ANTI JOIN (SELECT pair_id, section_name FROM common WHERE has_both) c USING (pai
     "p2_missing_numbers": """
 SELECT pair_id, table_id, "row", "col", max(item_name) AS item_name, max(value) AS value, CAST(3 - max(side) AS INTEGER) AS missing_in
 FROM month_numbers GROUP BY pair_id, table_id, "row", "col" HAVING count(*) = 1""",
+    "p2_missing_values": _lacking(1, 2) + " UNION ALL " + _lacking(2, 1),
     "p3_text_match": """
 SELECT t.pair_id, CASE WHEN text1 = text2 THEN 'exact' WHEN ratio > 0 THEN 'partial' ELSE 'none' END AS match,
   CASE WHEN text1 = text2 THEN 1.0 ELSE round(ratio, 6) END AS match_ratio
@@ -683,14 +724,28 @@ JOIN replies x ON t.d1 = x.document_id JOIN replies y ON t.d2 = y.document_id
 WHERE x.reply_json IS NOT NULL AND y.reply_json IS NOT NULL AND (t1 IS NOT DISTINCT FROM t2
   OR list_cosine_similarity([CAST(1 AS DOUBLE), x.n / CAST(100 AS DOUBLE)], [CAST(1 AS DOUBLE), y.n / CAST(100 AS DOUBLE)]) > 0.7)""",
     "order_cells": """
-SELECT l_orderkey, l_linenumber, arg_min(CAST(l_quantity AS BIGINT), row(l_partkey, l_extendedprice)) AS q
-FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, l_linestatus AS item_name,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) AS INTEGER) AS "row"
+FROM lineitem""",
+    "order_diffs": """
+SELECT m.pair_id, 'order' AS section, a."row", 1 AS "col", a.item_name, CAST(a.q AS DOUBLE) AS value1, CAST(b.q AS DOUBLE) AS value2,
+  round((a.q - b.q) / CAST(abs(a.q) AS DOUBLE) * 100, 6) AS difference_pct
+FROM mapped_orders m JOIN order_cells a ON m.d1 = a.l_orderkey JOIN order_cells b ON m.d2 = b.l_orderkey AND a."row" = b."row" WHERE a.q <> b.q""",
+    "order_lines": """
+SELECT f.document_id, f.company_name, CAST(o_orderdate AS TIMESTAMP) AS day, o_orderpriority, o_orderstatus, CAST(3 + (f.company_name IS NOT NULL)::INT AS INTEGER) AS n
+FROM filings f JOIN orders o ON f.document_id = o.o_orderkey""",
+    "order_texts": """
+SELECT m.pair_id, a.n AS n1, b.n AS n2, CAST(COALESCE(a.company_name = b.company_name, FALSE)::INT + (a.day = b.day)::INT
+  + (a.o_orderpriority = b.o_orderpriority)::INT + (a.o_orderstatus = b.o_orderstatus)::INT AS INTEGER) AS matched
+FROM mapped_orders m JOIN order_lines a ON m.d1 = a.document_id JOIN order_lines b ON m.d2 = b.document_id""",
 }
+ORACLE["e24_text_differences"] = """
+SELECT pair_id, CAST(1 AS BIGINT) AS mapping_index, 'order' AS section, n1, n2, matched, round(2.0 * matched / (n1 + n2), 6) AS match_ratio FROM order_texts"""
+ORACLE["e24_numeric_differences"] = "SELECT * FROM order_diffs"
 ORACLE["e24_compare_documents"] = """
 SELECT CAST(comparison_id AS VARCHAR) AS pair_id, CAST(1 AS BIGINT) AS n_rows, 'comparisons' AS result FROM modes
 UNION ALL SELECT pair_id, 1, unnest(['mappings', 'text_diffs', 'section_reviews']) FROM mapped_orders
-UNION ALL SELECT pair_id, count(*), 'numeric_diffs' FROM mapped_orders m JOIN order_cells a ON m.d1 = a.l_orderkey
-  JOIN order_cells b ON m.d2 = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.q <> b.q GROUP BY pair_id
+UNION ALL SELECT pair_id, count(*), 'numeric_diffs' FROM order_diffs GROUP BY pair_id
 UNION ALL SELECT pair_id, 1, 'kpi_changes' FROM mapped_orders
   WHERE json_extract_string(r1, '$.kpi_time_series[0].stated_metrics.trend_stated') <> json_extract_string(r2, '$.kpi_time_series[0].stated_metrics.trend_stated')
 UNION ALL SELECT pair_id, 1, 'relation_changes' FROM mapped_orders

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from filingdelta.functions.company import normalise_company, same_company
 from filingdelta.functions.numbers import extract_number_unit, normalise_unit, within_tolerance
 from filingdelta.functions.vectors import cosine
 from filingdelta.operators import (
-    changes, checks, classify, content, differences, grids, intake, mapping, pages, related, report, reviews,
+    alignment, changes, checks, classify, companies, content, differences, grids, intake, mapping, pages, related, report, reviews,
     sections, textdiff,
 )
 from filingdelta.plans.compare import Corpus, compare, pair_inputs
 from filingdelta.plans.structure import detect, extraction_inputs
-from filingdelta.plans.tables import LANGUAGE_LEXICON, Tables
+from filingdelta.plans.tables import Tables
 from filingdelta.session import configure, materialise, scratch_path
 from filingdelta.sources import exports, records, templates
 from filingdelta.streaming import intake as intake_stream, retention, status
@@ -355,30 +355,42 @@ def _samples(t: Tables) -> DataFrame:
 
 @register("c1_classify_by_keywords")
 def c1(t: Tables) -> DataFrame:
-    return classify.classify(_samples(t), LANGUAGE_LEXICON).select(
+    return classify.classify(_samples(t), t.languages()).select(
         "document_id", "detected_type", "detected_type_label", "detection_confidence", listed("matched_keywords").alias("matched_keywords")
     )
 
 
+@register("c1_catalogue_keywords")
+def c1_catalogue(t: Tables) -> DataFrame:
+    """Whole documents against a catalogue read from templates: a type per benchmark item, its sentences as keywords."""
+    body = F.to_json(F.struct(F.col("label").alias("display_name"), F.split("text", r"\.\s*").alias("keywords_for_detection")))
+    kind = F.concat(F.lit("item"), F.lpad(F.col("item_id").cast("string"), 9, "0"))
+    lexicon = templates.load_lexicon(templates.parse_templates(t.shared("catalogue_words").select(kind.alias("document_type"), body.alias("body"))))
+    docs = t.base("documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("text").alias("text_sample"))
+    return classify.classify(docs, lexicon).select(
+        "document_id", "detected_type", "detected_type_label", "detection_confidence", F.size("matched_keywords").alias("n_matched")
+    )
+
+
 @register("c2_collect_keywords")
 def c2(t: Tables) -> DataFrame:
     docs = t.base("documents").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("text").alias("text_sample"),
         F.col("lang").alias("document_type"),
     )
-    return classify.matched_keywords(docs, LANGUAGE_LEXICON).select("document_id", listed("matched_keywords").alias("matched_keywords"))
+    return classify.matched_keywords(docs, t.languages()).select("document_id", listed("matched_keywords").alias("matched_keywords"))
 
 
 @register("c3_normalise_classifier_reply")
 def c3(t: Tables) -> DataFrame:
-    return classify.parse_type_reply(t.shared("type_replies"), LANGUAGE_LEXICON).select(
+    return classify.parse_type_reply(t.shared("type_replies"), t.languages()).select(
         "doc_id", "reply_type", "reply_confidence", "reply_reason", listed("reply_keywords").alias("reply_keywords")
     )
 
 
 @register("c4_classification_fallback")
 def c4(t: Tables) -> DataFrame:
-    return classify.classify_final(t.shared("type_replies"), LANGUAGE_LEXICON).select(
+    return classify.classify_final(t.shared("type_replies"), t.languages()).select(
         "doc_id", "classified_by", "detected_type", "detected_type_label", "detection_confidence", "detection_reason",
         listed("matched_keywords").alias("matched_keywords"),
     )
@@ -542,6 +554,16 @@ def e2(t: Tables) -> DataFrame:
     )
 
 
+@register("e2_company_links")
+def e2_links(t: Tables) -> DataFrame:
+    return companies.link_companies(t.shared("company_names"))[0]
+
+
+@register("e2_company_members")
+def e2_members(t: Tables) -> DataFrame:
+    return companies.link_companies(t.shared("company_names"))[1].select("name_id", "company", "n_links")
+
+
 @register("e3_determine_mode")
 def e3(t: Tables) -> DataFrame:
     return mapping.determine_modes(t.shared("requests"), t.shared("filings")).select(
@@ -693,6 +715,26 @@ def e13(t: Tables) -> DataFrame:
     )
 
 
+@register("e13_ordered_alignment")
+def e13_alignment(t: Tables) -> DataFrame:
+    """Whole texts, in order."""
+    found = _rounded(alignment.text_alignment(t.text_pairs()), "match_ratio")
+    return found.select(
+        "pair_id", "n1", "n2", "matched", "match_ratio", "n_added", "n_removed", "n_changed",
+        F.to_json("added_text").alias("added_text"), F.to_json("removed_text").alias("removed_text"), F.to_json("changed_text").alias("changed_text"),
+    )
+
+
+@register("e13_ordered_changes")
+def e13_changes(t: Tables) -> DataFrame:
+    return alignment.text_changes(t.text_pairs())
+
+
+@register("e13_sentence_changes")
+def e13_sentences(t: Tables) -> DataFrame:
+    return alignment.text_changes(t.text_pairs(), unit="sentence")
+
+
 @register("e14_text_line_diff")
 def e14(t: Tables) -> DataFrame:
     return _rounded(textdiff.text_diff_lines(t.text_pairs()), "match_ratio")
@@ -835,23 +877,24 @@ def e23(t: Tables) -> DataFrame:
 def comparison_results(t: Tables) -> dict[str, DataFrame]:
     """The whole comparison over each order's filing against the customer's others."""
     docs = t.shared("filings").join(
-        t.base("orders").select(F.col("o_orderkey").alias("document_id"), "o_orderdate", "o_custkey"), "document_id"
+        t.base("orders").select(F.col("o_orderkey").alias("document_id"), "o_orderdate", "o_custkey", "o_orderpriority", "o_orderstatus"), "document_id"
     )
     parsed = materialise(
         content.parse_content_reply(t.shared("content_replies")).withColumn("section_name", F.lit("order"))
     )
     facts = parsed.where("extracted_content is not null")
+    # An order has a handful of line items; their order is total.
+    items = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     cells = t.base("lineitem").select(
-        F.col("l_orderkey").alias("document_id"), F.lit("items").alias("table_id"), F.col("l_linenumber").alias("row"),
+        F.col("l_orderkey").alias("document_id"), F.lit("items").alias("table_id"), F.row_number().over(items).alias("row"),
         F.lit(1).alias("col"), F.col("l_linestatus").alias("item_name"), F.col("l_quantity").cast("long").cast("string").alias("text"),
-        F.struct("l_partkey", "l_extendedprice").alias("_o"),
-    ).groupBy("document_id", "table_id", "row", "col").agg(
-        F.min_by("item_name", "_o").alias("item_name"), F.min_by("text", "_o").alias("text")
     )
+    lines = F.concat_ws("\n", "company_name", F.col("o_orderdate").cast("string"), "o_orderpriority", "o_orderstatus")
     corpus = Corpus(
         documents=docs.withColumn("text", F.concat_ws(" ", "company_name", F.col("o_orderdate").cast("string"))),
         sections=parsed.select("document_id", "section_name", F.lit(1).alias("start_page"), F.lit(None).cast("int").alias("end_page"),
                                F.col("extracted_content").isNotNull().alias("has_content")),
+        section_texts=docs.select("document_id", F.lit("order").alias("section_name"), lines.alias("text")),
         vectors=facts.select("document_id", F.lit(1).cast("long").alias("ordinal"), "section_name",
                              F.array(F.lit(1.0), F.length("reply_json").cast("double") / 100).alias("vector")),
         cells=cells,
@@ -875,6 +918,20 @@ def e24(t: Tables) -> DataFrame:
     return out
 
 
+@register("e24_text_differences")
+def e24_texts(t: Tables) -> DataFrame:
+    """The ordered alignment of the mapped sections' texts."""
+    found = _rounded(comparison_results(t)["text_diffs"], "match_ratio")
+    return found.select("pair_id", "mapping_index", "section", "n1", "n2", "matched", "match_ratio")
+
+
+@register("e24_numeric_differences")
+def e24_numbers(t: Tables) -> DataFrame:
+    return comparison_results(t)["numeric_diffs"].select(
+        "pair_id", "section", "row", "col", "item_name", "value1", "value2", F.round("difference_pct", 6).alias("difference_pct")
+    )
+
+
 @register("e25_compare_inputs")
 def e25(t: Tables) -> DataFrame:
     texts = t.base("documents").select(
@@ -969,9 +1026,7 @@ def g1(t: Tables) -> DataFrame:
         "size_bytes", F.octet_length("body").cast("long")
     )
     out = scratch_path(t.spark, "intake")
-    intake_stream.run_intake(
-        intake_stream.intake(uploads, LANGUAGE_LEXICON, UPLOAD_LIMIT_MB), f"{out}/rows", f"{out}/checkpoint"
-    ).awaitTermination()
+    intake_stream.run_intake(uploads, t.languages(), f"{out}/rows", f"{out}/checkpoint", UPLOAD_LIMIT_MB).awaitTermination()
     return t.spark.read.parquet(f"{out}/rows").select(
         "batch_id", "filename", "status", "detected_type", "detection_confidence", "processing_status", "queueable"
     )
@@ -987,7 +1042,7 @@ def g2_stream(t: Tables) -> DataFrame:
     source = t.spark.readStream.schema(t.base("events").schema).parquet(f"{t.sf_dir}/events.parque[t]")
     out = scratch_path(t.spark, "status")
     status.run_status(t.shared("status_events", events=source), f"{out}/log", f"{out}/checkpoint").awaitTermination()
-    return status.current_status(t.spark.read.parquet(f"{out}/log"))
+    return status.current_status(status.read_log(t.spark, f"{out}/log"))
 
 
 @register("g3_expire_documents")
@@ -1024,6 +1079,12 @@ def p2(t: Tables) -> DataFrame:
     return checks.missing_numbers(*_month_sides(t), ["pair_id", "table_id"])
 
 
+@register("p2_missing_values")
+def p2_values(t: Tables) -> DataFrame:
+    """Numbers that the same table of the next year has nowhere."""
+    return checks.missing_values(*_month_sides(t), ["pair_id", "table_id"])
+
+
 @register("p3_text_match")
 def p3(t: Tables) -> DataFrame:
     return _rounded(checks.text_match(t.text_pairs()), "match_ratio")
@@ -1036,7 +1097,7 @@ def p4(t: Tables) -> DataFrame:
 
 @register("p5_topic_comparison")
 def p5(t: Tables) -> DataFrame:
-    return _rounded(checks.compare_topics(t.text_pairs(), LANGUAGE_LEXICON), "volume_ratio")
+    return _rounded(checks.compare_topics(t.text_pairs(), t.languages()), "volume_ratio")
 
 
 WARNING_LEVELS = {"the": 1, "with": 2, "eaux": 2, "that": 3, "und": 1, "keit": 3}
@@ -1044,7 +1105,7 @@ WARNING_LEVELS = {"the": 1, "with": 2, "eaux": 2, "that": 3, "und": 1, "keit": 3
 
 @register("p6_warning_strength")
 def p6(t: Tables) -> DataFrame:
-    return checks.compare_warnings(t.text_pairs(), WARNING_LEVELS)
+    return checks.compare_warnings(t.text_pairs(), t.spark.createDataFrame(list(WARNING_LEVELS.items()), "phrase string, level int"))
 
 
 @register("p7_priority")

@@ -15,16 +15,14 @@ from filingdelta.operators.sections import page_batches
 PAGE_LINES = 3
 
 # Classification words per language; the documents' languages stand in for filing types.
-LANGUAGE_LEXICON = Lexicon(
-    {
-        "de": ["der", "die", "sch", "und", "icht", "ein", "keit"],
-        "en": ["the", "and", "ing", "with", "that", "was"],
-        "es": ["el", "los", "con", "ción", "para", "ñ"],
-        "fr": ["le", "la", "que", "eaux", "tre", "é", "oi"],
-        "none": [],
-    },
-    {"de": "German", "en": "English", "fr": "French"},
-)
+LANGUAGE_KEYWORDS = {
+    "de": ["der", "die", "sch", "und", "icht", "ein", "keit"],
+    "en": ["the", "and", "ing", "with", "that", "was"],
+    "es": ["el", "los", "con", "ción", "para", "ñ"],
+    "fr": ["le", "la", "que", "eaux", "tre", "é", "oi"],
+    "none": [],
+}
+LANGUAGE_LABELS = {"de": "German", "en": "English", "fr": "French"}
 
 SHARED = {
     # Conversation turns as uploaded files of one batch per conversation.
@@ -186,16 +184,24 @@ SELECT CAST(c_custkey AS STRING) AS comparison_id,
   CASE c_mktsegment WHEN 'FURNITURE' THEN NULL ELSE c_mktsegment END AS doc2_company, CAST(NULL AS INT) AS doc2_year
 FROM {customer}""",
     # Near copies: every document with the first document that opens with the same line,
-    # and both user turns of a conversation.
+    # and every turn of a conversation with the next but one, which is its speaker's next.
     "copy_pairs": """
 SELECT 'd' || CAST(d.doc_id AS STRING) AS pair_id, f.first_id AS doc1_id, d.doc_id AS doc2_id
 FROM (SELECT doc_id, {first_line} AS line FROM {documents}) d
 JOIN (SELECT {first_line} AS line, min(doc_id) AS first_id FROM {documents} GROUP BY {first_line}) f ON d.line = f.line
 WHERE d.doc_id <> f.first_id""",
     "turn_pairs": """
-SELECT 'c' || CAST(a.conv_id AS STRING) AS pair_id, a.text AS text1, b.text AS text2
-FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id
-WHERE a.turn = 0 AND b.turn = 2""",
+SELECT 'c' || CAST(a.conv_id AS STRING) || '-' || CAST(a.turn AS STRING) AS pair_id, a.text AS text1, b.text AS text2
+FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2""",
+    # Customers and suppliers under various legal forms, and the customers' national branches.
+    "company_names": """
+SELECT 'c' || CAST(c_custkey AS STRING) AS name_id, c_name || CASE c_mktsegment WHEN 'BUILDING' THEN ' Inc.' WHEN 'MACHINERY' THEN ' Limited'
+  WHEN 'FURNITURE' THEN ' (old)' ELSE '' END AS name FROM {customer}
+UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), upper(s_name) || ' Holdings' FROM {supplier}
+UNION ALL SELECT 'b' || CAST(c_custkey AS STRING), c_name || ' ' || n_name || ' Ltd.' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # A catalogue type per benchmark item; its sentences are the keywords. JSON is YAML as well.
+    "catalogue_words": """
+SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE 'Item ' || CAST(item_id AS STRING) END AS label, text FROM {benchmark}""",
     # The region, nation and customer hierarchy as template nodes.
     "nodes": """
 SELECT 'market' AS document_type, 'r' || CAST(r_regionkey AS STRING) AS node_id, CAST(NULL AS STRING) AS parent_id,
@@ -234,6 +240,9 @@ class Tables:
             inputs["orders"] = self.spread(inputs["orders"])
         return self.spark.sql(sql, **inputs)
 
+    def languages(self) -> Lexicon:
+        return Lexicon.of(self.spark, LANGUAGE_KEYWORDS, LANGUAGE_LABELS)
+
     def pages(self) -> DataFrame:
         """Pages of three lines, cut inside each row without a shuffle."""
         lines = F.split("text", "\n")
