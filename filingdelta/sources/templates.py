@@ -90,15 +90,9 @@ def template(rows: DataFrame, document_type: str) -> DataFrame:
     return found
 
 
-def load_lexicon(rows: DataFrame, max_keywords: int = 10_000) -> Lexicon:
-    """Detection keywords as plan literals; the size is checked before anything is fetched."""
-    words, kinds = keywords_of(rows), types_of(rows)
-    if words.limit(max_keywords + 1).count() > max_keywords or kinds.limit(max_keywords + 1).count() > max_keywords:
-        raise ValueError(f"catalogue has more than {max_keywords} entries")
-    keywords: dict[str, list[str]] = {}
-    labels: dict[str, str] = {}
-    for row in kinds.collect():
-        keywords[row["document_type"]], labels[row["document_type"]] = [], row["display_name"]
-    for row in words.orderBy("document_type", "ordinal").collect():
-        keywords[row["document_type"]].append(row["keyword"])
-    return Lexicon(keywords, labels)
+def load_lexicon(rows: DataFrame) -> Lexicon:
+    """The catalogue's detection keywords and display names as tables of any size; nothing is fetched."""
+    return Lexicon(
+        keywords_of(rows).withColumnRenamed("document_type", "kind"),
+        types_of(rows).select(F.col("document_type").alias("kind"), F.col("display_name").alias("label")),
+    )

@@ -26,7 +26,7 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> Data
 
 
 def intake(uploads: DataFrame, lexicon: Lexicon, max_mb: float = 50) -> DataFrame:
-    """Validate, classify and gate; the same projection for a batch and for a stream.
+    """Validate, classify and gate a batch; a stream does so with each micro-batch.
 
     Text decoding is outside this library: the sample is the file's leading
     bytes read as UTF-8. Rejected uploads are not classified.
@@ -45,9 +45,12 @@ def intake(uploads: DataFrame, lexicon: Lexicon, max_mb: float = 50) -> DataFram
     ).withColumn("queueable", accepted & F.col("queueable")).drop("manual_type")
 
 
-def run_intake(results: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there and stop; results are appended as parquet, exactly once."""
+def run_intake(uploads: DataFrame, lexicon: Lexicon, out: str, checkpoint: str, max_mb: float = 50) -> StreamingQuery:
+    """Process what is there and stop; each micro-batch has a folder below ``out``, which a repeated one overwrites."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        intake(batch, lexicon, max_mb).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     return (
-        results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 RETENTION_HOURS = 24
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def created_time(text: Column) -> Column:
@@ -26,26 +30,75 @@ def kept(records: DataFrame, now: str, hours: int = RETENTION_HOURS) -> DataFram
     return records.where(F.coalesce(created_time(F.col("created_at")) >= cutoff, F.lit(True)))
 
 
+class Retention(StatefulProcessor):
+    """The state of one document: its creation, until a timer reports it; then, as long again, that it was reported."""
+
+    def __init__(self, hours: int) -> None:
+        self.keep_ms = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.document = handle.getValueState("document", "created_us long, timer_ms long, reported boolean")
+
+    def _report(self, key: tuple, created_us: int, now_ms: int) -> Iterator[Row]:
+        """A document that is reported again within the retention is reported once only."""
+        forget = now_ms + self.keep_ms
+        self.document.update((created_us, forget, True))
+        self.handle.registerTimer(forget)
+        yield Row(document_id=key[0], created_us=created_us)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        created_us = min(row.created_us for row in rows)
+        known = self.document.get() if self.document.exists() else None
+        if known is not None:
+            if known[2] or known[0] <= created_us:
+                return
+            self.handle.deleteTimer(known[1])
+        # The first millisecond at which the creation is longer ago than the retention.
+        due_ms, now_ms = created_us // 1000 + self.keep_ms + 1, timerValues.getCurrentWatermarkInMs()
+        if due_ms <= now_ms:
+            yield from self._report(key, created_us, now_ms)
+        else:
+            self.document.update((created_us, due_ms, False))
+            self.handle.registerTimer(due_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        known = self.document.get() if self.document.exists() else None
+        if known is None or known[1] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        if known[2]:
+            self.document.clear()
+        else:
+            yield from self._report(key, known[0], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 def run_expiry(created: DataFrame, out: str, checkpoint: str, hours: int = RETENTION_HOURS) -> StreamingQuery:
     """Documents whose age passes the retention while the stream's time goes on, written to ``out`` by micro-batch.
 
-    ``created``: streaming (document_id, created_at timestamp), one creation per document; the newest one seen is the
-    present. Documents still young are a table beside the checkpoint, one of two folders in turn, so a repeated
-    micro-batch finds what it read before and overwrites what it wrote. No watermark drops a late record: one that is too
-    old on arrival is reported at once. A null time never expires.
+    ``created``: streaming (document_id, created_at timestamp), the earliest creation of a document counts; the newest one seen is
+    the present. Each document has a keyed state and an event-time timer, so a micro-batch touches the documents it brings
+    and those that fall due, whatever number is waiting. A record that is too old on arrival is reported at once; the time
+    column that reaches the state is no watermark column, so no late record is dropped. A reported document is remembered
+    for the retention, then its state goes. Times count in milliseconds of the present; a null time never expires.
     """
-    schema = created.select("document_id", "created_at").schema
-
-    def sweep(batch: DataFrame, number: int) -> None:
-        known = batch.select("document_id", "created_at").where(F.col("created_at").isNotNull())
-        if number > 0:
-            known = known.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{checkpoint}/young/{(number - 1) % 2}"))
-        known = known.groupBy("document_id").agg(F.min("created_at").alias("created_at")).persist()
-        # Of all rows, one number comes to the driver.
-        present = known.agg(F.max(F.unix_micros("created_at"))).first()[0]
-        due = F.col("created_at") < F.timestamp_micros(F.lit((present or 0) - hours * 3_600_000_000))
-        known.where(due).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        known.where(~due).write.mode("overwrite").parquet(f"{checkpoint}/young/{number % 2}")
-        known.unpersist()
-
-    return created.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = created.sparkSession
+    timed = created.select("document_id", "created_at").where(F.col("created_at").isNotNull()).withWatermark("created_at", "0 seconds")
+    rows = timed.select("document_id", F.unix_micros("created_at").alias("created_us"))
+    id_type = created.schema["document_id"].dataType.simpleString()
+    due = rows.groupBy("document_id").transformWithState(
+        statefulProcessor=Retention(hours), outputStructType=f"document_id {id_type}, created_us long", outputMode="Append", timeMode="EventTime"
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        reported = batch.select("document_id", F.timestamp_micros("created_us").alias("created_at"))
+        reported.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, KEYED_STATE)
+    try:
+        return due.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)

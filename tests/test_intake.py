@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from filingdelta.operators import intake, pages
@@ -55,35 +56,37 @@ def test_gate_and_overrides(spark):
     assert got["5"] == ("brief", "B", "x", True)
 
 
-LEXICON = Lexicon({"b": ["One", "two", "three", "four"], "a": ["one", "five", "six"], "c": []}, {"a": "Type A", "b": "Type B"})
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    return Lexicon.of(spark, {"b": ["One", "two", "three", "four"], "a": ["one", "five", "six"], "c": []}, {"a": "Type A", "b": "Type B"})
 
 
-def test_classify(spark):
+def test_classify(spark, lexicon):
     rows = [(1, "one.pdf", ""), (2, "x", "TWO three"), (3, "x", "nothing"), (4, None, None), (5, "x", "one two five")]
     df = spark.createDataFrame(rows, "i int, filename string, text_sample string")
-    got = {r.i: (r.detected_type, r.detection_confidence, r.matched_keywords, r.detected_type_label) for r in classify(df, LEXICON).collect()}
+    got = {r.i: (r.detected_type, r.detection_confidence, r.matched_keywords, r.detected_type_label) for r in classify(df, lexicon).collect()}
     assert got[1] == ("a", 0.33, ["one"], "Type A")
     assert got[2] == ("b", 0.5, ["two", "three"], "Type B")
     assert got[3] == got[4] == (None, None, None, None)
     assert got[5] == ("a", 0.67, ["one", "five"], "Type A")
 
 
-def test_replies(spark):
+def test_replies(spark, lexicon):
     replies = {
         1: '{"document_type": "b", "confidence": 0.125, "reason": "r"}', 2: '{"document_type": "zzz", "confidence": 1}', 3: "{bad", 4: "null", 5: "",
         6: None, 7: "[1]", 8: '{"document_type": "unknown", "confidence": "0.9", "reason": 4}', 9: '{"document_type": "a", "confidence": 7}',
         10: '{"document_type": "a", "confidence": -1}', 11: '{"document_type": 3}', 12: '{"document_type": "a", "confidence": true}', 13: '{"document_type": "a", "confidence": null}',
     }
     df = spark.createDataFrame([(i, "one.pdf", "six", r) for i, r in replies.items()], "i int, filename string, text_sample string, reply_json string")
-    got = {r.i: (r.reply_type, r.reply_confidence, r.reply_reason, r.reply_keywords) for r in parse_type_reply(df, LEXICON).collect()}
+    got = {r.i: (r.reply_type, r.reply_confidence, r.reply_reason, r.reply_keywords) for r in parse_type_reply(df, lexicon).collect()}
     assert got[1] == ("b", 0.12, "r", ["one"])
     for i in (2, 3, 4, 5, 6, 7, 11):
         assert got[i] == (None, None, None, None), i
     assert got[8] == ("unknown", 0.5, None, [])
     assert got[9][1] == 1.0 and got[10][1] == 0.0 and got[12][1] == 1.0 and got[13][1] == 0.5
-    final = {r.i: (r.detected_type, r.classified_by) for r in classify_final(df, LEXICON).collect()}
+    final = {r.i: (r.detected_type, r.classified_by) for r in classify_final(df, lexicon).collect()}
     assert final[1] == ("b", "reply") and final[3] == ("a", "keywords")
-    hit = matched_keywords(df.withColumn("document_type", F.lit("a")), LEXICON).first()
+    hit = matched_keywords(df.withColumn("document_type", F.lit("a")), lexicon).first()
     assert hit.matched_keywords == ["one", "six"]
 
 

@@ -127,8 +127,8 @@ def test_templates(spark, tmp_path):
     (tmp_path / "other.txt").write_text("x")
     rows = templates.read_templates(spark, str(tmp_path))
     lexicon = templates.load_lexicon(rows)
-    assert lexicon.types() == ["a_kind", "b_kind"] and lexicon.words("b_kind") == ["alpha", "beta"]
-    assert (lexicon.label("a_kind"), lexicon.label("b_kind"), lexicon.label("unknown")) == ("a_kind", "様式B", "未判定")
+    assert sorted(map(tuple, lexicon.keywords.collect())) == [("b_kind", 0, "alpha"), ("b_kind", 2, "beta")]
+    assert sorted(map(tuple, lexicon.labels.collect())) == [("a_kind", "a_kind"), ("b_kind", "様式B")]
     from filingdelta.operators.sections import leaves, template_paths
     paths = template_paths(templates.nodes_of(rows))
     assert {(r.path, r.required) for r in paths.collect()} == {("A", True), ("A - B", False), ("A - B - C", False), ("A - D", False)}
@@ -136,16 +136,14 @@ def test_templates(spark, tmp_path):
     assert templates.template(rows, "a_kind").count() == 1
     with pytest.raises(FileNotFoundError):
         templates.template(rows, "missing")
-    with pytest.raises(ValueError):
-        templates.load_lexicon(rows, 1)
 
 
 def test_checks(spark):
     text = spark.createDataFrame([("p", "risk is high\nrobot", "risk may be\nrisk again"), ("q", "same", "same")], "pair_id string, text1 string, text2 string")
-    topics = Lexicon({"robot": ["robot"], "risk": ["risk"]})
+    topics = Lexicon.of(spark, {"robot": ["robot"], "risk": ["risk"]})
     got = {(r.pair_id, r.topic): (r.chars1, r.chars2, r.presence) for r in checks.compare_topics(text, topics).collect()}
     assert got == {("p", "risk"): (12, 21, "both"), ("p", "robot"): (5, 0, "only_first")}
-    got = {r.pair_id: (r.level1, r.level2, r.stronger) for r in checks.compare_warnings(text, {"may be": 1, "is high": 3}).collect()}
+    got = {r.pair_id: (r.level1, r.level2, r.stronger) for r in checks.compare_warnings(text, spark.createDataFrame([("May be", 1), ("is high", 3)], "phrase string, level int")).collect()}
     assert got == {"p": (3, 1, 1), "q": (0, 0, None)}
     assert {r.pair_id: r.match for r in checks.text_match(text).collect()} == {"p": "none", "q": "exact"}
     sections = spark.createDataFrame([("d", "A", [1, 2, 3], 0.9), ("d", "A - B", [2], 0.5), ("d", "C", [2, 3], None)], "document_id string, section_name string, pages array<int>, confidence double")

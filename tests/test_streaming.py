@@ -16,11 +16,11 @@ def test_intake_stream(spark, tmp_path):
     (folder / "a.pdf").write_bytes("%PDF-1 annual report".encode())
     (folder / "b.pdf").write_bytes(b"%PDF-1 \xff\xfe other")
     (folder / "c.txt").write_bytes(b"annual")
-    lexicon = Lexicon({"annual": ["annual"]}, {"annual": "Annual"})
+    lexicon = Lexicon.of(spark, {"annual": ["annual"]}, {"annual": "Annual"})
     out, mark = os.path.join(tmp_path, "out"), os.path.join(tmp_path, "mark")
 
     def run():
-        intake.run_intake(intake.intake(intake.file_stream(spark, str(folder)), lexicon), out, mark).awaitTermination()
+        intake.run_intake(intake.file_stream(spark, str(folder)), lexicon, out, mark).awaitTermination()
         return {r.filename: (r.status, r.detected_type, r.processing_status, r.queueable) for r in spark.read.parquet(out).collect()}
 
     assert run() == {
@@ -42,6 +42,17 @@ def test_status_stream(spark, tmp_path):
     status.run_status(stream, out, os.path.join(tmp_path, "mark")).awaitTermination()
     batch = {tuple(r) for r in status.latest_status(spark.createDataFrame(rows, schema)).collect()}
     assert {tuple(r) for r in status.current_status(spark.read.parquet(out)).collect()} == batch
+    assert {tuple(r) for r in status.current_status(status.read_log(spark, out)).collect()} == batch
+    before = len(os.listdir(out))
+    status.compact_log(spark, out)
+    status.compact_log(spark, out)
+    assert before >= 4 and len(os.listdir(out)) == 1 and status.read_log(spark, out).count() == 7
+    # A late event and a new one after the compaction.
+    more = [("0", start - dt.timedelta(days=9), 900, "late"), ("new", start, 901, "s")]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(source)
+    status.run_status(stream, out, os.path.join(tmp_path, "mark")).awaitTermination()
+    wanted = {tuple(r) for r in status.latest_status(spark.createDataFrame(rows + more, schema)).collect()}
+    assert {tuple(r) for r in status.current_status(status.read_log(spark, out)).collect()} == wanted
     last = {}
     for d, ts, i, s in rows:
         last[d] = max(last.get(d, (ts, i, s)), (ts, i, s))
@@ -70,6 +81,29 @@ def test_expiry_stream(spark, tmp_path):
     assert got == [i for i in range(60) if i < 59 - 24]
 
 
+def test_expiry_reports_once_and_forgets(spark, tmp_path):
+    """Repeated records are reported once; what is written, and kept, follows what falls due, not what is waiting."""
+    base, source, out, mark = dt.datetime(2024, 1, 10), *(os.path.join(tmp_path, n) for n in ("created", "out", "mark"))
+    hour = lambda n: base + dt.timedelta(hours=n)
+    schema = "document_id string, created_at timestamp"
+    batches = [
+        [("a", hour(0)), ("b", hour(1)), ("c", hour(1))],
+        [("a", hour(20)), ("b", hour(-3)), ("now", hour(22))],  # b is older than first told, a is not younger
+        [("a", hour(0)), ("b", hour(1)), ("now", hour(26))],    # a and c fall due, b is told again
+        [("a", hour(0)), ("c", hour(1)), ("now", hour(27))],
+        [("now2", hour(80))],
+    ]
+    rows = lambda n: sorted((r.document_id, r.created_at) for r in spark.read.parquet(out).where(f"batch >= {n}").collect())
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        retention.run_expiry(stream, out, mark).awaitTermination()
+    assert rows(0) == [("a", hour(0)), ("b", hour(-3)), ("c", hour(1)), ("now", hour(22))]
+    assert spark.conf.get(retention.STATE_STORE) != retention.KEYED_STATE
+    state = spark.read.format("statestore").option("stateVarName", "document").option("path", mark).load()
+    assert {r.key.document_id for r in state.select("key").collect()} == {"now", "now2"}
+
+
 def test_expiry_of_late_records(spark, tmp_path):
     """A record that is too old when a later batch brings it is reported as well."""
     now, source = dt.datetime(2024, 1, 10), os.path.join(tmp_path, "created")
