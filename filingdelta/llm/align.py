@@ -17,7 +17,7 @@ from filingdelta.llm.common import arrow_map, written
 
 SPACE_MARK = "▁"
 # Bytes of text that a block of documents ends after, and that are encoded at a time.
-BLOCK_BYTES, ENCODED_BYTES = 4 << 20, 1 << 18
+BLOCK_BYTES, ENCODED_BYTES = 1 << 20, 1 << 18
 
 
 class ByteLevel:
@@ -103,7 +103,8 @@ def token_bytes(lists: pa.ListArray, table: pa.Array) -> tuple[pa.Array, np.ndar
 def differs(lists: pa.ListArray, table: pa.Array, texts: list[str]) -> np.ndarray:
     """Texts whose tokens do not join to a space and the text."""
     held, at = token_bytes(lists, table)
-    joined = b"".join(held.to_pylist())
+    # The tokens' bytes lie side by side.
+    joined = held.buffers()[2].to_pybytes() if len(held) else b""
     return np.array([joined[a:b] != (b" " + text.encode() if text else b"") for text, a, b in zip(texts, at[:-1], at[1:])], dtype=bool)
 
 
