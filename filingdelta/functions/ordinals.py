@@ -3,76 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filingdelta.session import broadcast_if_small, materialise
 
-# Rows one task may number on its own; larger groups are spread.
-GROUP_LIMIT = 1_000_000
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1-based row number per key, in the given order, as one lazy plan for groups of any size.
 
-
-def number_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """1-based row number per key, in the given order, with no task that holds a whole large group.
-
-    The rows are computed once, into a table of the shared folder. Group sizes are
-    counted there with map-side combine; groups within the limit are numbered by
-    one window, the larger ones by ``_number_large``.
+    Rows are dealt by ranges of key and order, so a large group spans many ranges and no task holds all of it. A row's number is
+    its number within its range plus what its group has in earlier ranges, a running sum over one row per range and group. Both
+    parts read the same exchange; its number of ranges is fixed, so they see the same ranges. The order must be total
+    up to rows that are equal.
     """
-    keys = list(keys)
-    rows = materialise(df, "numbering")
-    window = Window.partitionBy(*keys).orderBy(*order)
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_limit)
-    large = large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    if large.isEmpty():
-        return rows.withColumn(out, F.row_number().over(window).cast("long"))
-    # There are at most (all rows / limit) large keys.
-    same = _same_keys(keys)
-    large = broadcast_if_small(large)
-    small = rows.join(large, same, "left_anti").withColumn(out, F.row_number().over(window).cast("long"))
-    return small.unionByName(_number_large(rows.join(large, same, "left_semi"), keys, order, out))
-
-
-def _same_keys(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-
-
-def _number_large(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """Number groups that are too large for one task.
-
-    Rows are range-partitioned on key and order, so a group is spread over many
-    partitions, and pinned in a table of the shared folder. Each partition numbers
-    its own rows; groups that cross a partition border then get an offset. At most
-    one group crosses each border, so the offset table has no more rows than twice
-    the number of partitions and is safe to broadcast.
-    """
-    part, count = "_range_part", "_part_rows"
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    pinned = materialise(ranged.withColumn(part, F.spark_partition_id()), "ranges")
-    local = Window.partitionBy(part, *keys).orderBy(*order)
-    spans = pinned.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(count))
-    crossing = spans.groupBy(*keys).agg(F.collect_list(F.struct(part, count)).alias("_parts")).where(
-        F.size("_parts") > 1
-    )
-    before = F.transform(
-        "_parts",
-        lambda p: F.struct(
-            p[part].alias("_p"),
-            F.aggregate(
-                F.filter("_parts", lambda q: q[part] < p[part]), F.lit(0).cast("long"), lambda acc, q: acc + q[count]
-            ).alias("_offset"),
-        ),
-    )
-    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    offsets = crossing.select(*names, F.explode(before).alias("_o")).select(
-        *[f"_k{i}" for i in range(len(keys))], "_o._p", "_o._offset"
-    )
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    dealt = df.repartitionByRange(ranges, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    earlier = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*names, F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_of")
+    for key, name in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(name))
     return (
-        pinned.withColumn("_local", F.row_number().over(local).cast("long"))
-        .join(F.broadcast(offsets), _same_keys(keys) & (F.col(part) == F.col("_p")), "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop(part, "_local", "_p", "_offset", *[f"_k{i}" for i in range(len(keys))])
+        dealt.withColumn("_here", here).join(offsets, same)
+        .withColumn(out, F.col("_here") + F.col("_offset"))
+        .drop("_range", "_here", "_of", "_offset", *names)
     )

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from filingdelta.functions.company import normalise_company, same_company
 from filingdelta.functions.ordinals import number_within
 from filingdelta.functions.text import filled
+from filingdelta.operators.vectorblocks import block_rows, greatest_cosine, similarities, unpack, vector_blocks
 from filingdelta.schemas import BY_COMPANY, BY_YEAR, CONSISTENCY, MULTI
+from filingdelta.session import materialise
 
 # Similarity threshold, method names and the error of a one-document request.
 SIMILARITY_THRESHOLD = 0.7
 EXACT, SEMANTIC = "exact", "semantic_embedding"
 TOO_FEW_DOCUMENTS = "比較には最低2つのドキュメントが必要です"
 UNKNOWN_BEFORE, UNKNOWN_AFTER = "ドキュメント ", " が見つかりません"
-BLOCK_VALUES, BLOCK_ROWS = 262_144, 1_024
 
 
 def mode_of(n: Column, one: Column, two: Column) -> Column:
@@ -102,45 +103,6 @@ def _common_sections(pairs: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def vector_blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """Vectors of a document packed into blocks of at most ``block`` ordinals."""
-    return (
-        vectors.withColumn("_block", F.floor(F.col("ordinal") / block))
-        .groupBy("document_id", "_block")
-        .agg(
-            F.collect_list(
-                F.struct("ordinal", "section_name", F.col("vector").cast("array<double>").alias("vector"))
-            ).alias("items")
-        )
-    )
-
-
-def block_numbers(rows: DataFrame, block: int, out: str) -> DataFrame:
-    """The blocks each document has, without their rows."""
-    return rows.select("document_id", F.floor(F.col("ordinal") / block).alias(out)).distinct()
-
-
-def block_rows(dimension: int) -> int:
-    """Rows per block: two megabytes of vectors at most, and a product of two blocks that fits a task."""
-    return min(BLOCK_ROWS, max(8, BLOCK_VALUES // max(1, dimension)))
-
-
-def unpack(items: pa.StructScalar | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Ordinals, names, matrix and row norms of one block, in ordinal order."""
-    ordinals = items.field("ordinal").to_numpy(zero_copy_only=False)
-    order = np.argsort(ordinals, kind="stable")
-    vectors = items.field("vector")
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(len(ordinals), -1)[order] if len(ordinals) else np.zeros((0, 0))
-    return ordinals[order], items.field("section_name").take(pa.array(order)), matrix, np.linalg.norm(matrix, axis=1)
-
-
-def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """All cosines between two blocks; 0 where a vector has no length."""
-    scale = np.outer(na, nb)
-    return np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale != 0)
-
-
 _BEST = pa.schema(
     [
         ("pair_id", pa.string()), ("ordinal1", pa.int64()), ("doc1_section", pa.string()),
@@ -155,8 +117,9 @@ def _best_in_blocks(threshold: float):
             pair_ids = batch.column("pair_id")
             left, right = batch.column("items1"), batch.column("items2")
             for i in range(batch.num_rows):
-                o1, s1, m1, n1 = unpack(left[i].values)
-                o2, s2, m2, n2 = unpack(right[i].values)
+                by1, o1, m1, n1 = unpack(left[i].values)
+                by2, o2, m2, n2 = unpack(right[i].values)
+                s1, s2 = (x[i].values.field("section_name").take(pa.array(by)) for x, by in ((left, by1), (right, by2)))
                 sim = similarities(m1, n1, m2, n2)
                 best = sim.argmax(axis=1)
                 top = sim[np.arange(len(o1)), best]
@@ -176,6 +139,25 @@ def _best_in_blocks(threshold: float):
     return run
 
 
+def _meeting_blocks(keyed: DataFrame, vectors: DataFrame, threshold: float, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and every block pair of a document pair with ``met``: whether its cones allow a cosine above the threshold."""
+    # Read four times: both sides' cones, then both sides' rows.
+    blocks = materialise(vector_blocks(vectors, block_rows(dimension), ["section_name"]), "blocks")
+    cones = lambda n: blocks.select(F.col("document_id").alias(f"doc{n}_id"), F.col("block").alias(f"block{n}"), F.col("cone").alias(f"cone{n}"))
+    paired = keyed.join(cones(1), "doc1_id").join(cones(2), "doc2_id")
+    return blocks, paired.withColumn("met", greatest_cosine("cone1", "cone2") > threshold).drop("cone1", "cone2")
+
+
+def pruning_report(pairs: DataFrame, vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, dimension: int = 1536) -> DataFrame:
+    """One row: block pairs of all document pairs, those that ``map_semantic`` ships, and the share of full places in all blocks but each document's last."""
+    blocks, met = _meeting_blocks(pairs.select("pair_id", "doc1_id", "doc2_id"), vectors, threshold, dimension)
+    size = block_rows(dimension)
+    filled = blocks.groupBy("document_id").agg(F.sum(F.size("items")).alias("_rows"), F.count("*").alias("_blocks"), F.min_by(F.size("items"), -F.col("block")).alias("_last"))
+    fill = filled.where("_blocks > 1").agg(F.try_divide(F.sum(F.col("_rows") - F.col("_last")), F.sum(F.col("_blocks") - 1) * size).alias("fill"))
+    counted = met.agg(F.count("*").alias("block_pairs"), F.count_if("met").alias("shipped"))
+    return counted.withColumn("_one", F.lit(1)).join(fill.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def map_semantic(
     pairs: DataFrame, vectors: DataFrame, threshold: float = SIMILARITY_THRESHOLD, dimension: int = 1536
 ) -> DataFrame:
@@ -183,26 +165,21 @@ def map_semantic(
 
     ``vectors``: (document_id, ordinal, section_name, vector). Exact: each pair
     of blocks is one matrix product inside a task and returns at most one row
-    per doc1 section, so no pair of sections is ever a row. A pair with very
+    per doc1 section, so no pair of sections is ever a row. Pairs of blocks whose
+    cones rule out a cosine above the threshold are not shipped. A pair with very
     many sections becomes many block pairs, spread over tasks. A tie goes to the
     first doc2 section.
     """
-    size = block_rows(dimension)
-    blocks, numbers = vector_blocks(vectors, size), block_numbers(vectors, size, "_block")
+    keyed = pairs.select("pair_id", "doc1_id", "doc2_id").withColumn("pair_id", F.col("pair_id").cast("string"))
+    blocks, met = _meeting_blocks(keyed, vectors, threshold, dimension)
 
-    def side(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumnsRenamed(
-            {"document_id": f"doc{n}_id", "_block": f"_block{n}", "items": f"items{n}"}
-        )
+    def side(n: int) -> DataFrame:
+        return blocks.select(F.col("document_id").alias(f"doc{n}_id"), F.col("block").alias(f"block{n}"), F.col("items").alias(f"items{n}"))
 
-    keyed = pairs.select("pair_id", "doc1_id", "doc2_id").withColumn("pair_id", F.col("pair_id").cast("string"))
-    # Block numbers are paired first and the blocks fetched by number, so the blocks
-    # of one long document go to as many tasks as it has block pairs.
     best = (
-        keyed.join(side(numbers, 1), "doc1_id")
-        .join(side(numbers, 2), "doc2_id")
-        .join(side(blocks, 1), ["doc1_id", "_block1"])
-        .join(side(blocks, 2), ["doc2_id", "_block2"])
+        met.where("met").select("pair_id", "doc1_id", "block1", "doc2_id", "block2")
+        .join(side(1), ["doc1_id", "block1"])
+        .join(side(2), ["doc2_id", "block2"])
         .select("pair_id", "items1", "items2")
         .mapInArrow(
             _best_in_blocks(threshold),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingdelta.functions.vectors import cosine
-from filingdelta.operators import changes, differences, mapping, related, reviews, textdiff
+from filingdelta.operators import changes, differences, mapping, related, reviews, textdiff, vectorblocks
 
 VEC = "document_id string, ordinal long, section_name string, vector array<double>"
 PAIRS = "pair_id string, doc1_id string, doc2_id string"
@@ -47,7 +47,7 @@ def test_map_semantic_edges(spark):
 
 def test_map_semantic_blocks(spark, monkeypatch):
     """Many small blocks give what one nested loop gives."""
-    monkeypatch.setattr(mapping, "BLOCK_VALUES", 32)
+    monkeypatch.setattr(vectorblocks, "BLOCK_VALUES", 32)
     rng = np.random.default_rng(3)
     docs = {d: [(f"{d}{i}", rng.normal(size=4).round(1)) for i in range(n)] for d, n in (("a", 50), ("b", 41), ("c", 1))}
     vectors = spark.createDataFrame([(d, i, n, [float(x) for x in v]) for d, items in docs.items() for i, (n, v) in enumerate(items)], VEC)
@@ -62,6 +62,32 @@ def test_map_semantic_blocks(spark, monkeypatch):
             assert abs(plain_cosine(vec[name], vec[r.doc2_section]) - plain_cosine(vec[name], vec[want[name]])) < 1e-12
 
 
+def test_pruned_blocks(spark, monkeypatch):
+    """On clustered vectors under half of the block pairs are shipped, blocks are full, and nothing is lost."""
+    monkeypatch.setattr(vectorblocks, "BLOCK_VALUES", 64)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    docs = {d: [(f"{d}{i}", centres[rng.integers(6)] + 0.05 * rng.normal(size=8)) for i in range(n)] for d, n in (("a", 203), ("b", 150))}
+    docs["a"][5], docs["b"][7] = ("a5", np.zeros(8)), ("b7", np.zeros(8))
+    # Ordinals have gaps of any size.
+    vectors = spark.createDataFrame([(d, i * 1_000 + i % 7, n, [float(x) for x in v]) for d, items in docs.items() for i, (n, v) in enumerate(items)], VEC)
+    pairs = spark.createDataFrame([("ab", "a", "b"), ("bb", "b", "b")], PAIRS)
+    report = mapping.pruning_report(pairs, vectors, 0.9, 8).first()
+    assert report.shipped < report.block_pairs / 2 and report.fill > 0.9
+    for threshold in (0.9, -0.5):
+        got = {(r.pair_id, r.doc1_section): r.doc2_section for r in mapping.map_semantic(pairs, vectors, threshold, 8).collect()}
+        assert got == {(p, one): two for p in ("ab", "bb") for one, two in plain_mapping(docs[p[0]], docs[p[1]], threshold).items()}
+    asked = spark.createDataFrame([(n, "b", i, [float(x) for x in v], [f"b{i}", f"b{(i + 1) % 150}"]) for i, (n, v) in enumerate(docs["a"])],
+                                  "query_id string, document_id string, ordinal long, vector array<double>, exclude array<string>")
+    found = {}
+    for r in related.related_topk(asked, vectors, 4, 8).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.section_name, round(r.similarity, 9))
+    for i, (n, v) in enumerate(docs["a"]):
+        free = [(m, plain_cosine(v, w)) for m, w in docs["b"] if m not in (f"b{i}", f"b{(i + 1) % 150}")]
+        best = sorted(free, key=lambda x: -x[1])[:4]
+        assert [found[n][k][1] for k in (1, 2, 3, 4)] == [round(s, 9) for _, s in best], n
+
+
 def test_map_exact_and_dispatch(spark):
     sections = spark.createDataFrame(
         [("a", "S2", True), ("a", "S1", True), ("a", "S3", True), ("a", "only", True), ("b", "S1", True), ("b", "S2", True), ("b", "S3", False)],
@@ -82,7 +108,7 @@ def test_cosine(spark):
 
 
 def test_related_topk_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(mapping, "BLOCK_VALUES", 32)
+    monkeypatch.setattr(vectorblocks, "BLOCK_VALUES", 32)
     rng = np.random.default_rng(4)
     names = [f"s{i:02d}" for i in range(40)]
     vec = {n: rng.normal(size=4) for n in names}

@@ -25,9 +25,16 @@ def test_number_within_hot_key(spark):
     for k, o, i in rows:
         groups.setdefault(k, []).append((o, i))
     want = {i: n for items in groups.values() for n, (_, i) in enumerate(sorted(items), 1)}
-    for limit in (1, 100, 10_000):
-        got = {r.i: r.n for r in number_within(df, ["k"], [F.col("o"), F.col("i")], "n", limit).collect()}
-        assert got == want, limit
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in ("1", "8", "100"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            got = {r.i: r.n for r in number_within(df, ["k"], [F.col("o"), F.col("i")], "n").collect()}
+            assert got == want, ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    backward = {r.i: r.n for r in number_within(df.where("k = 'hot'"), ["k"], [F.desc("o"), F.desc("i")], "n").collect()}
+    assert all(backward[i] == len(groups["hot"]) + 1 - want[i] for i in backward)
 
 
 REVIEW = "comparison_id string, mapping_index long, section_name string, doc1_section_name string, doc2_section_name string, doc1_page_range string, doc2_page_range string, importance string, summary string, finished_at int"
