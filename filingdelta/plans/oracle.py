@@ -143,6 +143,11 @@ SELECT doc_id, item_id, m FROM (
   SELECT d.doc_id, k.item_id, count(*) AS m, row_number() OVER (PARTITION BY d.doc_id ORDER BY count(*) DESC, k.item_id) AS rn
   FROM documents d JOIN catalogue_keywords k ON k.word <> '' AND contains(lower(d.source || ' ' || d.text), k.word) GROUP BY d.doc_id, k.item_id)
 WHERE rn = 1""",
+    "family_sections": """
+SELECT * EXCLUDE (n) FROM (
+  SELECT CAST(d.doc_id // 4 AS BIGINT) AS comparison_id, CAST(d.doc_id % 4 AS INTEGER) AS position, d.doc_id AS document_id, d.lang, s.section_name,
+    count(*) OVER (PARTITION BY d.doc_id // 4, d.lang, s.section_name) AS n
+  FROM documents d JOIN content_sections s ON s.document_id = d.doc_id AND s.has_content) WHERE n > 1""",
     "mode_groups": """
 SELECT comparison_id, count(*) AS n, arg_min(f, position) AS a, arg_max(f, position) AS b
 FROM requests r JOIN folded f ON r.document_id = f.document_id GROUP BY comparison_id""",
@@ -331,6 +336,14 @@ SELECT m.document_id, CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || CAST(l.q
   CASE WHEN l.quality = 1 THEN 1 WHEN l.doc_id IS NOT NULL THEN 0 END AS n_metadata,
   CASE WHEN l.doc_id IS NOT NULL THEN '{NOW}Z' ELSE m.created_at END AS updated_at
 FROM metadata m LEFT JOIN labels l ON m.document_id = CAST(l.doc_id AS VARCHAR)""",
+    "a4_structured_store": f"""
+SELECT m.document_id, m.filename, CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || CAST(l.quality AS VARCHAR) END AS structured_data,
+  CASE WHEN l.toxic = 1 THEN 'vision' WHEN l.toxic = 0 THEN 'text' END AS extraction_method, CASE WHEN l.doc_id IS NOT NULL THEN 0 END AS n_metadata,
+  CASE WHEN l.doc_id IS NOT NULL THEN '{NOW}Z' ELSE created_at END AS updated_at
+FROM metadata m LEFT JOIN labels l ON m.document_id = CAST(l.doc_id AS VARCHAR)""",
+    "a5_result_store": """
+SELECT r.comparison_id, mapping_index, section_name, importance, summary, CASE WHEN c.mode IS NULL THEN 'high' ELSE c.priority END AS priority
+FROM reviews r JOIN comparisons c ON r.comparison_id = c.comparison_id WHERE c.mode IS NOT NULL OR importance = 'high'""",
     "a5_save_comparison": "SELECT comparison_id, created_at, mode, doc1_filename FROM comparisons",
     "a6_list_comparisons": """
 SELECT c.comparison_id, c.created_at, COALESCE(c.mode, '') AS mode, COALESCE(c.doc1_filename, '') AS doc1_filename,
@@ -606,6 +619,28 @@ FROM (SELECT * FROM related_hits UNION ALL SELECT * FROM second_hits)""",
 SELECT doc_id, CASE WHEN n = 1 THEN ls[1] WHEN n = 2 THEN ls[1] || chr(10) || chr(10) || '追加探索を実施しましたが、新たな重要な発見はありませんでした。'
   ELSE ls[1] || chr(10) || chr(10) || '追加探索により、以下の情報が明らかになりました：' || array_to_string(ls[2:4], '; ') END AS summary
 FROM (SELECT doc_id, ls, len(ls) AS n FROM doc_lines)""",
+    "e20_search_rounds": """
+WITH gates AS (
+  SELECT mode, ordinal, section_name, mode <> 'off' AND ordinal % 2 = 0 AND ordinal % 5 <> 0 AND (mode = 'all' OR ordinal % 3 = 0) AS open
+  FROM vectors, (VALUES ('off'), ('high_only'), ('all')) m(mode)
+), hits AS (
+  SELECT query_id, iteration, string_agg(section_name, ',' ORDER BY rank) AS found FROM (SELECT * FROM related_hits UNION ALL SELECT * FROM second_hits) GROUP BY query_id, iteration
+), told AS (
+  SELECT g.mode, g.ordinal, one.found AS found1, two.found AS found2,
+    list_concat(CASE WHEN one.found IS NOT NULL AND g.ordinal % 7 <> 0 THEN ['a' || g.ordinal, 'b' || g.ordinal] ELSE [] END, CASE WHEN two.found IS NOT NULL THEN ['d' || g.ordinal] ELSE [] END) AS heads
+  FROM gates g LEFT JOIN hits one ON g.open AND one.query_id = g.section_name AND one.iteration = 1
+  LEFT JOIN hits two ON g.open AND two.query_id = g.section_name AND two.iteration = 2
+)
+SELECT mode, 'p' || ordinal AS pair_id, CAST((found1 IS NOT NULL)::INT + (found2 IS NOT NULL)::INT AS INTEGER) AS n_rounds, found1 IS NOT NULL AS has_additional_context,
+  concat_ws(',', found1, found2) AS found, 'S' || ordinal || CASE WHEN found1 IS NULL THEN '' WHEN len(heads) > 0
+    THEN chr(10) || chr(10) || '追加探索により、以下の情報が明らかになりました：' || array_to_string(heads, '; ')
+    ELSE chr(10) || chr(10) || '追加探索を実施しましたが、新たな重要な発見はありませんでした。' END AS summary
+FROM told""",
+    "e24_section_families": """
+SELECT comparison_id, arg_min(position, position) AS position, section_name, count(*) AS n_sections, count(*) AS n_documents FROM family_sections GROUP BY comparison_id, lang, section_name""",
+    "e24_family_members": """
+SELECT comparison_id, position, document_id, section_name, min(position) OVER (PARTITION BY comparison_id, lang, section_name) AS family_position, section_name AS family_section
+FROM family_sections""",
     "e25_compare_inputs": """
 WITH m AS (SELECT *, COALESCE(NULLIF(manual_type, ''), detected_type) AS kind, COALESCE(NULLIF(manual_type_label, ''), detected_type_label) AS label FROM metadata)
 SELECT pair_id, CAST(doc1_id AS VARCHAR) AS doc1_id, CAST(doc2_id AS VARCHAR) AS doc2_id, a.kind AS type1, b.kind AS type2, b.label AS label2,

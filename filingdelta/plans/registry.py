@@ -11,13 +11,14 @@ from filingdelta.functions.numbers import extract_number_unit, normalise_unit, w
 from filingdelta.functions.vectors import cosine
 from filingdelta.operators import (
     alignment, changes, checks, classify, companies, content, differences, grids, intake, mapping, pages, related, report, reviews,
-    sections, textdiff,
+    search, sections, textdiff,
 )
-from filingdelta.plans.compare import Corpus, compare, pair_inputs
+from filingdelta.plans.compare import Corpus, compare, compare_many, pair_inputs
 from filingdelta.plans.structure import detect, extraction_inputs
 from filingdelta.plans.tables import Tables
 from filingdelta.session import configure, materialise, scratch_path
 from filingdelta.sources import exports, records, templates
+from filingdelta.sources.store import ResultStore, Store
 from filingdelta.streaming import intake as intake_stream, retention, status
 
 Query = Callable[[Tables], DataFrame]
@@ -122,6 +123,32 @@ def _comparisons(t: Tables) -> DataFrame:
     return t.shared("comparisons").select("comparison_id", "created_at", "mode", "priority", doc(1), doc(2))
 
 
+@register("a4_structured_store")
+def a4_store(t: Tables) -> DataFrame:
+    """All records saved, then the labelled documents' updates: only these are read, changed and saved again."""
+    done = t.base("labels").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("structured_data"),
+        F.when(F.col("toxic") == 1, "vision").otherwise("text").alias("extraction_method"), F.lit(None).cast("map<string,string>").alias("extraction_metadata"),
+    )
+    kept = Store(scratch_path(t.spark, "records"), "document_id")
+    kept.save(_records(t), ["updated_at"])
+    touched = kept.latest(t.spark).join(done.select("document_id"), "document_id", "left_semi")
+    kept.save(records.apply_structured(touched, done, NOW), ["updated_at"])
+    return kept.latest(t.spark).select("document_id", "filename", "structured_data", "extraction_method", F.size("extraction_metadata").alias("n_metadata"), "updated_at")
+
+
+@register("a5_result_store")
+def a5_store(t: Tables) -> DataFrame:
+    """Results with their reviews saved, those of some customers saved again with the important reviews only, and read back."""
+    kept = ResultStore(scratch_path(t.spark, "results"))
+    rows = t.shared("reviews").select("comparison_id", "mapping_index", "section_name", "importance", "summary")
+    kept.save(_comparisons(t), {"reviews": rows})
+    again = _comparisons(t).where(F.col("mode").isNull()).withColumn("priority", F.lit("high"))
+    kept.save(again, {"reviews": rows.where("importance = 'high'").join(again.select("comparison_id"), "comparison_id", "left_semi")})
+    head = kept.current(t.spark, "header").select("comparison_id", "priority")
+    return kept.current(t.spark, "reviews").join(head, "comparison_id").select("comparison_id", "mapping_index", "section_name", "importance", "summary", "priority")
+
+
 @register("a5_save_comparison")
 def a5(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "comparisons")
@@ -932,6 +959,60 @@ def e24_numbers(t: Tables) -> DataFrame:
     )
 
 
+@register("e20_search_rounds")
+def e20_rounds(t: Tables) -> DataFrame:
+    """Every section's review, searched further in each mode: the first round asks with its own vector, the second with the opposite."""
+    v = t.vectors().withColumn("pair_id", F.concat(F.lit("p"), F.col("ordinal").cast("string"))).withColumn("mapping_index", F.lit(1).cast("long"))
+    listed = lambda *words: F.transform(F.array(*map(F.lit, words)), lambda w: F.concat(w, F.col("ordinal").cast("string")))
+    none = F.array().cast("array<string>")
+    reviewed = v.select(
+        "pair_id", "mapping_index", F.col("document_id").alias("doc1_id"), F.col("section_name").alias("doc1_section_name"),
+        F.when(F.col("ordinal") % 3 == 0, "high").otherwise("low").alias("importance"), (F.col("ordinal") % 2 == 0).alias("search_needed"),
+        F.when(F.col("ordinal") % 5 == 0, none).otherwise(F.array(F.lit("more"))).alias("search_phrases"), F.concat(F.lit("S"), F.col("ordinal").cast("string")).alias("summary"),
+    )
+    first = v.select("pair_id", "mapping_index", F.lit(1).alias("iteration"), listed("x").alias("phrases"), "vector", F.when(F.col("ordinal") % 7 == 0, none).otherwise(listed("a", "b", "c")).alias("new_findings"))
+    second = v.select("pair_id", "mapping_index", F.lit(2).alias("iteration"), F.when(F.get("vector", F.lit(0)) > 0, listed("y")).otherwise(none).alias("phrases"),
+                      F.transform("vector", lambda x: -x).alias("vector"), listed("d").alias("new_findings"))
+    out = None
+    for mode in ("off", "high_only", "all"):
+        found = search.search_rounds(reviewed, first.unionByName(second), t.vectors(), mode, dimension=DIMENSION)
+        names = F.flatten(F.transform("additional_searches", lambda r: F.transform(r["found_sections"], lambda f: f["section_name"])))
+        rows = found.select(F.lit(mode).alias("mode"), "pair_id", F.size("additional_searches").alias("n_rounds"), "has_additional_context", F.array_join(names, ",").alias("found"), "summary")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _family_results(t: Tables) -> dict[str, DataFrame]:
+    """Every four neighbouring documents are a request; languages are types, so sections map by name within a language."""
+    base = t.base("documents")
+    requests = base.select(F.floor(F.col("doc_id") / 4).cast("long").alias("comparison_id"), (F.col("doc_id") % 4).cast("int").alias("position"), F.col("doc_id").alias("document_id"))
+    docs = base.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("document_type"), F.lit(None).cast("string").alias("company_name"), F.lit(None).cast("int").alias("fiscal_year"))
+    found = _content_sections(t)
+    empty = lambda schema: t.spark.createDataFrame([], schema)
+    corpus = Corpus(
+        documents=docs, sections=found, section_texts=empty("document_id long, section_name string, text string"),
+        vectors=empty("document_id long, ordinal long, section_name string, vector array<double>"),
+        cells=empty("document_id long, table_id string, row int, col int, item_name string, text string"),
+        table_sections=empty("document_id long, section_name string, table_id string"),
+        kpis=changes.explode_kpis(_no_facts(t)), relations=changes.explode_relations(_no_facts(t)),
+    )
+    return compare_many(requests, corpus, empty("pair_id string, mapping_index long, reply_json string"), dimension=1)
+
+
+def _no_facts(t: Tables) -> DataFrame:
+    return content.parse_content_reply(t.shared("content_replies")).where(F.lit(False)).withColumn("section_name", F.lit(""))
+
+
+@register("e24_section_families")
+def e24_families(t: Tables) -> DataFrame:
+    return _family_results(t)["families"]
+
+
+@register("e24_family_members")
+def e24_members(t: Tables) -> DataFrame:
+    return _family_results(t)["members"]
+
+
 @register("e25_compare_inputs")
 def e25(t: Tables) -> DataFrame:
     texts = t.base("documents").select(
