@@ -93,8 +93,12 @@ def batch_text(pages: DataFrame, size: int = WINDOW_PAGES) -> DataFrame:
     )
 
 
-def merge_sections(candidates: DataFrame) -> DataFrame:
-    """Fold the windows' candidates: widest range, first confidence, last continuation flag."""
+def merge_sections(candidates: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Fold the windows' candidates: widest range, first confidence, last continuation flag.
+
+    With the documents' ``pages`` a section lists only pages that its document has, whatever ends a reply
+    gives; start and end stay as they were told.
+    """
     # One long instead of a struct keeps this a hash aggregation.
     position = F.col("batch_index").cast("long") * 2**32 + F.col("ordinal")
     merged = candidates.groupBy("document_id", "section_name").agg(
@@ -103,7 +107,13 @@ def merge_sections(candidates: DataFrame) -> DataFrame:
         F.min_by(F.coalesce("confidence", F.lit(0.0)), position).alias("confidence"),
         F.max_by(F.coalesce("is_continuing", F.lit(False)), position).alias("is_continuing"),
     )
-    return merged.withColumn("pages", _page_list(F.col("start_page"), F.col("end_page")))
+    if pages is None:
+        return merged.withColumn("pages", _page_list(F.col("start_page"), F.col("end_page")))
+    ends = pages.groupBy("document_id").agg(F.min("page_number").alias("_low"), F.max("page_number").alias("_high"))
+    listed = _page_list(F.greatest("start_page", "_low"), F.least("end_page", "_high"))
+    return merged.join(ends, "document_id", "left").withColumn(
+        "pages", F.when(F.col("_low").isNull(), F.array().cast("array<int>")).otherwise(listed)
+    ).drop("_low", "_high")
 
 
 def _page_list(start: Column, end: Column) -> Column:

@@ -461,6 +461,10 @@ SELECT document_id, batch_index, substr(string_agg('=== ページ ' || CAST(page
 FROM page_windows JOIN doc_pages USING (document_id, page_number) GROUP BY document_id, batch_index""",
     "d8_merge_section_candidates": """
 SELECT document_id, section_name, start_page, end_page, confidence, is_continuing, array_to_string(range(start_page, end_page + 1), ',') AS pages FROM merged""",
+    "d8_pages_in_document": """
+SELECT document_id, section_name, start_page, end_page, array_to_string(range(greatest(start_page, 1), least(end_page, n) + 1), ',') AS pages FROM (
+  SELECT document_id, section_name, CAST(min(start_page) AS INTEGER) AS start_page, CAST(max(CASE WHEN ordinal % 3 = 0 THEN 2000000000 ELSE end_page END) AS INTEGER) AS end_page
+  FROM candidates GROUP BY document_id, section_name) JOIN page_totals USING (document_id)""",
     "d9_section_char_count": "SELECT document_id, section_name, char_count FROM char_counts",
     "d10_rebuild_parents": """
 WITH parent AS (SELECT document_id, section_name, avg(confidence) AS confidence FROM above GROUP BY document_id, section_name),
@@ -697,6 +701,7 @@ SELECT pair_id, side, line, lower(line) AS low FROM (
   SELECT pair_id, 1 AS side, unnest(string_split(text1, chr(10))) AS line FROM text_pairs
   UNION ALL SELECT pair_id, 2, unnest(string_split(text2, chr(10))) FROM text_pairs)""",
     "logical_diffs": ORACLE["e17_compare_relations"],
+    "kpi_diffs": ORACLE["e15_compare_kpi_series"],
     "leaf_pages": """
 SELECT m.* FROM merged_pages m ANTI JOIN above a ON m.document_id = a.document_id AND m.section_name = a.section_name""",
 }
@@ -744,7 +749,9 @@ SELECT o_orderkey, o_orderstatus <> 'P' AS all_numeric, NOT starts_with(o_orderp
     "p10_difference_counts": """
 SELECT kind, section, count(*) AS n FROM (
   SELECT 'numeric' AS kind, table_id AS section FROM cell_diffs WHERE table_id = table2
-  UNION ALL SELECT 'relation', change_type FROM logical_diffs) GROUP BY ROLLUP (kind, section)""",
+  UNION ALL SELECT 'relation', section FROM logical_diffs
+  UNION ALL SELECT 'kpi', section FROM kpi_diffs
+  UNION ALL SELECT 'text', CASE WHEN starts_with(pair_id, 'd') THEN 'document' ELSE 'conversation' END FROM line_counts WHERE n1 <> n2) GROUP BY ROLLUP (kind, section)""",
     "p11_difference_list": """
 SELECT comparison_id, mapping_index, section_name, summary FROM reviews
 WHERE importance = 'high' AND (contains(lower(section_name), 'total 4') OR COALESCE(contains(lower(summary), 'total 4'), FALSE))""",

@@ -470,6 +470,14 @@ def d8(t: Tables) -> DataFrame:
     return _merged(t).withColumn("pages", listed("pages"))
 
 
+@register("d8_pages_in_document")
+def d8_clamped(t: Tables) -> DataFrame:
+    """Every third candidate ends far behind its document."""
+    far = F.when(F.col("ordinal") % 3 == 0, 2_000_000_000).otherwise(F.col("end_page")).cast("int")
+    found = sections.merge_sections(t.candidates().withColumn("end_page", far), t.pages())
+    return found.select("document_id", "section_name", "start_page", "end_page", listed("pages").alias("pages"))
+
+
 @register("d9_section_char_count")
 def d9(t: Tables) -> DataFrame:
     return sections.with_char_count(_merged(t), t.pages()).select("document_id", "section_name", "char_count")
@@ -1251,9 +1259,11 @@ def p9_unquoted(t: Tables) -> DataFrame:
 
 @register("p10_difference_counts")
 def p10(t: Tables) -> DataFrame:
-    numeric = e11(t).select(F.lit("numeric").alias("kind"), F.col("table_id").alias("section"))
-    logical = e17(t).select(F.lit("relation").alias("kind"), F.col("change_type").alias("section"))
-    return checks.difference_counts(numeric.unionByName(logical))
+    """Numeric, text, KPI and relation differences with the sections they are in."""
+    kind = lambda name, rows, section: rows.select(F.lit(name).alias("kind"), section.alias("section"))
+    text = F.when(F.startswith(F.col("pair_id"), F.lit("d")), "document").otherwise("conversation")
+    found = kind("numeric", e11(t), F.col("table_id")).unionByName(kind("relation", e17(t), F.col("section")))
+    return checks.difference_counts(found.unionByName(kind("kpi", e15(t), F.col("section"))).unionByName(kind("text", e14_lines(t), text)))
 
 
 @register("p11_difference_list")

@@ -9,9 +9,13 @@ from filingdelta.operators.sections import (
 )
 
 
-def detect(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Merged sections with their character counts and rebuilt parents."""
-    return rebuild_parents(with_char_count(merge_sections(candidates), pages), pages)
+def detect(candidates: DataFrame, pages: DataFrame, own_pages_only: bool = False) -> DataFrame:
+    """Merged sections with their character counts and rebuilt parents.
+
+    ``own_pages_only`` leaves out pages that the document does not have; without it they are listed as the replies told them.
+    """
+    merged = merge_sections(candidates, pages if own_pages_only else None)
+    return rebuild_parents(with_char_count(merged, pages), pages)
 
 
 def extraction_inputs(sections: DataFrame, pages: DataFrame) -> DataFrame:

@@ -38,9 +38,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, one in the warehouse, which is shared as well."""
+    """The folder that spark.checkpoint.dir names. Only a local session may leave it unset; it has one in its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -125,6 +125,16 @@ def test_merge_and_parents(corpus):
         assert got == {k: (o["start"], o["end"], o["pages"], round(o["conf"], 9), o["cont"], o["chars"]) for k, o in want.items()}
 
 
+def test_pages_end_with_the_document(corpus):
+    """A reply that tells an absurd end costs no more than its document has pages."""
+    docs, cands, page = corpus
+    far = cands.withColumn("end_page", F.lit(2_000_000_000)).withColumn("start_page", F.lit(-5))
+    last = {r.document_id: (r.low, r.high) for r in page.groupBy("document_id").agg(F.min("page_number").alias("low"), F.max("page_number").alias("high")).collect()}
+    for r in S.merge_sections(far, page).collect():
+        low, high = last.get(r.document_id, (1, 0))
+        assert (r.start_page, r.end_page, list(r.pages)) == (-5, 2_000_000_000, list(range(low, high + 1)))
+
+
 def test_children_and_exclusive_pages(corpus):
     docs, cands, page = corpus
     merged = S.merge_sections(cands)
