@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined paragraphs, MinHash bands, exact verification, removals by component."""
+"""Substring dedup: MinHash bands over paragraphs, exact verification, removals by component; and every long equal run."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ from filingdelta.llm.components import connected_components
 from filingdelta.llm.wordscan import Scanner, mix
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
-# A paragraph begins where a 3-word hash is the least of its neighbours so many words to either side; a part of one
-# likewise with a smaller radius, so that a passage of some fifty words holds whole parts wherever it stands.
-RADIUS, PART_RADIUS, GRAM = 24, 5, 3
-# Words that a stretch of repeated paragraphs needs to be reported: shorter ones are turns of phrase.
+# A paragraph is a line. One of more words than this is cut where a 3-word hash is the least of its neighbours so many words to
+# either side, so that copies of a part are cut alike wherever it stands.
+LONG_WORDS, RADIUS, GRAM = 400, 100, 3
+# Paragraphs of fewer words are turns of phrase: they are not compared, and no shorter stretch is reported.
 MIN_WORDS = 15
 # Of every ANCHOR-word gram window in PASSAGE words the least one is an anchor: a run of PASSAGE words holds one, in every copy
 # the same, and no more than REACH words of the run lie before or behind it that another anchor of the run does not reach.
@@ -28,7 +28,7 @@ REACH = PASSAGE - ANCHOR
 BLANK_BYTES = (9, 10, 11, 12, 13, 32)
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 4, most_rows: int = 8) -> tuple[int, int]:
+def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 6, most_rows: int = 8) -> tuple[int, int]:
     """Bands and rows: fewest bands that reach the recall at the similarity with ``least_rows`` or more, then most rows."""
     for bands in range(1, 65):
         fitting = [rows for rows in range(least_rows, most_rows + 1) if 1 - (1 - similarity**rows) ** bands >= recall]
@@ -41,21 +41,36 @@ def _odd(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
 
 
-def cut(hashes: np.ndarray, firsts: np.ndarray, radius: int) -> np.ndarray:
-    """First words of all paragraphs: text starts and local minima, which depend on the words nearby only."""
+def cut(hashes: np.ndarray, firsts: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """First words of all paragraphs, given those of all ``lines``; local minima in long lines depend on the words nearby only."""
     n = len(hashes)
-    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    gram = np.zeros(n, dtype=np.uint64)
-    for j in range(GRAM):
-        gram[:n - j] += hashes[j:] * _odd(j)
-    gram = mix(gram)
-    least = np.ones(n, dtype=bool)
-    for k in range(1, min(radius, n - 1) + 1):
-        same = text[k:] == text[:-k]
-        least[k:] &= ~same | (gram[k:] < gram[:-k])
-        least[:-k] &= ~same | (gram[:-k] <= gram[k:])
-    least[firsts[:-1][np.diff(firsts) > 0]] = True
-    return np.flatnonzero(least)
+    sizes = np.diff(np.append(lines, n))
+    long = np.flatnonzero(sizes > LONG_WORDS)
+    if not len(long):
+        return lines
+    begins = np.zeros(n, dtype=bool)
+    begins[lines] = True
+    for k in long:
+        low, high = lines[k], lines[k] + sizes[k]
+        gram = np.zeros(high - low, dtype=np.uint64)
+        for j in range(GRAM):
+            gram[:high - low - j] += hashes[low + j:high] * _odd(j)
+        gram = mix(gram)
+        least = np.ones(high - low, dtype=bool)
+        for j in range(1, RADIUS + 1):
+            least[j:] &= gram[j:] < gram[:-j]
+            least[:-j] &= gram[:-j] <= gram[j:]
+        begins[low:high] |= least
+    return np.flatnonzero(begins)
+
+
+def line_starts(data: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """First words of all lines that have words."""
+    breaks = np.searchsorted(np.flatnonzero(data == 10), starts)
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = breaks[1:] != breaks[:-1]
+    new[firsts[:-1][np.diff(firsts) > 0]] = True
+    return np.flatnonzero(new)
 
 
 def anchors(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +115,8 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) ->
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``(row, doc_id, level, no, start, stop, n_words, h, bands, text)`` of ``docs(doc_id, text)``, places in code points.
 
-    Level 1 has the paragraphs with their band keys and texts, level 0 their parts, which are only compared as a whole, level 2
-    the anchors, whose ``no`` is the number of their first word.
+    Level 1 has the paragraphs with their texts, those of at least ``MIN_WORDS`` words with band keys; level 2 the anchors, whose
+    ``no`` is the number of their first word.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("level", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()),
                         ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
@@ -118,23 +133,24 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             lengths = np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)
             offset = points[np.concatenate([[0], np.cumsum(lengths)[:-1]])]
-            for level, radius in ((0, PART_RADIUS), (1, RADIUS)):
-                begins = cut(hashes, firsts, radius)
-                whole, keys = signatures(hashes, begins, bands * level, rows)
-                ends = np.append(begins[1:], len(hashes)) - 1
-                # The last text that starts at a word owns it; empty texts before it own none.
-                text = np.searchsorted(firsts, begins, side="right") - 1
-                first = np.concatenate([[True], text[1:] != text[:-1]])
-                place, n = np.arange(len(text)), bands * level
-                raw = data.tobytes() if level else b""
-                yield {
-                    "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32), "level": np.full(len(text), level, dtype=np.int32),
-                    "no": (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.int32),
-                    "start": (points[starts[begins]] - offset[text]).astype(np.int32), "stop": (points[stops[ends]] - offset[text]).astype(np.int32),
-                    "n_words": (ends - begins + 1).astype(np.int32), "h": mix(whole + np.uint64(level)).view(np.int64),
-                    "bands": pa.ListArray.from_arrays((np.arange(len(whole) + 1) * n).astype(np.int32), np.ascontiguousarray(keys.T).reshape(-1).view(np.int64)),
-                    "text": [raw[a:b].decode() for a, b in zip(starts[begins].tolist(), stops[ends].tolist())] if level else pa.nulls(len(text), pa.string()),
-                }
+            begins = cut(hashes, firsts, line_starts(data, starts, firsts))
+            whole, keys = signatures(hashes, begins, bands, rows)
+            ends = np.append(begins[1:], len(hashes)) - 1
+            # The last text that starts at a word owns it; empty texts before it own none.
+            text = np.searchsorted(firsts, begins, side="right") - 1
+            first = np.concatenate([[True], text[1:] != text[:-1]])
+            place = np.arange(len(text))
+            no = place - np.maximum.accumulate(np.where(first, place, 0))
+            raw, own = data.tobytes(), np.flatnonzero(ends - begins + 1 >= MIN_WORDS)
+            listed = np.zeros(len(begins) + 1, dtype=np.int32)
+            listed[own + 1] = bands
+            yield {
+                "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32), "level": np.full(len(text), 1, dtype=np.int32), "no": no.astype(np.int32),
+                "start": (points[starts[begins]] - offset[text]).astype(np.int32), "stop": (points[stops[ends]] - offset[text]).astype(np.int32),
+                "n_words": (ends - begins + 1).astype(np.int32), "h": mix(whole + np.uint64(1)).view(np.int64),
+                "bands": pa.ListArray.from_arrays(np.cumsum(listed, dtype=np.int32), np.ascontiguousarray(keys.T[own]).reshape(-1).view(np.int64)),
+                "text": [raw[x:y].decode() for x, y in zip(starts[begins].tolist(), stops[ends].tolist())],
+            }
             at, h = anchors(hashes, firsts)
             text = np.searchsorted(firsts, at, side="right") - 1
             yield {
@@ -179,12 +195,16 @@ def similar(units: DataFrame) -> DataFrame:
     members of the bucket in other components. Pairs inside a component need no test, so no link that would join two
     components is lost.
     """
-    keyed = units.where("level = 1").select("h", F.explode("bands").alias("key"))
-    buckets = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a"), "buckets")
-    members = written(keyed.join(buckets, "key").where("h <> a").distinct(), "members")
-    wanted = members.select("h").union(members.select("a")).distinct()
+    # Equal paragraphs are one: their bands are the same.
+    own = units.where((F.col("level") == 1) & (F.col("n_words") >= MIN_WORDS))
+    distinct = own.select("h", "bands").dropDuplicates(["h"])
+    keyed = distinct.select("h", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a")
+    members = written(keyed.join(buckets, "key").where("h <> a"), "members")
+    wanted = written(members.select("h").union(members.select("a")).distinct(), "colliding")
     normal = F.array_join(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), " ")
-    texts = written(units.where("level = 1").join(wanted, "h", "left_semi").groupBy("h").agg(F.first(normal).alias("text")), "texts")
+    texts = own.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = written(texts.select("h", normal.alias("text")), "texts")
     first = written(verified(members.select("a", F.col("h").alias("b")).distinct(), texts).where("alike").select("a", "b"), "alike")
     placed = connected_components(first)
     root = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -247,34 +267,76 @@ def exact_stretches(held: DataFrame, units: DataFrame) -> DataFrame:
         F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
 
 
+def firsts_marked(held: DataFrame) -> DataFrame:
+    """Members of classes of several with ``removed``: 0 for the first by doc_id, row and number, 1 for the others."""
+    known = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    many = held.groupBy("class").agg(F.count("*").alias("n"), F.min(known).alias("first_doc")).where("n > 1").drop("n")
+    members = written(held.join(many, "class"), "repeats")
+    own = members.where(known == F.col("first_doc")).groupBy("class").agg(F.min(F.struct("row", "no")).alias("first"))
+    return written(members.join(own, "class").withColumn("removed", (F.struct("row", "no") != F.col("first")).cast("int")).drop("first", "first_doc"), "held-repeats")
+
+
+def islands(members: DataFrame) -> DataFrame:
+    """Members with ``stretch``: the same for paragraphs that follow each other in a row."""
+    return members.withColumn("stretch", F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no")))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Stretches of ``docs(doc_id, text)`` that repeat across or inside documents: one row per stretch.
 
     Columns: row, doc_id, level, start, stop (code points), n_words, class_id (the least class of its paragraphs), removed
-    (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs (level 1) are equal, or
-    similar by at least ``SIMILARITY`` on five-word shingles, directly or over others; parts of paragraphs (level 0) are equal.
-    Level 2 has every run of at least ``PASSAGE`` equal words, wherever it stands, to the word; runs that overlap or touch are one stretch.
-    The first of a class, by doc_id and place, stays. Stretches of fewer than ``MIN_WORDS`` words are left out. Null or empty texts have none; repeated
-    rows repeat each other; a null doc_id comes first. Other columns are not read.
+    (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs (level 1) are lines, long ones in parts;
+    they are equal, or similar by at least ``SIMILARITY`` on five-word shingles, directly or over others. Level 2 has every run of at
+    least ``PASSAGE`` equal words, wherever it stands, to the word; runs that overlap or touch are one stretch. Anchors inside paragraphs
+    that are equal to others take no part: these are repeats as a whole. The first of a class, by doc_id and place, stays. Paragraphs
+    of fewer than ``MIN_WORDS`` words count in runs only. Null or empty texts have none; repeated rows repeat each other; a null
+    doc_id comes first. Other columns are not read.
     """
     bands, rows = tune_bands()
     units = written(paragraphs(docs, bands, rows), "paragraphs")
     classes = connected_components(similar(units))
     slim = units.select("row", "doc_id", "level", "no", "start", "stop", "n_words", "h")
-    classed = slim.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root", "h")
-    many = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_doc")).where("n > 1").drop("n")
-    held = written(classed.join(many, "class"), "repeats")
-    # Among the paragraphs of a class's first document, the first by row and number stays.
-    own = held.where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_doc")).groupBy("class").agg(F.min(F.struct("row", "no")).alias("first"))
-    held = held.join(own, "class").withColumn("removed", (F.struct("row", "no") != F.col("first")).cast("int"))
-    held = written(held, "held-repeats")
-    by_row = Window.partitionBy("row", "level").orderBy("no")
-    tiles = held.where("level < 2").withColumn("stretch", F.col("no") - F.row_number().over(by_row))
-    runs = tiles.groupBy("row", "level", "stretch").agg(
+    lines = slim.where((F.col("level") == 1) & (F.col("n_words") >= MIN_WORDS)).join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root")
+    lines = firsts_marked(lines)
+    found = islands(lines).groupBy("row", "level", "stretch").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("long").alias("n_words"),
         F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
-    exact = exact_stretches(held.where("level = 2"), units)
-    return runs.where(F.col("n_words") >= MIN_WORDS).unionByName(exact).drop("stretch")
+    twins = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    equal = islands(lines.join(twins, "h", "left_semi")).groupBy("row", "stretch").agg(F.min("start").alias("s"), F.max("stop").alias("e"))
+    covered = equal.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
+    marks = slim.where("level = 2").withColumn("class", F.col("h"))
+    often = marks.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    loose = marks.join(often, "class", "left_semi").join(covered, "row", "left")
+    inside = F.exists("covered", lambda c: (c["s"] <= F.col("start")) & (c["e"] >= F.col("stop")))
+    # A run goes on in all its copies: an anchor stays where it is loose in one of them.
+    loose = written(loose.withColumn("loose", ~F.coalesce(inside, F.lit(False))).drop("covered"), "anchors")
+    kept = loose.join(loose.where("loose").select("class").distinct(), "class", "left_semi").drop("loose")
+    exact = exact_stretches(firsts_marked(kept), units)
+    return found.where(F.col("n_words") >= MIN_WORDS).unionByName(exact).drop("stretch")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, without the paragraphs that repeat an earlier one; the line break behind them goes as well.
+
+    Of a class the first paragraph by doc_id and place stays. Rows of one doc_id are told apart by their texts; equal rows are
+    treated alike, so the paragraph stays in each of them where it stays in one. Null texts stay null. Runs that are no paragraphs, and
+    parts of long lines, are reported only.
+    """
+    bands, rows = tune_bands()
+    units = written(paragraphs(docs, bands, rows), "paragraphs")
+    classes = connected_components(similar(units))
+    lines = units.select("row", "doc_id", "level", "no", "n_words", "h", "text").where((F.col("level") == 1) & (F.col("n_words") >= MIN_WORDS))
+    lines = firsts_marked(lines.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root"))
+    stays = lines.where("removed = 0").select("doc_id", "h").distinct().withColumn("_stays", F.lit(True))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))
+    gone = lines.select("doc_id", "h", "text").distinct().join(stays.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "_stays"), same, "left").where("_stays IS NULL")
+    listed = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("text").alias("_gone"))
+    # Paragraphs are told by their words in lower case, as they were compared.
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    own = lambda line: F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), letters, letters.lower())
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(F.col("_gone"), own(line))), "\n")
+    joined = docs.join(listed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def by_document(passages: DataFrame) -> DataFrame:

@@ -331,6 +331,67 @@ def test_short_passages_are_found_to_the_word(spark):
     assert [(r.doc_id, r.start, r.stop) for r in found if r.doc_id >= 200] == [(202, 0, 119)]
 
 
-def test_bands_reach_the_recall():
-    bands, rows = substring.tune_bands()
-    assert 1 - (1 - 0.8**rows) ** bands >= substring.RECALL
+@pytest.mark.parametrize("words,changed", [(60, 1), (120, 2)])
+def test_edited_paragraphs_are_found(spark, words, changed):
+    """Paragraphs with some words changed, at a similarity of 0.82 to 0.9, between other lines: nine of ten at least."""
+    rng, rows = random.Random(words), []
+    text = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    for i in range(300):
+        one = text(words)
+        two = list(one)
+        for k in range(changed):
+            two[(2 * k + 1) * words // (2 * changed)] = "changed"
+        rows += [(2 * i, "\n".join(map(" ".join, (text(30), one, text(8))))), (2 * i + 1, "\n\n".join(map(" ".join, (text(25), text(20), two))))]
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("level = 1").collect():
+        found.setdefault(r.class_id, set()).add((r.doc_id, r.n_words, r.removed))
+    pairs = [sorted(x) for x in found.values()]
+    assert all(len(x) == 2 and x[0][0] // 2 == x[1][0] // 2 and [n for _, n, _ in x] == [words] * 2 and [r for *_, r in x] == [0, 1] for x in pairs)
+    assert len(pairs) >= 270
+
+
+def test_paragraph_classes_by_brute_force(spark):
+    """All lines against all others: the classes are the components of exact similarity, but for what bands may miss."""
+    rng, lines = random.Random(12), []
+    for c in range(60):
+        base = [f"z{rng.randrange(10**6)}" for _ in range(rng.choice([14, 15, 40, 90]))]
+        for k in range(rng.choice([1, 2, 5])):
+            line = list(base)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                line[rng.randrange(len(line))] = f"e{rng.randrange(50)}"
+            lines.append(" ".join(line))
+    lines += ["Same  words HERE " * 5, "same words here " * 5]
+    rows = [(k, f"{line}\nshort line {k}") for k, line in enumerate(lines)] + [(None, lines[0]), (900, None), (901, "")]
+    shingled = lambda line: {tuple(w[k:k + 5]) for w in [line.lower().split()] for k in range(max(1, len(w) - 4))}
+    sets = {(i, k): shingled(line) for k, (i, text) in enumerate(rows) for line in [(text or "").split("\n")[0]] if len(line.split()) >= 15}
+    parent = {x: x for x in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    places = sorted(sets, key=lambda x: x[1])
+    for x in places:
+        for y in places:
+            if x[1] < y[1] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                parent[root(y)] = root(x)
+    groups = {}
+    for x in places:
+        groups.setdefault(root(x), set()).add(x[0])
+    expected = {i for g in groups.values() for i in g if len(g) > 1}
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("level = 1").collect()
+    got = {r.doc_id for r in found}
+    assert got <= expected and len(got) >= 0.95 * len(expected)
+    together = {}
+    for r in found:
+        together.setdefault(r.class_id, set()).add(r.doc_id)
+    assert all(any(t <= g for g in groups.values()) for t in together.values())
+
+
+def test_removing_repeats(spark):
+    rows = [(1, "keep this\n" + " ".join(f"a{k}" for k in range(20)) + "\nend"), (2, " ".join(f"a{k}" for k in range(20)) + "\nown words"), (3, None), (4, " ".join(f"a{k}" for k in range(20)))]
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, class string, start int")
+    got = {r.doc_id: (r.text, r["class"], r.start) for r in substring.remove_repeats(docs).collect()}
+    assert got == {1: (rows[0][1], "x", 5), 2: ("own words", "x", 5), 3: (None, "x", 5), 4: ("", "x", 5)}
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
