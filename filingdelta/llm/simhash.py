@@ -120,20 +120,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's least, with all columns; of repeated ids one row stays.
 
-    Rows with a null doc_id stay only where their component has no other id, one row per component.
+    Rows with a null doc_id stay only where their component has no other id, one row per component. Decisions are made on
+    ids; whole rows meet them once, in an anti-join with the ids that go. Rows are compared only where ids repeat.
     """
     found = written(near_duplicates(docs, shingle), "components")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"))
-    kept = ids.where("_kept").select("doc_id", "_rows")
-    stay = docs.join(kept, "doc_id")
-    single = stay.where("_rows = 1").select(*docs.columns)
-    # Only repeated ids are compared as whole rows; the least row of each stays.
-    repeated = stay.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    counted = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"))
+    # Not the ids that simply stay, which are most.
+    ids = written(counted.where("_rows > 1 OR NOT _kept"), "ids")
+    stay = docs.where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("_kept").select("doc_id")
+    if not again.isEmpty():
+        repeated = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        stay = stay.unionByName(repeated.select("_row.*"))
     orphans = found.where("component_id IS NULL").select("fp").distinct()
-    lost = docs.where("doc_id IS NULL")
     if orphans.isEmpty():
-        return single.unionByName(repeated)
+        return stay
+    lost = docs.where("doc_id IS NULL")
     prints = fingerprints(lost.select(F.xxhash64("text").alias("doc_id"), "text"), shingle).distinct()
     first = prints.join(orphans, "fp").groupBy("fp").agg(F.min("doc_id").alias("_text"))
     alone = lost.withColumn("_text", F.xxhash64("text")).join(first.select("_text"), "_text").groupBy("_text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.unionByName(repeated).unionByName(alone)
+    return stay.unionByName(alone)
