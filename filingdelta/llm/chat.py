@@ -11,6 +11,7 @@ OPEN, CLOSE, HEAD, HEAD_END = "<s>", "</s>", "[INST] ", " [/INST]"
 BUDGET, HISTORY = 2048, 256
 CHUNK_TURNS = 64
 TURN_OVERHEAD = 4
+LEAST_SHARE = 8
 TARGET, SYSTEM = "assistant", "system"
 
 
@@ -51,10 +52,11 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     """Windows of ``conversations(conv_id, turn, role, text)``: conv_id, window, formatted, loss, n_repeated, over_budget.
 
     Turns are placed by the sum of tokens before them: half of what the system turns and the history leave of the
-    budget is one stretch, so a stretch and its last turn fit; a longer turn is a window of its own, marked
-    ``over_budget`` where it alone passes the budget. No turn is cut and none is lost. A window starts with the system
-    turns met before it (up to half the budget), then earlier turns of up to ``history`` tokens; these
-    are repeats, ``n_repeated`` in number, and not under the loss. ``loss`` lists ``(start, length)`` of the assistant's
+    budget is one stretch, so a stretch and its last turn fit; a longer turn is a window of its own. No turn is cut and
+    none is lost. A window starts with the conversation's first system turn, however long, and further system turns met before
+    it (up to half the budget together), then earlier turns of up to ``history`` tokens; these are repeats, ``n_repeated`` in number,
+    and not under the loss. A long system turn makes stretches shorter, down to ``1 / LEAST_SHARE`` of the room; a window that
+    all of its turns take past the budget is marked ``over_budget``. ``loss`` lists ``(start, length)`` of the assistant's
     new texts in ``formatted``, in code points. A null text is empty, a null role is an empty one, a null turn
     comes first; turns with equal numbers stand in the order of role and text. A null conv_id is one more
     conversation. Other columns are not read.
@@ -62,34 +64,37 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     clean = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     clean = clean.withColumn("tokens", turn_tokens(F.col("text")).cast("long"))
     turns = _prefix_sums(clean)
+    first = F.min_by("tokens", F.struct(F.coalesce("turn", F.lit(-(1 << 62))), "text"))
     system = clean.where(F.col("role") == SYSTEM).groupBy(F.col("conv_id").alias("s_conv")).agg(
-        F.least(F.sum("tokens"), F.lit(budget // 2)).alias("s_tokens"))
+        F.greatest(F.least(F.sum("tokens"), F.lit(budget // 2)), first).alias("s_tokens"))
     turns = turns.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
-    stride = F.greatest(F.floor((F.lit(budget - history) - F.coalesce("s_tokens", F.lit(0))) / 2), F.lit(TURN_OVERHEAD + 1))
+    room = budget - history
+    stride = F.greatest(F.floor((F.lit(room) - F.coalesce("s_tokens", F.lit(0))) / 2), F.lit(max(room // LEAST_SHARE, TURN_OVERHEAD + 1)))
     turns = turns.withColumn("stride", stride).withColumn("large", (F.col("tokens") > F.col("stride")).cast("int"))
     turns = turns.withColumn("window", 2 * F.floor(F.col("before") / F.col("stride")) + F.col("large"))
     turns = written(turns.drop("s_tokens"), "turns")
 
-    starts = turns.groupBy("conv_id", "window").agg(F.min("before").alias("from"), F.sum("tokens").alias("new_tokens"), F.first("stride").alias("stride"))
-    new = turns.select("conv_id", "window", F.lit(2).alias("part"), "before", "turn", "role", "text")
+    starts = turns.groupBy("conv_id", "window").agg(F.min("before").alias("from"))
+    new = turns.select("conv_id", "window", F.lit(2).alias("part"), "before", "turn", "role", "text", "tokens")
     # A turn can be history of windows that start between its end and `history` tokens after its start.
     end = F.col("before") + F.col("tokens")
     reach = turns.where(F.col("tokens") <= history).select(
-        F.col("conv_id").alias("h_conv"), "before", "turn", "role", "text", end.alias("end"),
+        F.col("conv_id").alias("h_conv"), "before", "turn", "role", "text", "tokens", end.alias("end"),
         F.explode(F.sequence(2 * F.floor(end / F.col("stride")), 2 * F.floor((F.col("before") + history) / F.col("stride")) + 1)).alias("h_window"))
     met = reach.join(starts, F.col("h_conv").eqNullSafe(F.col("conv_id")) & (F.col("h_window") == F.col("window")))
     met = met.where((F.col("end") <= F.col("from")) & (F.col("before") >= F.col("from") - history))
-    past = met.where(F.col("role") != SYSTEM).select("conv_id", "window", F.lit(1).alias("part"), "before", "turn", "role", "text")
-    # System turns go to the head of every later window while they stay within half the budget.
-    leading = turns.where(F.col("role") == SYSTEM).withColumn("sum", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("before")))
-    leading = leading.where(F.col("sum") <= budget // 2).select(F.col("conv_id").alias("l_conv"), "before", "turn", "role", "text")
+    past = met.where(F.col("role") != SYSTEM).select("conv_id", "window", F.lit(1).alias("part"), "before", "turn", "role", "text", "tokens")
+    # The first system turn goes to the head of every later window, others while all stay within half the budget.
+    earlier = Window.partitionBy("conv_id").orderBy("before")
+    leading = turns.where(F.col("role") == SYSTEM).withColumn("sum", F.sum("tokens").over(earlier)).withColumn("nth", F.row_number().over(earlier))
+    leading = leading.where((F.col("nth") == 1) | (F.col("sum") <= budget // 2)).select(F.col("conv_id").alias("l_conv"), "before", "turn", "role", "text", "tokens")
     head = leading.join(starts, F.col("l_conv").eqNullSafe(F.col("conv_id")) & (F.col("before") < F.col("from")))
-    head = head.select("conv_id", "window", F.lit(0).alias("part"), "before", "turn", "role", "text")
+    head = head.select("conv_id", "window", F.lit(0).alias("part"), "before", "turn", "role", "text", "tokens")
 
     piece = F.concat(F.lit(OPEN + HEAD), escape(F.col("role")), F.lit(HEAD_END), escape(F.col("text")), F.lit(CLOSE))
     prefix = F.length(F.concat(F.lit(OPEN + HEAD), escape(F.col("role")), F.lit(HEAD_END)))
     rows = head.unionByName(past).unionByName(new).select(
-        "conv_id", "window", F.struct("part", "before", F.coalesce("turn", F.lit(-1)).alias("turn"), "role", piece.alias("piece"), prefix.alias("prefix")).alias("t"))
+        "conv_id", "window", F.struct("part", "before", F.coalesce("turn", F.lit(-1)).alias("turn"), "role", piece.alias("piece"), prefix.alias("prefix"), "tokens").alias("t"))
     windows = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
 
@@ -99,12 +104,11 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         targeted = (t["role"] == TARGET) & (t["part"] == 2)
         return F.struct((acc["at"] + length).alias("at"), F.when(targeted, F.concat(acc["loss"], F.array(span))).otherwise(acc["loss"]).alias("loss"))
 
-    windows = windows.select(
+    return windows.select(
         "conv_id", "window", F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"),
         F.aggregate("ts", start, step, lambda acc: acc["loss"]).alias("loss"),
-        F.size(F.filter("ts", lambda t: t["part"] < 2)).alias("n_repeated"))
-    sizes = starts.select(F.col("conv_id").alias("z_conv"), F.col("window").alias("z_window"), (F.col("new_tokens") > budget).alias("over_budget"))
-    return windows.join(sizes, F.col("conv_id").eqNullSafe(F.col("z_conv")) & (F.col("window") == F.col("z_window"))).drop("z_conv", "z_window")
+        F.size(F.filter("ts", lambda t: t["part"] < 2)).alias("n_repeated"),
+        (F.aggregate("ts", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"]) > budget).alias("over_budget"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

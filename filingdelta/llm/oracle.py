@@ -43,17 +43,19 @@ WITH said AS (
   FROM said
 ), turns AS (
   SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - tokens AS before,
-         greatest((2048 - 256 - least(coalesce(sum(tokens) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id), 0), 1024)) // 2, 5) AS stride
-  FROM sized
+         greatest((2048 - 256 - greatest(least(coalesce(sum(tokens) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id), 0), 1024), coalesce(first_tokens, 0))) // 2, 224) AS stride
+  FROM sized LEFT JOIN (
+    SELECT conv_id AS s_conv, arg_min(tokens, row(coalesce(turn, -4611686018427387904), text)) AS first_tokens FROM sized WHERE role = 'system' GROUP BY conv_id
+  ) s ON conv_id IS NOT DISTINCT FROM s_conv
 ), windows AS (
   SELECT conv_id, before // stride AS stretch, tokens > stride AS large, min(before) AS begins FROM turns GROUP BY ALL
 ), instructions AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY before) AS reached FROM turns WHERE role = 'system'
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY before) AS reached, row_number() OVER (PARTITION BY conv_id ORDER BY before) AS nth FROM turns WHERE role = 'system'
 ), repeated AS (
   SELECT w.conv_id, t.chars FROM windows w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id
   WHERE t.role <> 'system' AND t.tokens <= 256 AND t.before + t.tokens <= w.begins AND t.before >= w.begins - 256
   UNION ALL
-  SELECT w.conv_id, l.chars FROM windows w JOIN instructions l ON w.conv_id IS NOT DISTINCT FROM l.conv_id WHERE l.reached <= 1024 AND l.before < w.begins
+  SELECT w.conv_id, l.chars FROM windows w JOIN instructions l ON w.conv_id IS NOT DISTINCT FROM l.conv_id WHERE (l.reached <= 1024 OR l.nth = 1) AND l.before < w.begins
 ), extra AS (
   SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY conv_id
 ), told AS (

@@ -8,18 +8,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filingdelta.llm.common import arrow_map, written
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 BASE = KINDS[:3]
-REACH = 400
 MIN_ENTROPY = 3.5
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"
-NAMED_ID = r"""(?ai:client|app|account|access_key|user)[_-]?(?ai:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,64})"""
+NAMED_ID = r"""(?ai:client|app|account|access_key|user)[_-]?(?ai:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})"""
 UPPER_ID = r"(?<![A-Za-z0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])"
 OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"
 URL = r"[a-z][a-z0-9+]{1,20}://[^\s\"'<>]+"
@@ -101,25 +100,27 @@ def scan(docs: DataFrame) -> DataFrame:
 def linked(scanned: DataFrame) -> DataFrame:
     """Weak parts that complete a credential: ``(row, kind, start, stop)``.
 
-    An interval join within row and scope finds secrets (weak, assigned or hexadecimal) at most ``REACH`` characters
-    from identifiers (weak or access) and endpoints. An identifier counts with a secret, a secret with an identifier or
-    an endpoint, an endpoint with a secret that has an identifier too. Both sides carry a cell of ``REACH``
-    characters, and a part reaches the cells beside its own, so a cell holds a bounded number of parts.
+    Within a scope, however far apart, every part meets the nearest complementary parts before and behind it: one sorted pass
+    over the parts of a scope, in which no pairs are formed. Secrets are weak, assigned or hexadecimal ones, identifiers weak or access
+    ones. An identifier counts with a secret, a weak secret with an identifier or an endpoint, an endpoint with a secret that
+    has an identifier too.
     """
-    both = scanned.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("p")).select(
+    parts = scanned.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("p")).select(
         "row", "p.*", F.when(F.col("p.kind").isin("assign", "hex", "secret"), "secret").when(F.col("p.kind").isin("access", "identifier"), "identifier").otherwise("endpoint").alias("part"))
-    cell = lambda c: F.floor(c / REACH).cast("int")
-    secrets = both.where("part = 'secret'").select("row", "scope", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))).alias("cell"), F.col("kind").alias("s_kind"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
-    others = both.where("part <> 'secret'").withColumn("cell", F.explode(F.sequence(cell(F.col("start") - REACH), cell(F.col("stop") + REACH))))
-    near = (F.col("start") - F.col("s_stop") <= REACH) & (F.col("s_start") - F.col("stop") <= REACH)
-    pairs = secrets.join(others, ["row", "scope", "cell"]).where(near).select("row", "kind", "start", "stop", "part", "s_kind", "s_start", "s_stop").distinct()
-    has_id = pairs.groupBy("row", "s_kind", "s_start", "s_stop").agg(F.max(F.col("part") == "identifier").alias("has_id"))
-    ends = pairs.where("kind = 'endpoint'").join(has_id.where("has_id"), ["row", "s_kind", "s_start", "s_stop"])
-    return (
-        pairs.where("kind = 'identifier'").select("row", "kind", "start", "stop")
-        .unionByName(pairs.where("s_kind = 'secret'").select("row", F.col("s_kind").alias("kind"), F.col("s_start").alias("start"), F.col("s_stop").alias("stop")))
-        .unionByName(ends.select("row", "kind", "start", "stop")).distinct()
+    sweep = Window.partitionBy("row", "scope").orderBy("start", "stop", "kind")
+    before, behind = sweep.rowsBetween(Window.unboundedPreceding, -1), sweep.rowsBetween(1, Window.unboundedFollowing)
+
+    def nearest(part: str) -> Column:
+        place = F.when(F.col("part") == part, F.col("start"))
+        return F.coalesce(F.last(place, ignorenulls=True).over(before), F.first(place, ignorenulls=True).over(behind))
+
+    met = parts.withColumn("secret", nearest("secret")).withColumn("identifier", nearest("identifier")).withColumn("endpoint", nearest("endpoint"))
+    counts = (
+        F.when(F.col("kind") == "identifier", F.col("secret").isNotNull())
+        .when(F.col("kind") == "secret", F.coalesce("identifier", "endpoint").isNotNull())
+        .when(F.col("kind") == "endpoint", F.col("secret").isNotNull() & F.col("identifier").isNotNull())
     )
+    return met.where(counts).select("row", "kind", "start", "stop")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

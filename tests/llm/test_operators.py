@@ -129,9 +129,38 @@ def test_secrets(docs):
 
 def test_weak_parts_need_company(spark):
     blob = "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A"
-    rows = [(1, f'client_id = "abcd1234" {blob} https://x.example.com'), (2, blob), (3, f'client_id = "abcd1234"\n\n{blob}'), (4, f'client_id = "abcd1234"{" x" * 400} {blob}')]
+    lines = "\n".join(f"setting_{k} = on" for k in range(40))
+    rows = [(1, f'client_id = "abcd1234" {blob} https://x.example.com'), (2, blob), (3, f'client_id = "abcd1234"\n\n{blob}'), (4, f'client_id = "abcd1234"{" x" * 400} {blob}'),
+            (5, f'client_id = "abcd1234"\n{lines}\nkey {blob}'), (6, f"see https://x.example.com\n{blob}"), (7, 'client_id = "abcd1234" https://x.example.com'), (8, None)]
     found = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {1: ["identifier", "secret", "endpoint"], 2: [], 3: [], 4: []}
+    assert found == {1: ["identifier", "secret", "endpoint"], 2: [], 3: [], 4: ["identifier", "secret"], 5: ["identifier", "secret"], 6: ["secret"], 7: [], 8: []}
+
+
+def test_long_identifiers_are_read_to_their_end(spark):
+    name = "123456789012-" + "q1w2z3y4" * 8 + ".apps.example.com"
+    text = f'client_id = "{name}" Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A'
+    row = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(name) > 83 and [(s.kind, s.start, s.stop) for s in row.spans if s.kind == "identifier"] == [("identifier", 13, 13 + len(name))]
+
+
+def test_linking_by_brute_force(spark):
+    """Every scope by itself: which of its parts have company."""
+    rng = random.Random(21)
+    parts = ["client_id = ident%d", "AKIAABCDEFGHIJKLM%04d", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG%d", "password = hunter%d2", "https://h%d.example.com/x", "plain words %d"]
+    texts = ["\n".join(rng.choice(["", "", *parts, *parts]).replace("%d", str(rng.randrange(100, 999))).replace("%04d", "1234") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    scanned = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    part = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+    expected = {}
+    for r in scanned.collect():
+        held = {}
+        for p in [*r.base, *r.weak]:
+            held.setdefault(p.scope, []).append(p)
+        for p in r.weak:
+            others = {part[q.kind] for q in held[p.scope] if q is not p}
+            wants = {"identifier": "secret" in others, "secret": bool(others & {"identifier", "endpoint"}), "endpoint": {"secret", "identifier"} <= others}[p.kind]
+            expected.setdefault(r.doc_id, []).extend([(p.start, p.kind, p.stop)] if wants else [])
+    got = {r.doc_id: [(s.start, s.kind, s.stop) for s in r.spans if s.kind not in secret_scan.BASE] for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: sorted(expected.get(i, [])) for i in got} and sum(map(len, got.values())) > 100
 
 
 def base_pii(text):
@@ -294,6 +323,15 @@ def test_chat_reads_back(spark):
     assert later and all(w.formatted.startswith("<s>[INST] system") for w in later)
 
 
+def test_a_long_system_turn_stays(spark):
+    """It leads every window, however long, and what it takes past the budget is marked."""
+    for size, over in ((4_500, False), (20_000, True)):
+        rows = [(1, 0, "system", "rule " * (size // 5))] + [(1, k, "assistant" if k % 2 == 0 else "user", f"turn {k} " * 60) for k in range(1, 40)] + [(1, 50, "system", "more " * 300)]
+        windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect()
+        assert len(windows) > 3 and all(w.formatted.startswith("<s>[INST] system [/INST]rule rule") for w in windows)
+        assert any(w.over_budget for w in windows[1:]) == over, size
+
+
 def test_repeated_passages(spark):
     rng = random.Random(2)
     words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
