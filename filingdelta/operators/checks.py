@@ -13,7 +13,7 @@ from filingdelta.operators.classify import Lexicon
 from filingdelta.operators.containment import with_needles
 from filingdelta.operators.report import leading_page
 from filingdelta.operators.sections import parent_names, section_pages
-from filingdelta.operators.textdiff import text_diff_lines
+from filingdelta.operators.textdiff import text_match  # noqa: F401
 from filingdelta.session import materialise
 
 # Similarity bands and the confidence below which a section is flagged.
@@ -83,16 +83,6 @@ def missing_values(left: DataFrame, right: DataFrame, keys: Sequence[str], toler
     return lacking(one, two, 2).unionByName(lacking(two, one, 1))
 
 
-def text_match(pairs: DataFrame) -> DataFrame:
-    """Exact or partial match of each text pair, with the ratio of common lines."""
-    same = pairs.select("pair_id", (F.col("text1") == F.col("text2")).alias("_same"))
-    return text_diff_lines(pairs).join(same, "pair_id").select(
-        "pair_id",
-        F.when(F.col("_same"), "exact").when(F.col("match_ratio") > 0, "partial").otherwise("none").alias("match"),
-        F.when(F.col("_same"), 1.0).otherwise(F.col("match_ratio")).alias("match_ratio"),
-    )
-
-
 def similarity_band(similarity: Column) -> Column:
     return (
         F.when(similarity >= SIMILAR_FROM, "similar")
@@ -143,15 +133,18 @@ def compare_warnings(pairs: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def with_priority(differences: DataFrame, important: Sequence[str], focus: Sequence[str] = ()) -> DataFrame:
-    """high for important or focused sections, low for minor wording, medium otherwise, sorted by priority."""
+def with_priority(differences: DataFrame, important: Sequence[str], focus: Sequence[str] = (), then: Sequence[str] = ()) -> DataFrame:
+    """high for important or focused sections, low for minor wording, medium otherwise, sorted by priority, section and ``then``.
+
+    Priorities and sections are few: columns that tell their rows apart let the sort spread over as many tasks as it needs.
+    """
     section = F.col("section")
     priority = (
         F.when(section.isin(*important, *focus), "high")
         .when(F.coalesce(F.col("match_ratio") >= MINOR_RATIO, F.lit(False)), "low")
         .otherwise("medium")
     )
-    return differences.withColumn("priority", priority).orderBy(priority_rank(F.col("priority")), "section")
+    return differences.withColumn("priority", priority).orderBy(priority_rank(F.col("priority")), "section", *then)
 
 
 def priority_rank(value: Column) -> Column:

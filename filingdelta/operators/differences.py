@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from filingdelta.functions.numbers import TOLERANCE_PCT, extract_number_unit, normalise_unit, within_tolerance
 
@@ -75,7 +75,9 @@ def compare_numbers(
 
     ``mappings``: (pair_id, mapping_index, doc1_id, doc2_id, doc1_section,
     doc2_section); ``table_sections``: (document_id, section_name, table_id).
-    With ``scope="section"`` a mapping compares the tables of its two sections.
+    With ``scope="section"`` a mapping compares every table of its one section with every table of the other.
+    With ``scope="position"`` it compares the first table of the one with the first of the other and so on, in the order of
+    table_id: one join of cells, whose number does not grow with the tables' product.
     ``scope="cross"`` compares every table of one document with every table of
     the other, and repeats each difference for every mapping of the pair; its
     result is quadratic in the number of tables by definition, so the cells are
@@ -90,6 +92,8 @@ def compare_numbers(
         found = compare_tables(grid_pairs, cells)
         labels = mappings.select("pair_id", "mapping_index", F.col("doc1_section").alias("section"))
         return labels.join(found, "pair_id")
+    if scope == "position":
+        return _by_position(mappings, cells, table_sections)
     if scope != "section":
         raise ValueError(f"unknown scope: {scope}")
     one = table_sections.select(
@@ -108,3 +112,18 @@ def compare_numbers(
         "pair_id", "mapping_index", F.col("doc1_section").alias("section"), "table1", "table2"
     )
     return labels.join(found, ["pair_id", "table1", "table2"])
+
+
+def _by_position(mappings: DataFrame, cells: DataFrame, table_sections: DataFrame) -> DataFrame:
+    """Cells of a mapping's sections, joined on the place of their table in the section, row and column."""
+    order = Window.partitionBy("document_id", "section_name").orderBy("table_id")
+    placed = table_sections.select("document_id", "section_name", "table_id", F.row_number().over(order).alias("table_position"))
+    numbers = with_numbers(cells).join(placed, ["document_id", "table_id"])
+
+    def side(n: int) -> DataFrame:
+        return mappings.select("pair_id", "mapping_index", F.col(f"doc{n}_id").alias("document_id"), F.col(f"doc{n}_section").alias("section_name")).join(
+            numbers, ["document_id", "section_name"]
+        )
+
+    found = compare_cells(side(1), side(2), ["pair_id", "mapping_index", "table_position"])
+    return mappings.select("pair_id", "mapping_index", F.col("doc1_section").alias("section")).join(found, ["pair_id", "mapping_index"])

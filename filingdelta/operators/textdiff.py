@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Compared leading characters and listed pieces per kind.
 COMPARED_CHARS, LISTED_PIECES = 5_000, 10
@@ -59,17 +59,18 @@ def text_diff_chars(pairs: DataFrame, max_chars: int | None = COMPARED_CHARS, li
 
 
 def _line_counts(pairs: DataFrame, ignore_punctuation: bool) -> DataFrame:
-    def side(text: str, flag1: int, flag2: int) -> DataFrame:
+    """Copies of every line on both sides, and whether the pair's texts are equal; the pairs are read once."""
+    def lines(text: str, flag1: int, flag2: int) -> Column:
         source = F.col(text)
         if ignore_punctuation:
             source = F.regexp_replace(source, r"(?U)[\p{Punct}、。]", "")
-        return pairs.where((F.col("text1") != "") & (F.col("text2") != "")).select(
-            "pair_id", F.explode(F.split(source, "\n")).alias("line"),
-            F.lit(flag1).alias("_one"), F.lit(flag2).alias("_two"),
-        )
+        return F.transform(F.split(source, "\n"), lambda line: F.struct(line.alias("line"), F.lit(flag1).alias("one"), F.lit(flag2).alias("two")))
 
-    return side("text1", 1, 0).unionByName(side("text2", 0, 1)).groupBy("pair_id", "line").agg(
-        F.sum("_one").alias("n1"), F.sum("_two").alias("n2")
+    both = pairs.where((F.col("text1") != "") & (F.col("text2") != "")).select(
+        "pair_id", (F.col("text1") == F.col("text2")).alias("_same"), F.explode(F.concat(lines("text1", 1, 0), lines("text2", 0, 1))).alias("_l")
+    )
+    return both.groupBy("pair_id", F.col("_l.line").alias("line")).agg(
+        F.sum("_l.one").alias("n1"), F.sum("_l.two").alias("n2"), F.max("_same").alias("same")
     )
 
 
@@ -90,6 +91,10 @@ def line_changes(pairs: DataFrame, ignore_punctuation: bool = False) -> DataFram
 
 def text_diff_lines(pairs: DataFrame, ignore_punctuation: bool = False) -> DataFrame:
     """Per pair: common, added and removed line counts and the ratio 2 * common / total."""
+    return _line_totals(pairs, ignore_punctuation).drop("same")
+
+
+def _line_totals(pairs: DataFrame, ignore_punctuation: bool) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n2")
     return (
         _line_counts(pairs, ignore_punctuation)
@@ -98,8 +103,17 @@ def text_diff_lines(pairs: DataFrame, ignore_punctuation: bool = False) -> DataF
             F.sum(F.least(n1, n2)).alias("common_lines"),
             F.sum(F.greatest(n2 - n1, F.lit(0))).alias("added_lines"),
             F.sum(F.greatest(n1 - n2, F.lit(0))).alias("removed_lines"),
-            F.sum(n1 + n2).alias("_total"),
+            F.sum(n1 + n2).alias("_total"), F.max("same").alias("same"),
         )
         .withColumn("match_ratio", F.try_divide(F.col("common_lines") * 2.0, F.col("_total")))
         .drop("_total")
     )
+
+
+def text_match(pairs: DataFrame) -> DataFrame:
+    """Exact or partial match of each text pair, with the ratio of common lines."""
+    return _line_totals(pairs, False).select(
+        "pair_id",
+        F.when(F.col("same"), "exact").when(F.col("match_ratio") > 0, "partial").otherwise("none").alias("match"),
+        F.when(F.col("same"), 1.0).otherwise(F.col("match_ratio")).alias("match_ratio"),
+    )

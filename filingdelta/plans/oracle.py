@@ -579,6 +579,18 @@ SELECT pair_id, CAST(CASE s1 WHEN 'small' THEN 1 ELSE 2 END AS BIGINT) AS mappin
   round(max(abs(difference_pct)), 6) AS largest_pct
 FROM (SELECT *, CASE WHEN table_id IN ('SMALL', 'ECONOMY') THEN 'small' ELSE 'large' END AS s1, CASE WHEN table2 IN ('SMALL', 'ECONOMY') THEN 'small' ELSE 'large' END AS s2 FROM cell_diffs)
 WHERE s1 = s2 GROUP BY pair_id, s1, table_id, table2""",
+    "e12_numbers_by_position": """
+WITH placed AS (
+  SELECT document_id, section, table_id, row_number() OVER (PARTITION BY document_id, section ORDER BY table_id) AS n
+  FROM (SELECT DISTINCT document_id, CASE WHEN table_id IN ('SMALL', 'ECONOMY') THEN 'small' ELSE 'large' END AS section, table_id FROM cells)
+), one AS (SELECT p.section, p.n, c.* FROM placed p JOIN cell_base c USING (document_id, table_id))
+SELECT p.pair_id, CAST(CASE a.section WHEN 'small' THEN 1 ELSE 2 END AS BIGINT) AS mapping_index, a.section, CAST(a.n AS INTEGER) AS table_position, a."row", a."col", a.item_name,
+  a.value AS value1, b.value AS value2, round(a.base - b.base, 4) AS difference, round(CASE WHEN a.base <> 0 THEN (a.base - b.base) / abs(a.base) * 100 END, 6) AS difference_pct, a.base_unit AS normalized_unit
+FROM month_pairs p JOIN one a ON p.doc1_id = a.document_id AND a."col" >= 1
+JOIN one b ON p.doc2_id = b.document_id AND a.section = b.section AND a.n = b.n AND a."row" = b."row" AND a."col" = b."col"
+WHERE a.value IS NOT NULL AND b.value IS NOT NULL
+  AND NOT CASE WHEN a.base = 0 AND b.base = 0 THEN TRUE WHEN a.base = 0 OR b.base = 0 THEN FALSE
+    ELSE abs(a.base - b.base) / greatest(abs(a.base), abs(b.base)) * 100 <= 0.01 END""",
     "e14_text_line_diff": """
 SELECT pair_id, CAST(sum(least(n1, n2)) AS BIGINT) AS common_lines, CAST(sum(greatest(n2 - n1, 0)) AS BIGINT) AS added_lines,
   CAST(sum(greatest(n1 - n2, 0)) AS BIGINT) AS removed_lines, round(sum(least(n1, n2)) * 2.0 / sum(n1 + n2), 6) AS match_ratio

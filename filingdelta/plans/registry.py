@@ -741,6 +741,15 @@ def e12(t: Tables) -> DataFrame:
     )
 
 
+@register("e12_numbers_by_position")
+def e12_position(t: Tables) -> DataFrame:
+    found = differences.compare_numbers(_month_mappings(t), t.shared("cells"), _month_table_sections(t), "position")
+    return found.select(
+        "pair_id", "mapping_index", "section", "table_position", "row", "col", "item_name", "value1", "value2",
+        F.round("difference", 4).alias("difference"), F.round("difference_pct", 6).alias("difference_pct"), "normalized_unit",
+    )
+
+
 @register("e13_text_match_ratio")
 def e13(t: Tables) -> DataFrame:
     found = textdiff.text_diff_chars(t.text_pairs(textdiff.COMPARED_CHARS))
@@ -1202,7 +1211,7 @@ def p7(t: Tables) -> DataFrame:
     rows = t.shared("reviews").select(
         "comparison_id", "mapping_index", F.col("section_name").alias("section"), (F.col("o_totalprice") / 400000).alias("match_ratio")
     )
-    return checks.with_priority(rows, ["1-URGENT"], ["2-HIGH"]).select("comparison_id", "mapping_index", "section", "priority")
+    return checks.with_priority(rows, ["1-URGENT"], ["2-HIGH"], ["comparison_id", "mapping_index"]).select("comparison_id", "mapping_index", "section", "priority")
 
 
 EXPECTED_SECTIONS = ["Appendix", "Preface", "S0 - T0 - U0", "S0 - T1 - U2"]

@@ -28,12 +28,14 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> Data
 def intake(uploads: DataFrame, lexicon: Lexicon, max_mb: float = 50) -> DataFrame:
     """Validate, classify and gate a batch; a stream does so with each micro-batch.
 
-    Text decoding is outside this library: the sample is the file's leading
-    bytes read as UTF-8. Rejected uploads are not classified.
+    Text decoding is outside this library: where the uploads carry a ``text_sample`` of their pages that is classified,
+    else the file's leading bytes read as UTF-8. Rejected uploads are not classified.
     """
     checked = validate(uploads, max_mb)
     accepted = F.col("status") == "accepted"
     sample = F.make_valid_utf8(F.substring("content", 1, SAMPLE_CHARS).cast("string"))
+    if "text_sample" in uploads.columns:
+        sample = F.coalesce("text_sample", sample)
     typed = classify(
         checked.withColumn("text_sample", F.when(accepted, sample)).drop("content"), lexicon
     ).drop("text_sample")

@@ -172,6 +172,10 @@ def test_compare_numbers(spark):
     assert run("section") == want([(1, "S", "t1", "t1"), (1, "S", "t2", "t1"), (2, "T", "t1", "t3"), (2, "T", "t1", "t1")])
     names = ("t1", "t2", "t3")
     assert run("cross") == want([(i, s, x, y) for i, s in ((1, "S"), (2, "T")) for x in names for y in names])
+    # By position: the n-th table of the one section with the n-th of the other.
+    got = sorted((r.mapping_index, r.section, r.table_position, r["row"], r.col, r.item_name, r.value1, r.value2, r.difference)
+                 for r in differences.compare_numbers(mappings, frame, places, "position").collect())
+    assert got == sorted((i, s, n, *d) for i, s, n, t1, t2 in [(1, "S", 1, "t1", "t1"), (2, "T", 1, "t1", "t1")] for d in plain_tables(tables["a", t1], tables["b", t2]))
     with pytest.raises(ValueError):
         differences.compare_numbers(mappings, frame, places, "all")
 

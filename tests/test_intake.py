@@ -71,6 +71,16 @@ def test_classify(spark, lexicon):
     assert got[5] == ("a", 0.67, ["one", "five"], "Type A")
 
 
+def test_intake_reads_page_text(spark, lexicon):
+    """Page text, where an upload has it, is what is classified; files without are read as they are."""
+    from filingdelta.streaming.intake import intake as take
+
+    rows = [("a.pdf", PDF, "one five"), ("b.pdf", PDF + b" two three", None), ("c.txt", b"two", "one")]
+    df = spark.createDataFrame([(n, c, len(c), "application/pdf", t) for n, c, t in rows], "filename string, content binary, size_bytes long, content_type string, text_sample string")
+    got = {r.filename: (r.detected_type, r.status) for r in take(df, lexicon).collect()}
+    assert got == {"a.pdf": ("a", "accepted"), "b.pdf": ("b", "accepted"), "c.txt": (None, "rejected")}
+
+
 def test_replies(spark, lexicon):
     replies = {
         1: '{"document_type": "b", "confidence": 0.125, "reason": "r"}', 2: '{"document_type": "zzz", "confidence": 1}', 3: "{bad", 4: "null", 5: "",
