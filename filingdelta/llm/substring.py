@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ MIN_WORDS = 15
 # the same, and no more than REACH words of the run lie before or behind it that another anchor of the run does not reach.
 PASSAGE, ANCHOR = 51, 15
 REACH = PASSAGE - ANCHOR
+MARKS = 4
 BLANK_BYTES = (9, 10, 11, 12, 13, 32)
 
 
@@ -92,8 +95,8 @@ def anchors(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, gram[at]
 
 
-def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every paragraph's words in order, and its band keys."""
+def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of every paragraph's words in order, its band keys, and the ``MARKS`` * 64 bits that its shingles set."""
     n, sizes = len(hashes), np.diff(np.append(begins, len(hashes)))
     place = np.arange(n) - np.repeat(begins, sizes)
     powers = np.multiply.accumulate(np.full(int(sizes.max()), _odd(91), dtype=np.uint64))
@@ -109,17 +112,20 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) ->
         for row in range(rows):
             turned = np.where(real, mix(shingles ^ _odd(101 + band * rows + row)), np.uint64(2**64 - 1))
             keys[band] = mix(keys[band] + np.minimum.reduceat(turned, begins) + np.uint64(band + 1))
-    return whole, keys
+    spread = mix(shingles)
+    bits = np.where(real, np.uint64(1) << (spread >> np.uint64(58)), np.uint64(0))
+    marks = [np.bitwise_or.reduceat(np.where(spread % np.uint64(MARKS) == k, bits, np.uint64(0)), begins) for k in range(MARKS)]
+    return whole, keys, np.stack(marks)
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(row, doc_id, level, no, start, stop, n_words, h, bands, text)`` of ``docs(doc_id, text)``, places in code points.
+    """``(row, doc_id, level, no, start, stop, n_words, h, bands, marks, text)`` of ``docs(doc_id, text)``, places in code points.
 
     Level 1 has the paragraphs with their texts, those of at least ``MIN_WORDS`` words with band keys; level 2 the anchors, whose
     ``no`` is the number of their first word.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("level", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()),
-                        ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
+                        ("h", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         word_bytes = np.ones(256, dtype=bool)
@@ -134,7 +140,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             lengths = np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)
             offset = points[np.concatenate([[0], np.cumsum(lengths)[:-1]])]
             begins = cut(hashes, firsts, line_starts(data, starts, firsts))
-            whole, keys = signatures(hashes, begins, bands, rows)
+            whole, keys, marks = signatures(hashes, begins, bands, rows)
             ends = np.append(begins[1:], len(hashes)) - 1
             # The last text that starts at a word owns it; empty texts before it own none.
             text = np.searchsorted(firsts, begins, side="right") - 1
@@ -149,6 +155,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 "start": (points[starts[begins]] - offset[text]).astype(np.int32), "stop": (points[stops[ends]] - offset[text]).astype(np.int32),
                 "n_words": (ends - begins + 1).astype(np.int32), "h": mix(whole + np.uint64(1)).view(np.int64),
                 "bands": pa.ListArray.from_arrays(np.cumsum(listed, dtype=np.int32), np.ascontiguousarray(keys.T[own]).reshape(-1).view(np.int64)),
+                "marks": pa.ListArray.from_arrays(np.cumsum(listed // bands * MARKS, dtype=np.int32), np.ascontiguousarray(marks.T[own]).reshape(-1).view(np.int64)),
                 "text": [raw[x:y].decode() for x, y in zip(starts[begins].tolist(), stops[ends].tolist())],
             }
             at, h = anchors(hashes, firsts)
@@ -156,10 +163,10 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield {
                 "doc_id": batch.column("doc_id").take(pa.array(text)), "nth": (base + text).astype(np.int32), "level": np.full(len(at), 2, dtype=np.int32), "no": (at - firsts[text]).astype(np.int32),
                 "start": (points[starts[at]] - offset[text]).astype(np.int32), "stop": (points[stops[at + ANCHOR - 1]] - offset[text]).astype(np.int32), "n_words": np.full(len(at), ANCHOR, dtype=np.int32),
-                "h": mix(h + np.uint64(2)).view(np.int64), "bands": pa.nulls(len(at), pa.list_(pa.int64())), "text": pa.nulls(len(at), pa.string()),
+                "h": mix(h + np.uint64(2)).view(np.int64), "bands": pa.nulls(len(at), pa.list_(pa.int64())), "marks": pa.nulls(len(at), pa.list_(pa.int64())), "text": pa.nulls(len(at), pa.string()),
             }
 
-    sql = "doc_id long, nth int, level int, no int, start int, stop int, n_words int, h long, bands array<long>, text string"
+    sql = "doc_id long, nth int, level int, no int, start int, stop int, n_words int, h long, bands array<long>, marks array<long>, text string"
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     found = arrow_map(source, run, schema, sql)
     # A row of `docs` is its task and its place in it; both are fixed once the paragraphs are written.
@@ -187,58 +194,76 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(joined.select("a", "b", "ta", "tb"), run, schema, "a long, b long, alike boolean")
 
 
+def may_be_alike(a: str, b: str) -> Column:
+    """False only where the marks rule out the similarity.
+
+    A bit that only one side sets stands for a shingle of that side alone: with x such bits of A, the common shingles are at most those of A
+    less x, and all shingles are at least those of B and x.
+    """
+    def fits(one: str, two: str) -> Column:
+        alone = reduce(add, [F.bit_count(F.col(f"{one}_marks")[k].bitwiseAND(F.bitwise_not(F.col(f"{two}_marks")[k]))) for k in range(MARKS)])
+        least = reduce(add, [F.bit_count(F.col(f"{two}_marks")[k]) for k in range(MARKS)])
+        return F.greatest(F.col(f"{one}_words") - SHINGLE + 1, F.lit(1)) - alone >= SIMILARITY * (least + alone)
+
+    return fits(a, b) & fits(b, a)
+
+
 def similar(units: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between hashes of different paragraphs that join all that collide in a band and are alike.
 
-    A bucket's members are first held against its least one, which joins nearly all of a group of copies at one
-    comparison per member. Members that this leaves outside the least one's component are then held against all
-    members of the bucket in other components. Pairs inside a component need no test, so no link that would join two
-    components is lost.
+    A bucket's members are first held against the one that has the most copies, which joins nearly all of a group of near copies at
+    one comparison per member. Members that this leaves outside that one's component are then held against all
+    members of the bucket in other components that their marks do not rule out. Pairs inside a component need no test, so no
+    link that would join two components is lost.
     """
-    # Equal paragraphs are one: their bands are the same.
+    # Equal paragraphs are one: their bands and marks are the same.
     own = units.where((F.col("level") == 1) & (F.col("n_words") >= MIN_WORDS))
-    distinct = own.select("h", "bands").dropDuplicates(["h"])
-    keyed = distinct.select("h", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a")
-    members = written(keyed.join(buckets, "key").where("h <> a"), "members")
+    copies = own.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.first("bands").alias("bands"))
+    keyed = copies.select("h", "n", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.max(F.struct("n", "h")).alias("c"), F.count("*").alias("_m")).where("_m > 1").select("key", F.col("c.h").alias("a"))
+    members = written(keyed.select("h", "key").join(buckets, "key").where("h <> a"), "members")
     wanted = written(members.select("h").union(members.select("a")).distinct(), "colliding")
     normal = F.array_join(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), " ")
-    texts = own.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = written(texts.select("h", normal.alias("text")), "texts")
-    first = written(verified(members.select("a", F.col("h").alias("b")).distinct(), texts).where("alike").select("a", "b"), "alike")
+    texts = own.select("h", "text", "marks", "n_words").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = written(texts.select("h", normal.alias("text"), "marks", F.col("n_words").alias("words")), "texts")
+    bound = lambda c: texts.select(F.col("h").alias(c), F.col("marks").alias(f"{c}_marks"), F.col("words").alias(f"{c}_words"))
+    near = members.select("a", F.col("h").alias("b")).distinct().join(bound("a"), "a").join(bound("b"), "b").where(may_be_alike("a", "b")).select("a", "b")
+    first = written(verified(near, texts).where("alike").select("a", "b"), "alike")
     placed = connected_components(first)
     root = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    held = members.join(root("h"), "h", "left").join(root("a"), "a", "left").select("key", "a", "h", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("h_root", "h").alias("h_root"))
-    held = written(held, "held")
-    outside = held.where("h_root <> a_root").select("key", F.col("h").alias("f"), F.col("h_root").alias("f_root"))
-    rest = outside.join(held.select("key", "h", "h_root"), "key").where("f_root <> h_root").select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b")).distinct()
+    held = members.join(root("h"), "h", "left").join(root("a"), "a", "left").select("key", "h", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("h_root", "h").alias("h_root"))
+    held = written(held.join(bound("h"), "h"), "held")
+    outside = held.where("h_root <> a_root").select(F.col("key").alias("f_key"), F.col("h").alias("f"), F.col("h_root").alias("f_root"), F.col("h_marks").alias("f_marks"), F.col("h_words").alias("f_words"))
+    crossing = (F.col("f_key") == F.col("key")) & (F.col("f_root") != F.col("h_root")) & may_be_alike("f", "h")
+    rest = outside.join(held, crossing).select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b")).distinct()
     return first.unionByName(verified(rest, texts).where("alike").select("a", "b"))
 
 
 def surroundings(held: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds to repeated anchors the hashes of up to ``REACH`` words before (nearest first) and behind, and where these start and stop."""
+    """Adds to repeated anchors the 32-bit hashes of up to ``REACH`` words before (nearest first) and behind, and where these start and stop, from the anchor's place."""
     words = re.compile(r"[^\x20\x09-\x0D]+")
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("class", pa.int64()), ("removed", pa.int32()), ("left", longs), ("right", longs), ("starts", ints), ("stops", ints)])
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("class", pa.int64()), ("removed", pa.int32()), ("place", pa.int32()), ("left", ints), ("right", ints), ("starts", ints), ("stops", ints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row, doc_id, found, parts in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found", "parts"))):
                 spans = [(p["start"] + m.start(), p["start"] + m.end(), m[0]) for p in parts for m in words.finditer(p["text"])]
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w) for *_, w in spans), dtype=np.uint64, count=len(spans)).view(np.int64)
+                hashes = np.fromiter((xxhash.xxh32_intdigest(w) for *_, w in spans), dtype=np.uint32, count=len(spans)).view(np.int32)
                 starts, stops = (np.array([s[k] for s in spans], dtype=np.int32) for k in (0, 1))
                 for a in range(0, len(found), 10_000):
                     some = found[a:a + 10_000]
                     places = [(max(0, f["no"] - REACH), f["no"], f["no"] + ANCHOR) for f in some]
                     yield {
                         "row": [row] * len(some), "doc_id": [doc_id] * len(some), "no": [f["no"] for f in some], "class": [f["class"] for f in some], "removed": [f["removed"] for f in some],
+                        "place": [starts[at] for _, at, _ in places],
                         "left": [hashes[low:at][::-1] for low, at, _ in places], "right": [hashes[end:end + REACH] for *_, end in places],
-                        "starts": [starts[low:at + 1][::-1] for low, at, _ in places], "stops": [stops[end - 1:end + REACH] for *_, end in places],
+                        "starts": [starts[low:at + 1][::-1] - starts[at] for low, at, _ in places], "stops": [stops[end - 1:end + REACH] - starts[at] for _, at, end in places],
                     }
 
     found = held.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("no", "class", "removed")).alias("found"))
     parts = units.where("level = 1").join(held.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "start", "text"))).alias("parts"))
-    sql = "row long, doc_id long, no int, class long, removed int, left array<long>, right array<long>, starts array<int>, stops array<int>"
+    sql = "row long, doc_id long, no int, class long, removed int, place int, left array<int>, right array<int>, starts array<int>, stops array<int>"
     return arrow_map(found.join(parts, "row").select("row", "doc_id", "found", "parts"), run, schema, sql)
 
 
@@ -257,7 +282,7 @@ def exact_stretches(held: DataFrame, units: DataFrame) -> DataFrame:
 
     found = surroundings(held, units).withColumn("to_left", furthest("left")).withColumn("to_right", furthest("right"))
     found = found.select("row", "doc_id", "class", "removed", (F.col("no") - F.col("to_left")).alias("first"), (F.col("no") + ANCHOR + F.col("to_right")).alias("end"),
-                         F.get("starts", F.col("to_left")).alias("start"), F.get("stops", F.col("to_right")).alias("stop")).where(F.col("end") - F.col("first") >= PASSAGE)
+                         (F.col("place") + F.get("starts", F.col("to_left"))).alias("start"), (F.col("place") + F.get("stops", F.col("to_right"))).alias("stop")).where(F.col("end") - F.col("first") >= PASSAGE)
     by_row = Window.partitionBy("row").orderBy("first", "end")
     reached = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))
@@ -281,6 +306,18 @@ def islands(members: DataFrame) -> DataFrame:
     return members.withColumn("stretch", F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no")))
 
 
+def reported(paragraphs: DataFrame, members: DataFrame) -> DataFrame:
+    """``(row, s, e)``: where paragraphs of several follow each other, with up to three short lines (under ``PASSAGE`` words) between them."""
+    ours = members.select("row", "no", F.lit(True).alias("ours"))
+    rows = paragraphs.join(members.select("row").distinct(), "row", "left_semi").join(ours, ["row", "no"], "left")
+    by_row = Window.partitionBy("row").orderBy("no")
+    single = F.col("ours").isNull() & (F.col("n_words") >= MIN_WORDS)
+    kept = rows.withColumn("part", F.sum(single.cast("int")).over(by_row)).where("ours")
+    by_part = Window.partitionBy("row", "part").orderBy("no")
+    new = F.coalesce((F.col("no") - F.lag("no").over(by_part) > 4).cast("int"), F.lit(1))
+    return kept.withColumn("new", new).withColumn("island", F.sum("new").over(by_part)).groupBy("row", "part", "island").agg(F.min("start").alias("s"), F.max("stop").alias("e"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Stretches of ``docs(doc_id, text)`` that repeat across or inside documents: one row per stretch.
 
@@ -288,7 +325,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     (paragraphs of the stretch that are not the first of their class), n_paragraphs. Paragraphs (level 1) are lines, long ones in parts;
     they are equal, or similar by at least ``SIMILARITY`` on five-word shingles, directly or over others. Level 2 has every run of at
     least ``PASSAGE`` equal words, wherever it stands, to the word; runs that overlap or touch are one stretch. Anchors inside paragraphs
-    that are equal to others take no part: these are repeats as a whole. The first of a class, by doc_id and place, stays. Paragraphs
+    of level 1, or between two such with a few short lines only, take no part: these are reported as a whole. The first of a class, by doc_id and place, stays. Paragraphs
     of fewer than ``MIN_WORDS`` words count in runs only. Null or empty texts have none; repeated rows repeat each other; a null
     doc_id comes first. Other columns are not read.
     """
@@ -301,9 +338,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = islands(lines).groupBy("row", "level", "stretch").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("long").alias("n_words"),
         F.min("class").alias("class_id"), F.sum("removed").cast("long").alias("removed"), F.count("*").alias("n_paragraphs"))
-    twins = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    equal = islands(lines.join(twins, "h", "left_semi")).groupBy("row", "stretch").agg(F.min("start").alias("s"), F.max("stop").alias("e"))
-    covered = equal.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
+    covered = reported(slim.where("level = 1"), lines).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
     marks = slim.where("level = 2").withColumn("class", F.col("h"))
     often = marks.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
     loose = marks.join(often, "class", "left_semi").join(covered, "row", "left")
