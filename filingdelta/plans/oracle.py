@@ -435,7 +435,7 @@ SELECT s.document_id, b.kind AS detected_type, {_LABEL.format('b.kind')} AS dete
     "c1_catalogue_keywords": """
 SELECT d.doc_id AS document_id, 'item' || lpad(CAST(b.item_id AS VARCHAR), 9, '0') AS detected_type,
   CASE WHEN b.item_id IS NOT NULL THEN COALESCE(w.label, 'item' || lpad(CAST(b.item_id AS VARCHAR), 9, '0')) END AS detected_type_label,
-  round(CAST(b.m AS DOUBLE) / t.total, 2) AS detection_confidence, CAST(b.m AS INTEGER) AS n_matched
+  round_even(CAST(b.m AS DOUBLE) / t.total, 2) AS detection_confidence, CAST(b.m AS INTEGER) AS n_matched
 FROM documents d LEFT JOIN catalogue_best b ON d.doc_id = b.doc_id
 LEFT JOIN catalogue_words w ON w.item_id = b.item_id LEFT JOIN catalogue_totals t ON t.item_id = b.item_id""",
     "c2_collect_keywords": """
