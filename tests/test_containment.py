@@ -36,6 +36,22 @@ def test_needles(spark, sizes):
     assert {len(r.hits) for r in with_needles(df, F.col("t"), spark.createDataFrame([], "n int, needle string"), "hits", sizes).collect()} == {0}
 
 
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_needles_of_a_catalogue(spark, few):
+    """Sentences, parts of them and short words in long texts and lines; few needles move no row, any number gives the same."""
+    rng = random.Random(5)
+    words = ["rente", "été", "日本", "profit", "a", "the", "margin🎉", "x" * 90]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [said(rng.randrange(0, 400)) for _ in range(80)] + [said(3) for _ in range(300)] + ["", None, "été", "the margin" * 30_000]
+    needles = list(enumerate([said(rng.randrange(1, 7)) for _ in range(120)] + words + ["é", "t", "本 p", "e th", None, "", "the", "nowhere at all"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(5)
+    found = with_needles(df, F.col("t"), spark.createDataFrame(needles, "n int, needle string"), "hits", few=few)
+    got = {r.i: sorted((h.n, h.needle) for h in r.hits) for r in found.collect()}
+    assert got == {i: sorted((k, n) for k, n in needles if t is not None and n and n in t) for i, t in enumerate(texts)}
+    if few:
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_keywords(spark):
     """100,000 keywords: no plan grows with them and none is left out."""
     words = spark.range(100_000).select(F.concat(F.lit("kind"), (F.col("id") % 5_000).cast("string")).alias("kind"), (F.col("id") / 5_000).cast("int").alias("ordinal"), F.concat(F.lit("Wort "), F.hex("id"), F.lit("!")).alias("keyword"))
