@@ -79,6 +79,17 @@ def test_dashboard_progress_and_outcomes(spark, rows):
     assert out == {"1": ("completed", None), "2": ("skipped", "unknown_type"), "3": ("failed", None), "4": ("skipped", "unknown_type")}
 
 
+def test_large_exports_are_many_files(spark, tmp_path):
+    """Quoted line breaks keep a file in one task, so no file holds more than its share, whatever the number of tasks."""
+    rows = spark.range(0, 2 * exports.FILE_ROWS + 5, 1, 1).select(F.col("id").cast("string").alias("id"), F.concat(F.lit('a "b"\n'), F.col("id").cast("string")).alias("text"))
+    path = os.path.join(tmp_path, "csv")
+    exports.write_csv(rows, path)
+    back = exports.read_csv(spark, path, "id string, text string")
+    sizes = sorted(r["count"] for r in back.groupBy(F.input_file_name()).count().collect())
+    assert sizes == [5, exports.FILE_ROWS, exports.FILE_ROWS]
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [('a "quoted", name', 1, None, 'line\nbreak'), ("", 2, 0.12345, " padded "), ("x", None, float("nan"), None)]
     df = spark.createDataFrame([("d", n, s, s, 7, c, t, None) for n, s, c, t in rows],
