@@ -248,6 +248,38 @@ def plain_key(rel):
     return f"{kind}:{(rel.get('original_text') or '')[:100]}"
 
 
+def test_matcher_is_the_librarys(spark):
+    """Long and short texts, with and without left-out characters: the pieces are difflib's, and equal texts need no search."""
+    rng = random.Random(8)
+
+    def text(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def changed(t):
+        for _ in range(rng.randrange(1, 9)):
+            at, n = rng.randrange(len(t) + 1), rng.randrange(0, 60)
+            t = t[:at] + rng.choice(["", text("xyz é", n), t[:n]]) + t[at + rng.randrange(0, 40):]
+        return t
+
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 220))) + "🎉 e"
+    pairs = []
+    for letters, n in [("ab", 150), ("abc\n", 1_500), (many, 900), (many, 4_000), (many + "e" * 400, 3_000), ("a", 1_200)]:
+        for _ in range(3):
+            one = text(letters, n)
+            pairs += [(one, changed(one)), (one, text(letters, n)), (one, one), (one, text("q", 50))]
+    used = 0
+    for one, two in pairs:
+        mine, library = textdiff._Matcher(None, one, two), difflib.SequenceMatcher(None, one, two)
+        assert (mine.get_opcodes(), mine.ratio()) == (library.get_opcodes(), library.ratio())
+        used += mine.pairs is not None
+    assert used > 20
+    rows = {r.pair_id: r for r in textdiff.text_diff_chars(spark.createDataFrame([(str(k), *p) for k, p in enumerate(pairs)], "pair_id string, text1 string, text2 string")).collect()}
+    for k, (one, two) in enumerate(pairs):
+        library = difflib.SequenceMatcher(None, one, two)
+        parts = [(one[a:b], two[c:d]) for tag, a, b, c, d in library.get_opcodes() if tag == "replace"][:10]
+        assert rows[str(k)].match_ratio == library.ratio() and [tuple(x) for x in rows[str(k)].changed_text] == parts
+
+
 def test_compare_relations(spark):
     rng = random.Random(9)
 
