@@ -7,6 +7,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,17 @@ def plain_key(rel):
     return f"{kind}:{(rel.get('original_text') or '')[:100]}"
 
 
+def test_blocks_reach_python_in_small_batches(spark):
+    """A batch of blocks is bounded in bytes: a worker holds a few blocks, however many its task has."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    block = F.transform(F.sequence(F.lit(1), F.lit(131_072)), lambda x: x.cast("double") + F.col("id"))
+    found = spark.range(0, 40, 1, 1).select(block.alias("items")).mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in found) == 40 and max(r.size for r in found) <= 18 << 20
+
+
 def test_matcher_is_the_librarys(spark):
     """Long and short texts, with and without left-out characters: the pieces are difflib's, and equal texts need no search."""
     rng = random.Random(8)
