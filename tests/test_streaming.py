@@ -6,6 +6,8 @@ import datetime as dt
 import os
 
 
+from pyspark.sql import Row
+
 from filingdelta.operators.classify import Lexicon
 from filingdelta.streaming import intake, retention, status
 
@@ -114,3 +116,52 @@ def test_expiry_of_late_records(spark, tmp_path):
     out = os.path.join(tmp_path, "out")
     retention.run_expiry(stream, out, os.path.join(tmp_path, "mark")).awaitTermination()
     assert sorted(r.document_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "5"]
+
+
+class _Handle:
+    """Keyed state of one task in plain Python; every call counts."""
+
+    def __init__(self):
+        self.values, self.timers, self.key, self.calls = {}, set(), None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.values.get(self.key)
+
+    def exists(self):
+        self.calls += 1
+        return self.key in self.values
+
+    def update(self, value):
+        self.calls += 1
+        self.values[self.key] = value
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add((ms, self.key))
+
+
+class _Times:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_old_records_wait_for_no_timer():
+    """A newer record of the same task proves that a record is too old: three state calls, and no timer fires for it."""
+    hour = 3_600_000
+    handle, processor = _Handle(), retention.Retention(24)
+    processor.init(handle)
+
+    def told(name, *hours):
+        handle.key, handle.calls = (0, name), 0
+        out = list(processor.handleInputRows(handle.key, iter([Row(created_us=h * hour * 1000) for h in hours]), _Times()))
+        return [(r.document_id, r.created_us // (hour * 1000)) for r in out], handle.calls
+
+    assert told("new", 40) == ([], 3)
+    assert told("old", 12, 10) == ([("old", 10)], 3)
+    assert told("edge", 16) == ([], 3)
+    assert told("old", 3) == ([], 1)
+    assert handle.timers == {(64 * hour + 1, (0, "new")), (40 * hour + 1, (0, "edge")), (64 * hour, (0, "old"))}
