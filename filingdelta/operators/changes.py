@@ -114,10 +114,13 @@ def compare_relations(mappings: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations added, removed or modified between the two sections of a mapping.
 
     ``relations``: (document_id, section_name, pos, relation struct). The last
-    relation of a key wins; that choice is made before the join.
+    relation of a key wins; that choice is made before the join. Relations move
+    to their document without their key: the choice finds them there, and so
+    does the join with the mappings where the document decides it.
     """
     last = (
-        relations.withColumn("relation_key", relation_key(F.col("relation")))
+        relations.repartition("document_id")
+        .withColumn("relation_key", relation_key(F.col("relation")))
         .groupBy("document_id", "section_name", "relation_key")
         .agg(F.max_by("relation", "pos").alias("relation"))
     )

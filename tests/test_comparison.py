@@ -372,3 +372,27 @@ def test_search_gate_and_summary(spark):
     rows = spark.createDataFrame([(i, "base", f) for i, (f, _) in enumerate(cases)], "i int, b string, f array<array<string>>")
     got = {r.i: r.s for r in rows.select("i", reviews.enhanced_summary(F.col("b"), F.col("f")).alias("s")).collect()}
     assert got == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_relations_move_to_their_document_once(spark):
+    """The last relation of a key is chosen, and joined with the mappings, where its document is."""
+    fields = ("subject", "reason", "condition", "consequence", "problem", "solution", "premise", "conclusion")
+    told = [(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 3, "c"), (3, 1, "a"), (3, 2, "a"), (None, 1, "a")]
+    relation = F.struct(
+        F.lit("other").alias("relationship_type"), F.col("text").alias("original_text"), *[F.lit(None).cast("string").alias(name) for name in fields]
+    )
+    relations = spark.createDataFrame(told, "document_id long, pos int, text string").select("document_id", F.lit("items").alias("section_name"), "pos", relation.alias("relation"))
+    mappings = spark.createDataFrame([("p", 1, 1, 2), ("q", 1, 2, 3)], "pair_id string, mapping_index long, doc1_id long, doc2_id long").select(
+        "*", F.lit("items").alias("doc1_section"), F.lit("items").alias("doc2_section")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = changes.compare_relations(mappings, relations)
+        moves = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        rows = sorted((r.pair_id, r.change_type, r.relationship.original_text) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Both sides: the relations, the mappings, and what they give; a relation does not move between its choice and its join.
+    assert moves == 6
+    assert rows == [("p", "added", "c"), ("p", "removed", "b"), ("q", "removed", "c")]
