@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from filingdelta.functions.numbers import TOLERANCE_PCT, extract_number_unit, normalise_unit, within_tolerance
+from filingdelta.operators.mapping import of_documents
 
 
 def with_numbers(cells: DataFrame) -> DataFrame:
@@ -82,7 +83,9 @@ def compare_numbers(
     the other, and repeats each difference for every mapping of the pair; its
     result is quadratic in the number of tables by definition, so the cells are
     compared once per document pair and only the differences are multiplied.
+    Only cells of mapped documents are numbered and moved.
     """
+    cells, table_sections = (of_documents(df, mappings) for df in (cells, table_sections))
     if scope == "cross":
         tables = cells.select("document_id", "table_id").distinct()
         pairs = mappings.select("pair_id", "doc1_id", "doc2_id").distinct()

@@ -103,6 +103,12 @@ def _common_sections(pairs: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
+def of_documents(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``parts`` (document_id, ...) of the documents that ``pairs`` (doc1_id, doc2_id) name; no other row can meet a pair."""
+    named = pairs.select(F.col("doc1_id").alias("document_id")).union(pairs.select("doc2_id")).distinct()
+    return parts.join(named, "document_id", "left_semi")
+
+
 _BEST = pa.schema(
     [
         ("pair_id", pa.string()), ("ordinal1", pa.int64()), ("doc1_section", pa.string()),
@@ -116,6 +122,7 @@ def _best_in_blocks(threshold: float):
         for batch in batches:
             pair_ids = batch.column("pair_id")
             left, right = batch.column("items1"), batch.column("items2")
+            found = []
             for i in range(batch.num_rows):
                 by1, o1, m1, n1 = unpack(left[i].values)
                 by2, o2, m2, n2 = unpack(right[i].values)
@@ -126,7 +133,7 @@ def _best_in_blocks(threshold: float):
                 keep = np.flatnonzero(top > threshold)
                 if not len(keep):
                     continue
-                yield pa.RecordBatch.from_arrays(
+                found.append(pa.RecordBatch.from_arrays(
                     [
                         pa.array([pair_ids[i].as_py()] * len(keep), pa.string()),
                         pa.array(o1[keep], pa.int64()), s1.take(pa.array(keep)),
@@ -134,7 +141,8 @@ def _best_in_blocks(threshold: float):
                         pa.array(top[keep], pa.float64()),
                     ],
                     schema=_BEST,
-                )
+                ))
+            yield from pa.Table.from_batches(found, _BEST).combine_chunks().to_batches()
 
     return run
 
@@ -167,11 +175,11 @@ def map_semantic(
     of blocks is one matrix product inside a task and returns at most one row
     per doc1 section, so no pair of sections is ever a row. Pairs of blocks whose
     cones rule out a cosine above the threshold are not shipped. A pair with very
-    many sections becomes many block pairs, spread over tasks. A tie goes to the
-    first doc2 section.
+    many sections becomes many block pairs, spread over tasks. Documents of no
+    pair have no blocks. A tie goes to the first doc2 section.
     """
     keyed = pairs.select("pair_id", "doc1_id", "doc2_id").withColumn("pair_id", F.col("pair_id").cast("string"))
-    blocks, met = _meeting_blocks(keyed, vectors, threshold, dimension)
+    blocks, met = _meeting_blocks(keyed, of_documents(vectors, keyed), threshold, dimension)
 
     def side(n: int) -> DataFrame:
         return blocks.select(F.col("document_id").alias(f"doc{n}_id"), F.col("block").alias(f"block{n}"), F.col("items").alias(f"items{n}"))

@@ -36,16 +36,17 @@ def _sides(vectors: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StructType([T.StructField("pivot", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType()), T.StructField("has_zero", T.BooleanType())]))
 def _cone(vectors: pa.Array) -> pa.Array:
     """The middle direction of each block, the greatest angle of a vector to it, and whether a vector has no direction."""
-    rows = []
-    for k in range(len(vectors)):
-        matrix = matrix_of(vectors[k].values)
-        norms = np.linalg.norm(matrix, axis=1)
-        units = matrix[norms > 0] / norms[norms > 0, None]
-        middle = units.sum(axis=0) if len(units) else np.zeros(matrix.shape[1])
-        length = np.linalg.norm(middle)
-        pivot = middle / length if length > 0 else middle
-        radius = float(np.arccos(np.clip(units @ pivot, -1, 1)).max()) if length > 0 else np.pi
-        rows.append({"pivot": pivot, "radius": radius, "has_zero": bool((norms == 0).any())})
+    sizes = np.diff(vectors.offsets.to_numpy())
+    matrix, begins = matrix_of(vectors.flatten()), np.cumsum(sizes) - sizes
+    norms = np.linalg.norm(matrix, axis=1)
+    units = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
+    middle = np.add.reduceat(units, begins) if len(begins) else matrix
+    length = np.linalg.norm(middle, axis=1)
+    pivot = np.divide(middle, length[:, None], out=middle.copy(), where=length[:, None] > 0)
+    angle = np.where(norms > 0, np.arccos(np.clip((units * np.repeat(pivot, sizes, axis=0)).sum(axis=1), -1, 1)), 0)
+    radius = np.where(length > 0, np.maximum.reduceat(angle, begins), np.pi) if len(begins) else length
+    has_zero = np.logical_or.reduceat(norms == 0, begins) if len(begins) else length > 0
+    rows = [{"pivot": p, "radius": r, "has_zero": z} for p, r, z in zip(pivot, radius.tolist(), has_zero.tolist())]
     return pa.array(rows, type=pa.struct([("pivot", pa.list_(pa.float64())), ("radius", pa.float64()), ("has_zero", pa.bool_())]))
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from filingdelta.functions.ordinals import number_within
 from filingdelta.functions.vectors import cosine
 from filingdelta.operators import changes, differences, mapping, related, reviews, textdiff, vectorblocks
 
@@ -396,3 +397,28 @@ def test_relations_move_to_their_document_once(spark):
     # Both sides: the relations, the mappings, and what they give; a relation does not move between its choice and its join.
     assert moves == 6
     assert rows == [("p", "added", "c"), ("p", "removed", "b"), ("q", "removed", "c")]
+
+
+def test_numbering_keeps_every_row_of_a_large_table(spark):
+    """Bounds of ranges are sampled: beyond the sample, two dealings of one table need not agree."""
+    df = spark.range(60_000).select((F.col("id") % 30_000).alias("k"), F.col("id").alias("at"), F.concat(F.lit("text "), "id").alias("carried"))
+    got = number_within(df, ["k"], [F.col("at")], "n")
+    assert got.agg(F.count("*"), F.countDistinct("carried"), F.sum("n")).collect() == [(60_000, 60_000, 90_000)]
+    assert got.where(F.col("n") != F.when(F.col("at") < 30_000, 1).otherwise(2)).count() == 0
+
+
+def test_parts_of_documents_without_a_pair_are_left_out_first(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(mapping, "vector_blocks", lambda vectors, *rest: given.append(vectors) or vectorblocks.vector_blocks(vectors, *rest))
+    pairs = spark.createDataFrame([("p", 1, 2)], "pair_id string, doc1_id long, doc2_id long")
+    vectors = spark.createDataFrame([(d, 1, f"s{d}", [1.0, (d or 0) / 10]) for d in (1, 2, 3, None)], "document_id long, ordinal long, section_name string, vector array<double>")
+    found = mapping.map_semantic(pairs, vectors, 0.5, 2).collect()
+    assert [(r.doc1_section, r.doc2_section) for r in found] == [("s1", "s2")]
+    assert sorted(r.document_id for r in given[0].collect()) == [1, 2]
+    mappings = pairs.select("*", F.lit(1).cast("long").alias("mapping_index"), F.lit("s").alias("doc1_section"), F.lit("s").alias("doc2_section"))
+    cells = spark.createDataFrame([(d, "t", 1, 1, "i", str(100 * (d or 0))) for d in (1, 2, 3, None)], "document_id long, table_id string, row int, col int, item_name string, text string")
+    places = cells.select("document_id", F.lit("s").alias("section_name"), "table_id")
+    for scope in ("section", "position", "cross"):
+        found = differences.compare_numbers(mappings, cells, places, scope)
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert [(r.value1, r.value2) for r in found.collect()] == [(100.0, 200.0)]
