@@ -38,7 +38,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the text decoded from them."""
     prepare(spark)
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode(spark, bpe.encode(spark, docs, path), path)
+    # The ids are a table in between: a task has one Python worker at a time, that of the encoding or that of the decoding.
+    decoded = bpe.decode(spark, written(bpe.encode(spark, docs, path), "ids"), path)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -17,7 +17,8 @@ from filingdelta.llm.common import arrow_map
 # Fixed values of the vocabulary's word splitter.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE_CHARS = 1 << 16
-CACHED_PIECES = 800_000
+# Pieces, and pairs of tokens, that a task remembers: some 50 MB each.
+CACHED_PIECES = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
 DECODE_IDS = 1 << 15
 
@@ -38,22 +39,31 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-class Vocabulary:
-    """Tokens as bytes, merges by rank and the special tokens of a byte-level vocabulary file."""
+class Tokens:
+    """Tokens as bytes and the special tokens of a byte-level vocabulary file: all that decoding needs."""
 
     def __init__(self, data: bytes):
         spec, letters = json.loads(data), byte_letters()
-        model = spec["model"]
-        to_bytes = lambda token: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        ids = model["vocab"]
-        self.ids = {to_bytes(t): i for t, i in ids.items() if t not in self.special}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.bytes_of = [b""] * size
-        for token, i in self.ids.items():
-            self.bytes_of[i] = token
+        self.bytes_of = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
+        for token, i in ids.items():
+            if token not in self.special:
+                self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self._learn(spec["model"])
+
+    def _learn(self, model: dict) -> None:
+        """What else is kept of the file."""
+
+
+class Vocabulary(Tokens):
+    """Also the ids by bytes and the merges by rank, for encoding."""
+
+    def _learn(self, model: dict) -> None:
+        ids = model["vocab"]
+        self.ids = {self.bytes_of[i]: i for t, i in ids.items() if t not in self.special}
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -215,7 +225,7 @@ class Encoder:
 class Decoder:
     """Turns ids into text in parts: bytes of an unfinished character wait for the next part."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Tokens):
         self.bytes_of = vocabulary.bytes_of
 
     def text(self, ids: np.ndarray) -> Iterator[str]:
@@ -230,14 +240,14 @@ class Decoder:
         yield machine.decode(b"", True)
 
 
-_LOADED: dict[int, Vocabulary] = {}
+_LOADED: dict[tuple[str, int], Tokens] = {}
 
 
-def loaded(data: bytes) -> Vocabulary:
-    """One parsed vocabulary per Python worker."""
-    key = hash(data)
+def loaded(data: bytes, kind: type[Tokens] = Vocabulary) -> Tokens:
+    """One parsed vocabulary of a kind per Python worker."""
+    key = kind.__name__, hash(data)
     if key not in _LOADED:
-        _LOADED[key] = Vocabulary(data)
+        _LOADED[key] = kind(data)
     return _LOADED[key]
 
 
@@ -266,7 +276,7 @@ def decode(spark: SparkSession, encoded: DataFrame, vocabulary_path: str) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        decoder = Decoder(loaded(data.value))
+        decoder = Decoder(loaded(data.value, Tokens))
         for batch in batches:
             ids = batch.column("ids")
             texts = ["".join(decoder.text(np.frombuffer(x or b"", dtype="<u4"))) for x in ids.to_pylist()]

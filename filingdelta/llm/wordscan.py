@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 22
+# Bytes hashed at once: a scanner holds 16 bytes for each, and as much again while it works.
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 

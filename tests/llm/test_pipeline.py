@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from filingdelta.llm import decontaminate, pii, quality, simhash
+from filingdelta.llm import bpe, decontaminate, pii, quality, simhash
 from filingdelta.llm.common import prepare, written
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,6 +66,23 @@ def test_stages(spark, tables):
     assert 0 < docs.count() == len(after) < seen["quality_rules"].count()
 
 
+def test_one_python_worker_a_task(spark, tables):
+    """Encoding and decoding do not hold their vocabularies side by side; the caches of an encoder are bounded well below a worker's memory."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    plan = corpus_pipeline.token_ids(spark, docs, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    data = bpe.read_vocabulary(corpus_pipeline.public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    assert not hasattr(bpe.loaded(data, bpe.Tokens), "merges") and bpe.loaded(data, bpe.Tokens).bytes_of == bpe.loaded(data).bytes_of
+    tracemalloc.start()
+    encoder = bpe.Encoder(bpe.loaded(data))
+    before, _ = tracemalloc.get_traced_memory()
+    for k in range(0, 900_000, 1000):
+        encoder.ids_bytes(" ".join(f"{n:x}" for n in range(k, k + 1000)).translate(dict(zip(map(ord, "0123456789"), "ghijklmnop"))))
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 100 << 20
+
+
 def test_no_documents(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
