@@ -19,16 +19,17 @@ class Model:
     """Predictions and mixed symbol counts of every block; a new model is the reset state.
 
     Order-2 and order-1 contexts predict one id each, with a confidence that grows with every hit; order 0 predicts the id
-    that led most often. Symbol counts are the sum of those kept for the two confidences and those of the block.
+    that led most often. Symbol counts are the sum of those kept for the two confidences and those of the block; both stay
+    below 2 * LIMIT, so 16 bits hold them, and sums over symbols add whole rows of blocks.
     """
 
     def __init__(self, blocks: int):
         self.by_two = np.zeros((blocks, SLOTS), dtype=np.int32)
         self.by_one = np.zeros((blocks, SLOTS), dtype=np.int32)
         self.by_none = np.zeros(blocks, dtype=np.int32)
-        self.counts = np.ones((blocks, (CONFIDENT + 1) ** 2, SYMBOLS), dtype=np.int32)
+        self.counts = np.ones((blocks, (CONFIDENT + 1) ** 2, SYMBOLS), dtype=np.int16)
         self.sums = np.full((blocks, (CONFIDENT + 1) ** 2), SYMBOLS, dtype=np.int32)
-        self.shared = np.ones((blocks, SYMBOLS), dtype=np.int32)
+        self.shared = np.ones((SYMBOLS, blocks), dtype=np.int16)
         self.shared_sums = np.full(blocks, SYMBOLS, dtype=np.int32)
         self.last, self.before = np.zeros(blocks, dtype=np.int32), np.zeros(blocks, dtype=np.int32)
 
@@ -39,8 +40,14 @@ class Model:
         self.slot_one = ((self.last[:n] * 40503) >> 5) & (SLOTS - 1)
         self.two, self.one, self.none = self.by_two[self.lane, self.slot_two], self.by_one[self.lane, self.slot_one], self.by_none[:n]
         self.context = (self.two & CONFIDENT) * (CONFIDENT + 1) + (self.one & CONFIDENT)
-        self.cumulative = np.zeros((n, SYMBOLS + 1), dtype=np.int64)
-        np.cumsum(self.counts[self.lane, self.context] + self.shared[:n], axis=1, out=self.cumulative[:, 1:])
+        self.cumulative = np.zeros((SYMBOLS + 1, n), dtype=np.int16)
+        np.add(self.counts[self.lane, self.context].T, self.shared[:, :n], out=self.cumulative[1:])
+        for below, above in zip(self.cumulative[1:], self.cumulative[2:]):
+            above += below
+
+    def bounds(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the symbols below, and of these with the symbol."""
+        return self.cumulative[symbol, self.lane].astype(np.int64), self.cumulative[symbol + 1, self.lane].astype(np.int64)
 
     def symbols(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol, raw bits and how many of them, of the next id of every block."""
@@ -66,12 +73,12 @@ class Model:
             at = self.context[full]
             self.counts[full, at] = (self.counts[full, at] + 1) >> 1
             self.sums[full, at] = self.counts[full, at].sum(axis=1)
-        self.shared[lane, symbol] += STEP
+        self.shared[symbol, lane] += STEP
         self.shared_sums[:n] += STEP
         full = np.flatnonzero(self.shared_sums[:n] > LIMIT)
         if len(full):
-            self.shared[full] = (self.shared[full] + 1) >> 1
-            self.shared_sums[full] = self.shared[full].sum(axis=1)
+            self.shared[:, full] = (self.shared[:, full] + 1) >> 1
+            self.shared_sums[full] = self.shared[:, full].sum(axis=0)
         self.before[:n], self.last[:n] = self.last[:n].copy(), ids
 
 
@@ -103,8 +110,8 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         model.predict(n)
         now = ids[begins[:n] + t]
         symbol, raw, n_raw = model.symbols(now)
-        unit = span[:n] // model.cumulative[:, -1]
-        below, above = model.cumulative[model.lane, symbol], model.cumulative[model.lane, symbol + 1]
+        unit = span[:n] // model.cumulative[-1]
+        below, above = model.bounds(symbol)
         fine = (unit * (above - below)) >> n_raw
         low[:n] += unit * below + fine * raw
         span[:n] = fine
@@ -137,12 +144,13 @@ def decode_blocks(coded: list[bytes], lengths: np.ndarray) -> np.ndarray:
     for t in range(longest):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(n)
-        unit = span[:n] // model.cumulative[:, -1]
+        unit = span[:n] // model.cumulative[-1]
         place = (code[:n] - low[:n]) // unit
-        symbol = (model.cumulative[:, 1:] <= place[:, None]).sum(axis=1)
+        passed = model.cumulative[1:] <= np.clip(place, -1, 2 * LIMIT + 2 * STEP).astype(np.int16)
+        symbol = passed.view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
         if symbol.max() >= SYMBOLS:
             raise ValueError("damaged block")
-        below, above = model.cumulative[model.lane, symbol], model.cumulative[model.lane, symbol + 1]
+        below, above = model.bounds(symbol)
         n_raw = np.maximum(symbol - HITS - 1, 0)
         fine = (unit * (above - below)) >> n_raw
         low[:n] += unit * below

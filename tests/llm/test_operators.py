@@ -86,6 +86,33 @@ def test_range_coder_finds_damage():
         rangecoder.unpack(blocks, sizes, [sums[0], sums[1] ^ 1, *sums[2:]])
 
 
+def test_range_coder_keeps_small_counts():
+    """Counts are 16-bit, and stay below twice the limit however long a block is; damage that points past them is found."""
+    model = rangecoder.Model(3)
+    assert model.counts.dtype == model.shared.dtype == np.int16
+    for k in range(3000):
+        model.predict(3)
+        assert 0 < model.cumulative[-1].min() and model.cumulative[-1].max() <= 2 * (rangecoder.LIMIT + rangecoder.STEP) and (np.diff(model.cumulative, axis=0) > 0).all()
+        ids = np.array([7, k % 2, k * 40503 % 65536], dtype=np.int64)
+        symbol, _, _ = model.symbols(ids)
+        model.learn(symbol, ids)
+    ids = np.random.default_rng(1).integers(0, 65536, 40_000)
+    blocks, sizes, sums = rangecoder.pack(ids)
+    for k in range(len(blocks)):
+        with pytest.raises(ValueError):
+            rangecoder.unpack([*blocks[:k], b"\xff" * len(blocks[k]), *blocks[k + 1:]], sizes, sums)
+
+
+def test_piece_encoder_is_the_library(library):
+    """Long, repeated and unusual pieces; the table of pieces keeps no long ones and stays bounded."""
+    encoder, rng = tokenfile.PieceEncoder(bpe.read_vocabulary(PATH)), random.Random(6)
+    parts = [" ", "\n", "\u3000", "\u200b", "'s", "a", "é", "日本", "1", "..", "🎉", "x" * 90, "<|endoftext|>", "\x00"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert encoder.pieces and max(map(len, encoder.pieces)) <= 64
+
+
 def test_token_file(spark, docs, library):
     path = f"{shared_dir(spark)}/tokens-{random.random()}"
     tokenfile.write_ids(spark, docs, path, PATH, partitions=3)
