@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -10,7 +9,6 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filingdelta.llm.common import arrow_map, written
@@ -241,25 +239,42 @@ def similar(units: DataFrame) -> DataFrame:
 
 def surroundings(held: DataFrame, units: DataFrame) -> DataFrame:
     """Adds to repeated anchors the 32-bit hashes of up to ``REACH`` words before (nearest first) and behind, and where these start and stop, from the anchor's place."""
-    words = re.compile(r"[^\x20\x09-\x0D]+")
     ints = pa.list_(pa.int32())
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("class", pa.int64()), ("removed", pa.int32()), ("place", pa.int32()), ("left", ints), ("right", ints), ("starts", ints), ("stops", ints)])
 
+    def lists(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, step: int, less: np.ndarray | int = 0) -> pa.ListArray:
+        """``sizes[k]`` values from ``begins[k]`` on, forwards or backwards, each less ``less[k]``."""
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        chosen = values[np.repeat(begins, sizes) + step * inside] - (np.repeat(less, sizes) if isinstance(less, np.ndarray) else less)
+        return pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), chosen.astype(np.int32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        word_bytes = np.ones(256, dtype=bool)
+        word_bytes[list(BLANK_BYTES)] = False
+        scanner = Scanner(word_bytes)
         for batch in batches:
-            for row, doc_id, found, parts in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "found", "parts"))):
-                spans = [(p["start"] + m.start(), p["start"] + m.end(), m[0]) for p in parts for m in words.finditer(p["text"])]
-                hashes = np.fromiter((xxhash.xxh32_intdigest(w) for *_, w in spans), dtype=np.uint32, count=len(spans)).view(np.int32)
-                starts, stops = (np.array([s[k] for s in spans], dtype=np.int32) for k in (0, 1))
-                for a in range(0, len(found), 10_000):
-                    some = found[a:a + 10_000]
-                    places = [(max(0, f["no"] - REACH), f["no"], f["no"] + ANCHOR) for f in some]
-                    yield {
-                        "row": [row] * len(some), "doc_id": [doc_id] * len(some), "no": [f["no"] for f in some], "class": [f["class"] for f in some], "removed": [f["removed"] for f in some],
-                        "place": [starts[at] for _, at, _ in places],
-                        "left": [hashes[low:at][::-1] for low, at, _ in places], "right": [hashes[end:end + REACH] for *_, end in places],
-                        "starts": [starts[low:at + 1][::-1] - starts[at] for low, at, _ in places], "stops": [stops[end - 1:end + REACH] - starts[at] for _, at, end in places],
-                    }
+            n_found, n_parts = (np.asarray(pc.list_value_length(batch.column(c)), dtype=np.int64) for c in ("found", "parts"))
+            (no, classes, removed), (_, begin, text) = (batch.column(c).flatten().flatten() for c in ("found", "parts"))
+            data, starts, stops, hashes, firsts = scanner.scan(text)
+            hashes = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            # From bytes to code points of the document.
+            points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32))
+            lengths = np.asarray(pc.binary_length(text), dtype=np.int64)
+            shift = np.repeat(np.asarray(begin, dtype=np.int64) - points[np.cumsum(lengths) - lengths], np.diff(firsts))
+            starts, stops = points[starts] + shift, points[stops] + shift
+            of_row = firsts[np.append(0, np.cumsum(n_parts))]
+            rows, numbers = np.repeat(np.arange(len(n_found)), n_found), np.asarray(no, dtype=np.int64)
+            for k in range(0, len(rows), 10_000):
+                own = rows[k:k + 10_000]
+                at = of_row[own] + numbers[k:k + 10_000]
+                end = at + ANCHOR
+                before, behind = np.minimum(numbers[k:k + 10_000], REACH), np.minimum(of_row[own + 1] - end, REACH)
+                yield {
+                    "row": batch.column("row").take(pa.array(own)), "doc_id": batch.column("doc_id").take(pa.array(own)), "no": no[k:k + 10_000], "class": classes[k:k + 10_000], "removed": removed[k:k + 10_000],
+                    "place": starts[at].astype(np.int32), "left": lists(hashes, at - 1, before, -1), "right": lists(hashes, end, behind, 1),
+                    "starts": lists(starts, at, before + 1, -1, starts[at]), "stops": lists(stops, end - 1, behind + 1, 1, starts[at]),
+                }
 
     found = held.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("no", "class", "removed")).alias("found"))
     parts = units.where("level = 1").join(held.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "start", "text"))).alias("parts"))

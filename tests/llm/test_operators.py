@@ -375,6 +375,36 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_surroundings_by_plain_python(spark):
+    """Words beside anchors and their places, at the ends of a text, beyond ASCII and over several lines; no Python object a word."""
+    rng, texts = random.Random(14), {}
+    for row in range(40):
+        lines = [" ".join(rng.choice(["ab", "é", "日本語", "🎉x", "q9"]) for _ in range(rng.randrange(1, 30))) for _ in range(6)]
+        texts[row] = ["  " + "\t\n ".join(lines)]
+    parts, held, wanted = [], [], {}
+    for row, (text,) in texts.items():
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+        for no, line in enumerate(re.finditer(r"[^\s][^\n]*[^\s]|[^\s]", text)):
+            parts.append((row, 1, no, line.start(), line[0]))
+        for at in sorted({0, max(0, len(words) - substring.ANCHOR), len(words) // 2}):
+            if at + substring.ANCHOR > len(words):
+                continue
+            end, low = at + substring.ANCHOR, max(0, at - substring.REACH)
+            held.append((row, row if row else None, at, 7, 1))
+            wanted[row, at] = ([w for *_, w in words[low:at]][::-1], [w for *_, w in words[end:end + substring.REACH]], words[at][0],
+                               [w[0] - words[at][0] for w in words[low:at + 1]][::-1], [w[1] - words[at][0] for w in words[end - 1:end + substring.REACH]])
+    units = spark.createDataFrame(parts, "row long, level int, no int, start int, text string")
+    rows = substring.surroundings(spark.createDataFrame(held, "row long, doc_id long, no int, class long, removed int"), units).collect()
+    assert len(rows) == len(held) == len(wanted) and {(r.doc_id, r["class"], r.removed) for r in rows} == {(h[1], 7, 1) for h in held}
+    word_of = {}
+    for r in rows:
+        left, right, place, starts, stops = wanted[r.row, r.no]
+        assert (r.place, r.starts, r.stops, len(r.left), len(r.right)) == (place, starts, stops, len(left), len(right))
+        for h, w in zip(r.left + r.right, left + right):
+            assert word_of.setdefault(h, w) == w
+    assert len(word_of) == 5 and not hasattr(substring, "xxhash")
+
+
 def test_short_passages_are_found_to_the_word(spark):
     rng = random.Random(8)
     words = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
